@@ -49,3 +49,178 @@ where completion_date is not null and planned_date is not null
 group by masterbill_internal_id"""))
 def q_delay_labels(spark, sf_dir):
     return lab.delay_labels(fx(spark, sf_dir)["activity"])
+
+
+# ---------------------------------------------------------------- E1 parts
+from .operators import features as feat  # noqa: E402
+from .operators import impute, profile  # noqa: E402
+from .plans import feature_table as ft  # noqa: E402
+
+FLAGSHIP = "feature_table"
+
+# Oracle CTEs shared by the feature queries, written from the reference's
+# statement order (left joins from the distinct spine, then one distinct).
+_PARTS_SQL = [
+    ("ids", "select distinct masterbill_internal_id from masterbill"),
+    ("dist", "select distinct masterbill_internal_id, cast(distance_km as double) as distance_km"
+             " from carrier"),
+    ("dims", """select *, case when dimension_dim = 'inch' then dimension * 2.54 else dimension end
+  as dimension_cm from item_dimension"""),
+    ("piv", """select masterbill_internal_id,
+  min(case when dimension_dim = 'height' then dimension_cm end) as height,
+  min(case when dimension_dim = 'width' then dimension_cm end) as width,
+  min(case when dimension_dim = 'length' then dimension_cm end) as length
+from dims group by masterbill_internal_id"""),
+    ("vol", "select masterbill_internal_id, height * width * length as volume_cm3 from piv"),
+    ("wt", """select masterbill_internal_id, sum(cast(weight as double)) as total_weight
+from item_weight where weight_type = 'actual' group by masterbill_internal_id"""),
+    ("haz", """select masterbill_internal_id,
+  max(cast(try_cast(hazardous_material_flag as boolean) as int)) = 1 as hazardous_material_flag
+from itemgroup_line_item group by masterbill_internal_id"""),
+    ("mrg", """select distinct masterbill_internal_id, cast(margin_value as double) as margin_value
+from masterbill_margins where margin_type = 'CurrentMargin'"""),
+    ("drp", """select distinct masterbill_internal_id, event_type from tracking_shipment_status
+where event_type = 'Drop'"""),
+    ("desc_a", "select distinct masterbill_internal_id, description as desc_b from item_group"),
+    ("desc_b", "select distinct masterbill_internal_id, description as desc_c from itemgroup_line_item"),
+    ("descr", """select distinct coalesce(a.masterbill_internal_id, b.masterbill_internal_id)
+    as masterbill_internal_id, coalesce(a.desc_b, b.desc_c) as item_description
+from desc_a a full outer join desc_b b on a.masterbill_internal_id = b.masterbill_internal_id"""),
+    ("bag", """select distinct ids.masterbill_internal_id, vol.volume_cm3, dist.distance_km,
+  wt.total_weight, coalesce(haz.hazardous_material_flag, false) as hazardous_material_flag,
+  coalesce(mrg.margin_value, 0) as margin_value, descr.item_description
+from ids
+  left join dist on ids.masterbill_internal_id = dist.masterbill_internal_id
+  left join vol on ids.masterbill_internal_id = vol.masterbill_internal_id
+  left join wt on ids.masterbill_internal_id = wt.masterbill_internal_id
+  left join haz on ids.masterbill_internal_id = haz.masterbill_internal_id
+  left join mrg on ids.masterbill_internal_id = mrg.masterbill_internal_id
+  left join drp on ids.masterbill_internal_id = drp.masterbill_internal_id
+  left join descr on ids.masterbill_internal_id = descr.masterbill_internal_id"""),
+]
+_FEATURE_INPUTS = ("masterbill", "carrier", "item_dimension", "item_weight", "itemgroup_line_item",
+                   "masterbill_margins", "tracking_shipment_status", "item_group")
+
+
+def _fsql(body: str, upto: str = "bag") -> str:
+    names = [n for n, _ in _PARTS_SQL]
+    ctes = _PARTS_SQL[: names.index(upto) + 1]
+    return O.with_ctes(O.adapter(*_FEATURE_INPUTS) + ctes, body)
+
+
+_FILL_DESC = (f"case when item_description is null then case when {O.draw('description')} % 1000"
+              f" < 500 then 'MEDICAL MATERIAL' else 'Euro Pallet' end else item_description end")
+_FILL_WEIGHT = (f"case when total_weight is null then round(1 + ({O.draw('weight')} % 1001)"
+                f" / 1000.0, 3) else total_weight end")
+
+
+def _zero(c: str) -> str:
+    return f"case when {c} is null or isnan({c}) then 0.0 else {c} end"
+
+
+_FEATURE_SQL = (f"select masterbill_internal_id, {_zero('volume_cm3')} as volume_cm3,"
+                f" {_zero('distance_km')} as distance_km, {_FILL_WEIGHT} as total_weight,"
+                f" hazardous_material_flag, margin_value from bag")
+
+
+@register("masterbill_ids", _fsql("select * from ids", "ids"))
+def q_masterbill_ids(spark, sf_dir):
+    return feat.masterbill_ids(fx(spark, sf_dir)["masterbill"])
+
+
+@register("distance", _fsql("select * from dist", "dist"))
+def q_distance(spark, sf_dir):
+    return feat.distance(fx(spark, sf_dir)["carrier"])
+
+
+@register("unit_convert", _fsql("select * from dims", "dims"))
+def q_unit_convert(spark, sf_dir):
+    return feat.convert_unit(fx(spark, sf_dir)["item_dimension"])
+
+
+@register("dimension_pivot", _fsql("select * from piv", "piv"))
+def q_dimension_pivot(spark, sf_dir):
+    return feat.pivot_dimensions(feat.convert_unit(fx(spark, sf_dir)["item_dimension"]))
+
+
+@register("item_volume", _fsql("select * from vol", "vol"))
+def q_item_volume(spark, sf_dir):
+    return feat.item_volume(fx(spark, sf_dir)["item_dimension"])
+
+
+@register("total_weight", _fsql("select * from wt", "wt"))
+def q_total_weight(spark, sf_dir):
+    return feat.total_weight(fx(spark, sf_dir)["item_weight"])
+
+
+@register("hazmat_flag", _fsql("select * from haz", "haz"))
+def q_hazmat_flag(spark, sf_dir):
+    return feat.hazmat_flag(fx(spark, sf_dir)["itemgroup_line_item"])
+
+
+@register("margin_current", _fsql("select * from mrg", "mrg"))
+def q_margin_current(spark, sf_dir):
+    return feat.current_margin(fx(spark, sf_dir)["masterbill_margins"])
+
+
+@register("drop_events", _fsql("select * from drp", "drp"))
+def q_drop_events(spark, sf_dir):
+    return feat.drop_events(fx(spark, sf_dir)["tracking_shipment_status"])
+
+
+@register("item_description", _fsql("select * from descr", "descr"))
+def q_item_description(spark, sf_dir):
+    t = fx(spark, sf_dir)
+    return feat.item_description(t["item_group"], t["itemgroup_line_item"])
+
+
+@register("feature_join", _fsql("select * from bag"))
+def q_feature_join(spark, sf_dir):
+    return feat.feature_join(fx(spark, sf_dir))
+
+
+@register("fill_category", _fsql(
+    f"select * exclude (item_description), {_FILL_DESC} as item_description from bag"))
+def q_fill_category(spark, sf_dir):
+    return impute.fill_category(feat.feature_join(fx(spark, sf_dir)), "item_description")
+
+
+@register("fill_uniform", _fsql(
+    f"select * exclude (total_weight), {_FILL_WEIGHT} as total_weight from bag"))
+def q_fill_uniform(spark, sf_dir):
+    return impute.fill_uniform(feat.feature_join(fx(spark, sf_dir)), "total_weight")
+
+
+@register("fill_constants", _fsql(
+    f"select * exclude (distance_km, volume_cm3), {_zero('distance_km')} as distance_km,"
+    f" {_zero('volume_cm3')} as volume_cm3 from bag"))
+def q_fill_constants(spark, sf_dir):
+    return impute.fill_constants(feat.feature_join(fx(spark, sf_dir)),
+                                 {"distance_km": 0.0, "volume_cm3": 0.0})
+
+
+@register("median_fill", _fsql(
+    "select * exclude (distance_km), coalesce(distance_km, (select quantile_disc(distance_km, 0.5)"
+    " from bag where distance_km is not null and not isnan(distance_km))) as distance_km from bag"))
+def q_median_fill(spark, sf_dir):
+    return impute.fill_median(feat.feature_join(fx(spark, sf_dir)), "distance_km", error=0.0)
+
+
+@register("null_profile", _fsql(
+    "select " + ", ".join(f"cast(sum(cast({c} is null as int)) as bigint) as {c}_null_count"
+                          for c in ("masterbill_internal_id", "volume_cm3", "distance_km",
+                                    "total_weight", "hazardous_material_flag", "margin_value",
+                                    "item_description")) + " from bag"))
+def q_null_profile(spark, sf_dir):
+    return profile.null_profile(feat.feature_join(fx(spark, sf_dir)))
+
+
+@register("unique_masterbills", _fsql(
+    "select count(*) as unique_masterbills from (select distinct masterbill_internal_id from bag)"))
+def q_unique_masterbills(spark, sf_dir):
+    return profile.unique_ids(feat.feature_join(fx(spark, sf_dir)))
+
+
+@register(FLAGSHIP, _fsql(_FEATURE_SQL))
+def q_feature_table(spark, sf_dir):
+    return ft.feature_table(fx(spark, sf_dir))
