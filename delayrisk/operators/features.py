@@ -42,12 +42,14 @@ def pivot_dimensions(dims: DataFrame, value: str = "dimension_cm",
                      key: str = "dimension_dim", sides=SIDES) -> DataFrame:
     """A4: one row per id with a column per side.
 
-    Values are passed explicitly (no discovery job, no failure when a side
-    never occurs) and the pick rule is the smallest non-null value, which
-    does not depend on row order.  Spark plans this as one partial + final
-    aggregate keyed by the id.
+    Values are fixed (no discovery job, no failure when a side never occurs)
+    and the pick rule is the smallest non-null value, which does not depend
+    on row order.  Written as one conditional aggregate per side: that is a
+    single partial + final aggregate keyed by the id, where
+    ``groupBy().pivot()`` would plan two aggregates and two exchanges.
     """
-    return dims.groupBy(ID).pivot(key, list(sides)).agg(F.min(value))
+    return dims.groupBy(ID).agg(*[F.min(F.when(F.col(key) == s, F.col(value))).alias(s)
+                                  for s in sides])
 
 
 def volume(height: Column, width: Column, length: Column) -> Column:
@@ -91,8 +93,13 @@ def current_margin(margins: DataFrame, margin_type: str = "CurrentMargin") -> Da
 
 
 def drop_events(status: DataFrame, event_type: str = "Drop") -> DataFrame:
-    """P6 + D1: ids with a drop event (at most one row per id)."""
-    return status.filter(F.col("event_type") == event_type).select(ID, "event_type").distinct()
+    """P6 + D1: ids with a drop event (at most one row per id).
+
+    Deduplicated on the id alone, so Catalyst knows the part is unique per
+    id and drops a left join to it whose columns are never read (J7).
+    """
+    return (status.filter(F.col("event_type") == event_type).select(ID).distinct()
+            .select(ID, F.lit(event_type).alias("event_type")))
 
 
 def item_description(groups: DataFrame, lines: DataFrame) -> DataFrame:
@@ -114,7 +121,8 @@ def item_description(groups: DataFrame, lines: DataFrame) -> DataFrame:
     a = groups.select(ID, F.col("description").alias("item_description"), F.lit(True).alias("grp"))
     b = lines.select(ID, F.col("description").alias("item_description"), F.lit(False).alias("grp"))
     tagged = a.unionByName(b).distinct()
-    flags = (tagged.filter(F.col(ID).isNotNull()).groupBy(ID)
+    # Same subtree as ``tagged`` (no extra filter), so its exchange is reused.
+    flags = (tagged.groupBy(ID)
              .agg(F.bool_or("grp").alias("has_grp"),
                   F.bool_or(~F.col("grp")).alias("has_line"),
                   F.bool_or(F.col("grp") & F.col("item_description").isNull()).alias("grp_null")))
