@@ -224,3 +224,350 @@ def q_unique_masterbills(spark, sf_dir):
 @register(FLAGSHIP, _fsql(_FEATURE_SQL))
 def q_feature_table(spark, sf_dir):
     return ft.feature_table(fx(spark, sf_dir))
+
+
+# ------------------------------------------------------ E3: training set, split, model
+from pyspark.sql import functions as F  # noqa: E402
+
+from . import ID  # noqa: E402
+from .functions import risk as R  # noqa: E402
+from .operators import enrich, mart  # noqa: E402
+from .operators import model as mdl  # noqa: E402
+from .plans import dashboard as dash  # noqa: E402
+from .plans import inference as inf  # noqa: E402
+from .plans import training as tr  # noqa: E402
+
+_LABELS_SQL = """select masterbill_internal_id,
+  case when max(completion_date) > max(planned_date) then 'Delayed' else 'Not Delayed' end
+    as delivery_delay
+from activity
+where completion_date is not null and planned_date is not null
+group by masterbill_internal_id"""
+
+_LEVEL_SQL = """case when risk_factor >= 0 and risk_factor <= 50 then 'Normal'
+  when risk_factor >= 51 and risk_factor <= 70 then 'Low'
+  when risk_factor >= 71 and risk_factor <= 90 then 'Medium'
+  when risk_factor >= 91 and risk_factor <= 100 then 'High' end"""
+
+_E4_SQL = [
+    ("feat", _FEATURE_SQL),
+    ("fd", "select distinct * from feat"),
+    ("labs", _LABELS_SQL),
+    ("ts", "select fd.*, labs.delivery_delay from fd join labs using (masterbill_internal_id)"),
+    ("si", "select fd.* from ids join fd using (masterbill_internal_id)"),
+    ("sc", f"select *, ({O.draw('risk')} % 10001) / cast(100 as double) as risk_factor from si"),
+    ("sc2", f"""select *, case when risk_factor > 50 then 'Delayed' else 'Not Delayed' end
+  as delivery_delay, {_LEVEL_SQL} as risk_level from sc"""),
+    ("ld", "select masterbill_internal_id, load_id, carrier_name, mode from fact_load"),
+    ("pde", """select master_bill_internal_id, event_type,
+  concat_ws(', ', city, state, country_code, postal_code) as location
+from event where event_type in ('Pickup', 'Drop')"""),
+    ("loc", """select master_bill_internal_id,
+  min(case when event_type = 'Pickup' then location end) as Source,
+  min(case when event_type = 'Drop' then location end) as Destination
+from pde group by master_bill_internal_id"""),
+    ("pred", """select distinct sc2.*, ld.load_id, ld.carrier_name, ld.mode, loc.Source,
+  loc.Destination
+from sc2 left join ld using (masterbill_internal_id)
+  left join loc on sc2.masterbill_internal_id = loc.master_bill_internal_id"""),
+]
+_E4_INPUTS = _FEATURE_INPUTS + ("activity", "fact_load", "event")
+
+
+def _esql(body: str, upto: str = "pred") -> str:
+    names = [n for n, _ in _E4_SQL]
+    return O.with_ctes(O.adapter(*_E4_INPUTS) + _PARTS_SQL + _E4_SQL[: names.index(upto) + 1], body)
+
+
+@register("training_set", _esql("select * from ts", "ts"))
+def q_training_set(spark, sf_dir):
+    return tr.labelled_features(fx(spark, sf_dir))
+
+
+@register("cast_training_columns", _esql(
+    "select masterbill_internal_id, cast(distance_km as double) as distance_km,"
+    " cast(margin_value as double) as margin_value,"
+    " try_cast(hazardous_material_flag as boolean) as hazardous_material_flag from ts", "ts"))
+def q_cast_training_columns(spark, sf_dir):
+    return tr.labelled_features(fx(spark, sf_dir)).select(
+        ID, "distance_km", "margin_value", "hazardous_material_flag")
+
+
+@register("split_counts", _esql(
+    f"select case when {O.draw('split')} % 100 < 80 then 'train' else 'test' end as split,"
+    " count(*) as rows, count(distinct masterbill_internal_id) as ids from ts group by 1", "ts"))
+def q_split_counts(spark, sf_dir):
+    return tr.split_counts(tr.labelled_features(fx(spark, sf_dir)))
+
+
+@register("eval_metrics", _esql(
+    f"""select avg(case when delivery_delay = pred then 1.0 else 0.0 end)::double as accuracy,
+  case when 2 * tp + fp + fn = 0 then 0.0 else 2.0 * tp / (2 * tp + fp + fn) end::double as f1
+from (select *, count(*) filter (where delivery_delay = 'Delayed' and pred = 'Delayed') over () tp,
+  count(*) filter (where delivery_delay <> 'Delayed' and pred = 'Delayed') over () fp,
+  count(*) filter (where delivery_delay = 'Delayed' and pred <> 'Delayed') over () fn
+  from (select *, case when total_weight > 60 then 'Delayed' else 'Not Delayed' end as pred
+        from ts where {O.draw('split')} % 100 >= 80))
+group by tp, fp, fn""", "ts"))
+def q_eval_metrics(spark, sf_dir):
+    _, test = mdl.split_by_id(tr.labelled_features(fx(spark, sf_dir)))
+    return mdl.evaluate(tr.rule_predictions(test))
+
+
+@register("train_forest")
+def q_train_forest(spark, sf_dir):
+    return tr.test_predictions(fx(spark, sf_dir))
+
+
+@register("encode_description")
+def q_encode_description(spark, sf_dir):
+    return tr.encode_description(fx(spark, sf_dir))
+
+
+# ------------------------------------------------------ E4: scoring and enrichment
+def _drawn(spark, sf_dir):
+    t = fx(spark, sf_dir)
+    return t, inf.drawn_scorer()(inf.scoring_input(t))
+
+
+@register("scoring_input", _esql("select * from si", "si"))
+def q_scoring_input(spark, sf_dir):
+    return inf.scoring_input(fx(spark, sf_dir))
+
+
+@register("risk_level", _esql("select masterbill_internal_id, risk_factor, risk_level from sc2", "sc2"))
+def q_risk_level(spark, sf_dir):
+    _, sc = _drawn(spark, sf_dir)
+    return enrich.with_risk_level(sc).select(ID, "risk_factor", "risk_level")
+
+
+@register("enrich_loads", _esql(
+    "select sc2.*, ld.load_id, ld.carrier_name, ld.mode from sc2 left join ld"
+    " using (masterbill_internal_id)", "ld"))
+def q_enrich_loads(spark, sf_dir):
+    t, sc = _drawn(spark, sf_dir)
+    return enrich.enrich_loads(enrich.with_risk_level(sc), t["fact_load"])
+
+
+@register("pick_drop_events", _esql("select * from pde", "pde"))
+def q_pick_drop_events(spark, sf_dir):
+    return enrich.pick_drop_events(fx(spark, sf_dir)["event"])
+
+
+@register("locations", _esql("select * from loc", "loc"))
+def q_locations(spark, sf_dir):
+    return enrich.locations(fx(spark, sf_dir)["event"])
+
+
+@register("enrich_locations", _esql(
+    "select sc2.*, loc.Source, loc.Destination from sc2 left join loc"
+    " on sc2.masterbill_internal_id = loc.master_bill_internal_id", "loc"))
+def q_enrich_locations(spark, sf_dir):
+    t, sc = _drawn(spark, sf_dir)
+    return enrich.enrich_locations(enrich.with_risk_level(sc), enrich.locations(t["event"]))
+
+
+@register("score_batch")
+def q_score_batch(spark, sf_dir):
+    t = fx(spark, sf_dir)
+    model, _ = tr.fit_and_test(tr.labelled_features(t))
+    return inf.model_scorer(model)(inf.scoring_input(t))
+
+
+@register("delay_predictions")
+def q_delay_predictions(spark, sf_dir):
+    t = fx(spark, sf_dir)
+    model, _ = tr.fit_and_test(tr.labelled_features(t))
+    return inf.predictions(t, inf.model_scorer(model))
+
+
+# ------------------------------------------------------ E5: dashboard mart
+_MART_COLS = ", ".join(mart.MART_COLS)
+_ORDER_SQL = ", ".join(f"{c} asc nulls first" for c in mart.ORDER)
+_PCT_SQL = """coalesce(
+  case when try_cast(replace(replace(trim(cast(risk_factor as varchar)), '%', ''), ',', '') as double)
+         is null or isnan(risk_factor) then null
+       when risk_factor < 0 then 0.0 when risk_factor > 100 then 100.0 else risk_factor end,
+  case when lower(trim(coalesce(risk_level, ''))) in ('high risk', 'delayed', 'delay', 'late') then 95.0
+       when lower(trim(coalesce(risk_level, ''))) in ('medium', 'warning') then 80.0
+       when lower(trim(coalesce(risk_level, ''))) in ('at risk', 'low') then 60.0 else 25.0 end)"""
+
+
+def _cat_sql(x: str) -> str:
+    t = f"lower(trim(coalesce({x}, '')))"
+    return (f"case when {t} in ('high', 'high risk', 'delayed', 'delay', 'late') then 'High'"
+            f" when {t} in ('medium', 'warning') then 'Medium'"
+            f" when {t} in ('low', 'at risk') then 'Low' else 'Normal' end")
+
+
+_MART_SQL = [
+    ("m0", f"select {_MART_COLS} from pred"),
+    ("m1", f"select *, {_PCT_SQL} as percent, coalesce(risk_level, 'On Time') as label from m0"),
+    ("m2", f"""select *, {_cat_sql('label')} as category,
+  case when coalesce(percent, 0) <= 50 then '#2ecc71' when coalesce(percent, 0) <= 70 then '#f1c40f'
+       when coalesce(percent, 0) <= 90 then '#e67e22' else '#e74c3c' end as bar_color,
+  cast(cast(round_even(least(greatest(coalesce(percent, 0), 0), 100), 0) as int) as varchar) || '%'
+    as percent_text
+from m1"""),
+]
+
+
+def _msql(body: str) -> str:
+    return _esql("", "pred").rstrip("\n") .rstrip() + "".join(
+        f",\n{n} as (\n{s}\n)" for n, s in _MART_SQL) + "\n" + body
+
+
+def _mart(spark, sf_dir):
+    t = fx(spark, sf_dir)
+    return dash.dashboard_mart(inf.predictions(t, inf.drawn_scorer()))
+
+
+_SEARCH_TEXT = "Nation_1"
+_CHOSEN = ("High", "Medium")
+_PAGE = 3
+
+
+def _search_sql(src: str) -> str:
+    hay = " || ' ' || ".join(f"coalesce(cast({c} as varchar), '')" for c in mart.SEARCH_FIELDS)
+    return f"select * from {src} where contains(lower({hay}), '{_SEARCH_TEXT.strip().lower()}')"
+
+
+@register("mart_head", _esql(f"select {_MART_COLS} from pred order by {_ORDER_SQL} limit 5000"))
+def q_mart_head(spark, sf_dir):
+    t = fx(spark, sf_dir)
+    return mart.head_rows(mart.conform(inf.predictions(t, inf.drawn_scorer())))
+
+
+@register("conform_columns", _esql(
+    "select masterbill_internal_id, volume_cm3, distance_km, total_weight, hazardous_material_flag,"
+    " margin_value, delivery_delay, risk_factor, risk_level, cast(null as bigint) as load_id,"
+    " cast(null as varchar) as Source, cast(null as varchar) as Destination,"
+    " cast(null as varchar) as carrier_name, cast(null as varchar) as mode from sc2", "sc2"))
+def q_conform_columns(spark, sf_dir):
+    _, sc = _drawn(spark, sf_dir)
+    return mart.conform(enrich.with_risk_level(sc))
+
+
+@register("dashboard_mart", _msql("select * from m2"))
+def q_dashboard_mart(spark, sf_dir):
+    return _mart(spark, sf_dir)
+
+
+@register("mart_percent", _msql(
+    "select masterbill_internal_id, load_id, risk_factor, risk_level, percent from m2"))
+def q_mart_percent(spark, sf_dir):
+    return _mart(spark, sf_dir).select(ID, "load_id", "risk_factor", "risk_level", "percent")
+
+
+@register("mart_category", _msql(
+    "select masterbill_internal_id, load_id, risk_level, label, category from m2"))
+def q_mart_category(spark, sf_dir):
+    return _mart(spark, sf_dir).select(ID, "load_id", "risk_level", "label", "category")
+
+
+@register("color_band", _msql("select masterbill_internal_id, load_id, percent, bar_color from m2"))
+def q_color_band(spark, sf_dir):
+    return _mart(spark, sf_dir).select(ID, "load_id", "percent", "bar_color")
+
+
+@register("percent_text", _msql(
+    "select masterbill_internal_id, load_id, percent, percent_text from m2"))
+def q_percent_text(spark, sf_dir):
+    return _mart(spark, sf_dir).select(ID, "load_id", "percent", "percent_text")
+
+
+@register("norm_risk", _msql(
+    f"select masterbill_internal_id, load_id, {_cat_sql('risk_level')} as cat_level,"
+    f" {_cat_sql('delivery_delay')} as cat_delay,"
+    f" {_cat_sql(chr(39) + '  ' + chr(39) + ' || upper(risk_level) || ' + chr(39) + ' ' + chr(39))}"
+    " as cat_padded from m2"))
+def q_norm_risk(spark, sf_dir):
+    m = _mart(spark, sf_dir)
+    return m.select(ID, "load_id", R.norm_risk(F.col("risk_level")).alias("cat_level"),
+                    R.norm_risk(F.col("delivery_delay")).alias("cat_delay"),
+                    R.norm_risk(F.concat(F.lit("  "), F.upper("risk_level"), F.lit(" ")))
+                    .alias("cat_padded"))
+
+
+def _fb_sql(x: str) -> str:
+    t = f"lower(trim(coalesce({x}, '')))"
+    return (f"case when {t} in ('high risk', 'delayed', 'delay', 'late') then 95.0"
+            f" when {t} in ('medium', 'warning') then 80.0"
+            f" when {t} in ('at risk', 'low') then 60.0 else 25.0 end")
+
+
+@register("fallback_percent", _msql(
+    f"select masterbill_internal_id, load_id, {_fb_sql('risk_level')} as fb_level,"
+    f" {_fb_sql('delivery_delay')} as fb_delay from m2"))
+def q_fallback_percent(spark, sf_dir):
+    m = _mart(spark, sf_dir)
+    return m.select(ID, "load_id", R.fallback_percent(F.col("risk_level")).alias("fb_level"),
+                    R.fallback_percent(F.col("delivery_delay")).alias("fb_delay"))
+
+
+def _tp_sql(text: str) -> str:
+    v = f"try_cast(replace(replace(trim({text}), '%', ''), ',', '') as double)"
+    return (f"case when trim({text}) = '' or {v} is null or isnan({v}) then null"
+            f" when {v} < 0 then 0.0 when {v} > 100 then 100.0 else {v} end")
+
+
+@register("to_percent", _msql(
+    "select masterbill_internal_id, load_id, "
+    + _tp_sql("(cast(risk_factor as varchar) || '%')") + " as from_pct, "
+    + _tp_sql("(' ' || cast(round(margin_value) as bigint) || ' ')") + " as from_margin, "
+    + _tp_sql("('-' || cast(risk_factor as varchar))") + " as from_negative, "
+    + _tp_sql("case when hazardous_material_flag then '' else"
+              " cast(cast(distance_km as bigint) as varchar) end") + " as from_distance, "
+    + _tp_sql("coalesce(carrier_name, '')") + " as from_text from m2"))
+def q_to_percent(spark, sf_dir):
+    m = _mart(spark, sf_dir)
+    s = lambda c: c.cast("string")
+    return m.select(
+        ID, "load_id",
+        R.to_percent(F.concat(s(F.col("risk_factor")), F.lit("%"))).alias("from_pct"),
+        R.to_percent(F.concat(F.lit(" "), s(F.round("margin_value").cast("long")), F.lit(" ")))
+        .alias("from_margin"),
+        R.to_percent(F.concat(F.lit("-"), s(F.col("risk_factor")))).alias("from_negative"),
+        R.to_percent(F.when(F.col("hazardous_material_flag"), F.lit(""))
+                     .otherwise(s(F.col("distance_km").cast("long")))).alias("from_distance"),
+        R.to_percent(F.coalesce(F.col("carrier_name"), F.lit(""))).alias("from_text"))
+
+
+@register("filter_risk", _msql(f"select * from m2 where category in {_CHOSEN!r}"))
+def q_filter_risk(spark, sf_dir):
+    return mart.filter_risk(_mart(spark, sf_dir), _CHOSEN)
+
+
+@register("search_shipments", _msql(_search_sql("m2")))
+def q_search_shipments(spark, sf_dir):
+    return mart.search(_mart(spark, sf_dir), _SEARCH_TEXT)
+
+
+_FILTERED = f"({_search_sql('m2')} and category in {_CHOSEN!r})"
+
+
+@register("page_info", _msql(
+    f"select count(*) as rows, greatest(1, cast(ceil(count(*) / 10.0) as bigint)) as pages,"
+    f" least(greatest({_PAGE}, 1), greatest(1, cast(ceil(count(*) / 10.0) as bigint))) as page"
+    f" from {_FILTERED}"))
+def q_page_info(spark, sf_dir):
+    return mart.page_info(mart.search(mart.filter_risk(_mart(spark, sf_dir), _CHOSEN),
+                                      _SEARCH_TEXT), _PAGE)
+
+
+@register("page_rows", _msql(
+    f"select * exclude (rn, n) from (select *, row_number() over (order by {_ORDER_SQL}) as rn,"
+    f" count(*) over () as n from {_FILTERED})"
+    f" where rn > (least({_PAGE}, greatest(1, ceil(n / 10.0))) - 1) * 10"
+    f" and rn <= least({_PAGE}, greatest(1, ceil(n / 10.0))) * 10"))
+def q_page_rows(spark, sf_dir):
+    return mart.page(mart.search(mart.filter_risk(_mart(spark, sf_dir), _CHOSEN), _SEARCH_TEXT),
+                     _PAGE)
+
+
+@register("kpis", _msql(
+    "select count(*) filter (where delivery_delay = 'Delayed') as delayed,"
+    " round(avg(distance_km), 1) as avg_distance_km, round(avg(total_weight), 1) as avg_weight,"
+    " count(*) filter (where hazardous_material_flag) as hazardous from m2"))
+def q_kpis(spark, sf_dir):
+    return mart.kpis(_mart(spark, sf_dir))
