@@ -571,3 +571,26 @@ def q_page_rows(spark, sf_dir):
     " count(*) filter (where hazardous_material_flag) as hazardous from m2"))
 def q_kpis(spark, sf_dir):
     return mart.kpis(_mart(spark, sf_dir))
+
+
+# ------------------------------------------------------ S8: keyed upsert
+from .sources import sinks  # noqa: E402
+
+
+@register("upsert_by_key", _esql(
+    """select * from (
+  select fd.masterbill_internal_id, fd.volume_cm3, fd.distance_km, bw.total_weight,
+    fd.hazardous_material_flag, fd.margin_value
+  from fd join (select masterbill_internal_id, sum(cast(weight as double)) as total_weight
+                from item_weight where weight_type = 'billed' group by masterbill_internal_id) bw
+    using (masterbill_internal_id)
+  union all
+  select * from fd where not exists (
+    select 1 from item_weight w where w.weight_type = 'billed'
+      and w.masterbill_internal_id = fd.masterbill_internal_id))""", "fd"))
+def q_upsert_by_key(spark, sf_dir):
+    t = fx(spark, sf_dir)
+    old = ft.feature_table(t, dedupe=True)
+    billed = feat.total_weight(t["item_weight"], "billed")
+    new = old.drop("total_weight").join(billed, ID, "inner").select(*old.columns)
+    return sinks.upsert(old, new, [ID])
