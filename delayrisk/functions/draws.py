@@ -15,9 +15,11 @@ from .. import ID
 
 
 def draw(salt: str, key: Column | str = ID) -> Column:
-    """Integer draw in [0, 2**32) from md5(``salt:key``); null key -> null."""
+    """Integer draw in [0, 2**32) from md5(``salt:key``); a null key hashes as ''
+    so that every row, like with ``rand``, gets a value."""
     k = F.col(key) if isinstance(key, str) else key
-    hexed = F.substring(F.md5(F.concat(F.lit(f"{salt}:"), k.cast("string"))), 1, 8)
+    text = F.concat(F.lit(f"{salt}:"), F.coalesce(k.cast("string"), F.lit("")))
+    hexed = F.substring(F.md5(text), 1, 8)
     return F.conv(hexed, 16, 10).cast("bigint")
 
 

@@ -68,7 +68,7 @@ from orders join customer on o_custkey = c_custkey where o_orderkey % 13 <> 0"""
 
 def draw(salt: str, id_expr: str = "masterbill_internal_id") -> str:
     """DuckDB twin of ``functions.draws.draw`` (first 8 hex digits of md5)."""
-    return (f"cast('0x' || substr(md5('{salt}:' || cast({id_expr} as varchar)), 1, 8)"
+    return (f"cast('0x' || substr(md5('{salt}:' || coalesce(cast({id_expr} as varchar), '')), 1, 8)"
             f" as bigint)")
 
 

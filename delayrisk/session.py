@@ -32,6 +32,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config(CHECKPOINT_CONF, os.environ.get("DELAYRISK_CHECKPOINT_DIR")
                 or tempfile.mkdtemp(prefix="delayrisk-ckpt-"))
+        .config("spark.sql.warehouse.dir", os.environ.get("DELAYRISK_WAREHOUSE")
+                or tempfile.mkdtemp(prefix="delayrisk-wh-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
