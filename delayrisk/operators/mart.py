@@ -7,8 +7,6 @@ so the filters run where the data is and only a page or a KPI row comes back.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,17 +104,28 @@ def page_info(df: DataFrame, page: int, size: int = PAGE_SIZE) -> DataFrame:
 
 
 def page(df: DataFrame, number: int, size: int = PAGE_SIZE, order=ORDER) -> DataFrame:
-    """B5 + T2: rows of one page (clamped), in the fixed order.
-
-    The clamp needs the row count (one aggregate job); the page itself is
-    an ordered top-(offset + size) with an offset, so each task keeps at
-    most that many rows.  For deep pages use ``page_after``.
+    """B5 + T2: rows of one page, the page clamped to [1, pages], in the fixed order.
+
+    One lazy plan: an ordered top-(number * size) over the data (each task
+    keeps at most that many rows), then the clamp and the slice on those
+    few rows.  If fewer than number * size rows exist, that count is the
+    total and decides the last page; otherwise the page exists as asked.
+    The small window below runs on the bounded top-k only.  For deep pages
+    use ``page_after``.
     """
-    rows = df.count()
-    pages = max(1, math.ceil(rows / size))
-    number = max(1, min(number, pages))
+    from pyspark.sql import Window
+
+    number = max(1, number)
     order = [c for c in order if c in df.columns]
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+    top = df.orderBy(*order).limit(number * size)
+    w = Window.orderBy(*order)
+    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    last = F.greatest(F.lit(1), F.ceil(n / F.lit(float(size))))
+    shown = F.least(F.lit(number).cast("long"), last.cast("long"))
+    ranked = top.select("*", F.row_number().over(w).alias("_rn"), shown.alias("_page"))
+    return (ranked.filter((F.col("_rn") > (F.col("_page") - 1) * size)
+                          & (F.col("_rn") <= F.col("_page") * size))
+            .drop("_rn", "_page"))
 
 
 def page_after(df: DataFrame, last_id, size: int = PAGE_SIZE, key: str = ID) -> DataFrame:

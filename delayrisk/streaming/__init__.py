@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The reference has no streams, watermarks, windows or state; its three jobs
+are full-overwrite batch runs and the dashboard reads a table.  Nothing here
+adds streaming operators it does not have.  Because every job in ``plans``
+is a plain DataFrame plan over a ``Tables`` resolver, a caller that needs
+incremental scoring can run ``plans.inference.predictions`` inside a
+Structured Streaming ``foreachBatch`` without new code in this package.
+"""
