@@ -161,21 +161,28 @@ def feature_parts(t) -> dict[str, DataFrame]:
 FEATURES = ("volume_cm3", "distance_km", "total_weight", "hazardous_material_flag", "margin_value")
 
 
-def feature_join(t) -> DataFrame:
+def feature_join(t, with_description: bool = True) -> DataFrame:
     """J1 + I1: the reference's joined feature rows, before the fills.
 
     The parts are joined in the reference's order; the drop-event part is
     joined but never read, and Catalyst removes that join.  Rows are the
     distinct combinations of each id's distance, margin and description
     values (ledger L5); the default hazard flag is false, the default margin 0.
+
+    ``with_description=False`` leaves the description out.  The description
+    is dropped after the fills, so for callers that deduplicate the final
+    rows it only multiplies rows that are collapsed again; skipping it saves
+    two line-item-sized scans and their shuffles.
     """
     p = feature_parts(t)
-    joined = join_parts(masterbill_ids(t["masterbill"]),
-                        [p["distance"], p["item_volume"], p["total_weight"], p["hazmat_flag"],
-                         p["margin"], p["drop_events"], p["item_description"]])
-    return joined.select(
-        ID, "volume_cm3", "distance_km", "total_weight",
-        F.coalesce("hazardous_material_flag", F.lit(False)).alias("hazardous_material_flag"),
-        F.coalesce("margin_value", F.lit(0.0)).alias("margin_value"),
-        "item_description",
-    ).distinct()
+    parts = [p["distance"], p["item_volume"], p["total_weight"], p["hazmat_flag"],
+             p["margin"], p["drop_events"]]
+    if with_description:
+        parts.append(p["item_description"])
+    joined = join_parts(masterbill_ids(t["masterbill"]), parts)
+    cols = [ID, "volume_cm3", "distance_km", "total_weight",
+            F.coalesce("hazardous_material_flag", F.lit(False)).alias("hazardous_material_flag"),
+            F.coalesce("margin_value", F.lit(0.0)).alias("margin_value")]
+    if with_description:
+        cols.append("item_description")
+    return joined.select(*cols).distinct()

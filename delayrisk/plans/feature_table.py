@@ -14,7 +14,8 @@ def fill_features(bag: DataFrame) -> DataFrame:
     The description is filled although it is dropped right after; the fill
     is kept so that ``dedupe=False`` rows stay the reference's bag.
     """
-    bag = impute.fill_category(bag, "item_description")
+    if "item_description" in bag.columns:
+        bag = impute.fill_category(bag, "item_description")
     bag = impute.fill_constants(bag, {"distance_km": 0.0})
     bag = impute.fill_uniform(bag, "total_weight")
     bag = impute.fill_constants(bag, {"volume_cm3": 0.0})
@@ -28,7 +29,9 @@ def feature_table(tables, dedupe: bool = False) -> DataFrame:
     (distance, margin, description) combination of an id, with the
     description dropped at the end, so an id can repeat (ledger L5).
     ``dedupe=True`` keeps one row per distinct feature tuple, which is what
-    training and scoring want.
+    training and scoring want; those rows do not depend on the description
+    (every fill is per id), so that part is not built at all.
     """
-    out = fill_features(feat.feature_join(tables))
-    return out.distinct() if dedupe else out
+    if dedupe:
+        return fill_features(feat.feature_join(tables, with_description=False)).distinct()
+    return fill_features(feat.feature_join(tables))

@@ -18,6 +18,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from .. import ID
 from ..operators import labels as lab
 from ..operators import model as mdl
 from ..sources import sinks
@@ -35,14 +36,16 @@ def _name(db: str, table: str) -> str:
 
 
 def feature_job(spark: SparkSession, tables, db: str = "", dedupe: bool = False) -> str:
+    """Write the feature table bucketed by id, so later joins on the id and
+    the distinct over its rows read co-partitioned files without a shuffle."""
     name = _name(db, FEATURES_TABLE)
-    sinks.overwrite(feature_table(tables, dedupe=dedupe), name)
+    sinks.overwrite(feature_table(tables, dedupe=dedupe), name, bucket_by=[ID])
     return name
 
 
 def label_job(spark: SparkSession, tables, db: str = "") -> str:
     name = _name(db, LABELS_TABLE)
-    sinks.overwrite(lab.delay_labels(tables["activity"]), name)
+    sinks.overwrite(lab.delay_labels(tables["activity"]), name, bucket_by=[ID])
     return name
 
 

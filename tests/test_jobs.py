@@ -21,3 +21,20 @@ def test_run_all(spark, tmp_path):
     # a second run registers version 2 and keeps the table's schema
     out2 = jobs.run_all(spark, t, "e2e", root=str(tmp_path / "models"))
     assert out2["version"] == 2
+
+
+def test_training_join_on_bucketed_tables_is_shuffle_free(spark, tmp_path):
+    from delayrisk.plans import training as tr
+    t = Tables.from_fixture(spark, SF_SMALL)
+    spark.sql("CREATE DATABASE IF NOT EXISTS e2b")
+    jobs.feature_job(spark, t, "e2b")
+    jobs.label_job(spark, t, "e2b")
+    feats = spark.table("e2b.feature_masterbill").distinct()
+    data = tr.labelled_features(t, feats, spark.table("e2b.delivery_delay_labels"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = data._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
