@@ -69,17 +69,24 @@ def fallback_percent(label: Column) -> Column:
     return out.otherwise(FALLBACK_DEFAULT)
 
 
-def to_percent(x: Column) -> Column:
+def clamp_percent(v: Column) -> Column:
+    """Number -> percent clamped to [0, 100]; NaN and null -> null."""
+    return (F.when(v.isNull() | F.isnan(v), F.lit(None).cast("double"))
+            .when(v < 0, 0.0).when(v > 100, 100.0).otherwise(v))
+
+
+def to_percent(x: Column, numeric: bool = False) -> Column:
     """number or text -> percent clamped to [0, 100]; bad text, NaN, null -> null.
 
     Text loses surrounding whitespace, '%' and ',' before it is read as a
-    number.  NaN becomes null before the clamp (L21).
+    number.  ``numeric=True`` is the path for a numeric column (no text
+    round trip), like the app's ``float(x)`` branch.
     """
+    if numeric:
+        return clamp_percent(x.cast("double"))
     s = F.btrim(x.cast("string"), F.lit(_WS))
     s = F.replace(F.replace(s, F.lit("%"), F.lit("")), F.lit(","), F.lit(""))
-    v = F.when(s == "", None).otherwise(s.try_cast("double"))
-    return (F.when(v.isNull() | F.isnan(v), F.lit(None).cast("double"))
-            .when(v < 0, 0.0).when(v > 100, 100.0).otherwise(v))
+    return clamp_percent(F.when(s == "", None).otherwise(s.try_cast("double")))
 
 
 def percent_text(p: Column) -> Column:

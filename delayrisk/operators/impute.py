@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import ID
@@ -22,20 +22,38 @@ def fill_constants(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
     return df.fillna(dict(values))
 
 
-def fill_category(df: DataFrame, col: str, choices=DESCRIPTION_CHOICES,
-                  salt: str = "description", key: str = ID) -> DataFrame:
-    """A missing category becomes one of two words, 50/50 by a per-id draw."""
+def category_fill(col: str, choices=DESCRIPTION_CHOICES, salt: str = "description",
+                  key: str = ID) -> Column:
+    """I3 as a Column: a missing category becomes one of two words, 50/50 by a per-id draw."""
     first, second = choices
     pick = F.when(coin(salt, key), F.lit(first)).otherwise(F.lit(second))
-    return df.withColumn(col, F.when(F.col(col).isNull(), pick).otherwise(F.col(col)))
+    return F.when(F.col(col).isNull(), pick).otherwise(F.col(col))
 
 
-def fill_uniform(df: DataFrame, col: str, lo: float = WEIGHT_RANGE[0], hi: float = WEIGHT_RANGE[1],
-                 salt: str = "weight", places: int = 3, key: str = ID) -> DataFrame:
-    """I4: a missing number becomes a per-id draw in [lo, hi], rounded."""
+def uniform_fill(col: str, lo: float = WEIGHT_RANGE[0], hi: float = WEIGHT_RANGE[1],
+                 salt: str = "weight", places: int = 3, key: str = ID) -> Column:
+    """I4 as a Column: a missing number becomes a per-id draw in [lo, hi], rounded."""
     steps = 10 ** places
     v = F.round(F.lit(lo) + uniform(salt, key, steps) * F.lit(hi - lo), places)
-    return df.withColumn(col, F.when(F.col(col).isNull(), v).otherwise(F.col(col)))
+    return F.when(F.col(col).isNull(), v).otherwise(F.col(col))
+
+
+def constant_fill(col: str, value: float) -> Column:
+    """I2 as a Column for a numeric column: null or NaN becomes ``value``."""
+    c = F.col(col)
+    return F.when(c.isNull() | F.isnan(c), F.lit(value)).otherwise(c)
+
+
+def fill_category(df: DataFrame, col: str, choices=DESCRIPTION_CHOICES,
+                  salt: str = "description", key: str = ID) -> DataFrame:
+    """I3 on a frame."""
+    return df.withColumn(col, category_fill(col, choices, salt, key))
+
+
+def fill_uniform(df: DataFrame, col: str, lo: float = WEIGHT_RANGE[0], hi: float = WEIGHT_RANGE[1],
+                 salt: str = "weight", places: int = 3, key: str = ID) -> DataFrame:
+    """I4 on a frame."""
+    return df.withColumn(col, uniform_fill(col, lo, hi, salt, places, key))
 
 
 def fill_median(df: DataFrame, col: str, error: float = 0.01) -> DataFrame:

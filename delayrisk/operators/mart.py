@@ -62,14 +62,21 @@ def head_rows(df: DataFrame, cols=MART_COLS, n: int = FETCH_CAP, order=ORDER) ->
 
 
 def display_columns(df: DataFrame) -> DataFrame:
-    """B1 + B2 + B6 + F11: percent, label, category, bar colour and text."""
-    pct = F.coalesce(R.to_percent(F.col("risk_factor")), R.fallback_percent(F.col("risk_level")))
+    """B1 + B2 + B6 + F11: percent, label, category, bar colour and text.
+
+    Two projections: the percent is computed once and then referenced
+    (Catalyst keeps a non-cheap expression that is used several times in
+    its own projection instead of inlining copies of it).
+    """
+    rf = F.col("risk_factor")
+    numeric = isinstance(df.schema["risk_factor"].dataType, T.NumericType)
+    pct = F.coalesce(R.to_percent(rf, numeric), R.fallback_percent(F.col("risk_level")))
     label = F.coalesce(F.col("risk_level"), F.lit(R.NO_LEVEL))
-    return (df.withColumn("percent", pct)
-            .withColumn("label", label)
-            .withColumn("category", R.norm_risk(F.col("label")))
-            .withColumn("bar_color", R.color_band(F.col("percent")))
-            .withColumn("percent_text", R.percent_text(R.bar_percent(F.col("percent")))))
+    base = df.select("*", pct.alias("percent"), label.alias("label"))
+    p = F.col("percent")
+    return base.select("*", R.norm_risk(F.col("label")).alias("category"),
+                       R.color_band(p).alias("bar_color"),
+                       R.percent_text(R.bar_percent(p)).alias("percent_text"))
 
 
 def filter_risk(df: DataFrame, levels=()) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import features as feat
 from ..operators import impute
@@ -11,15 +12,15 @@ from ..operators import impute
 def fill_features(bag: DataFrame) -> DataFrame:
     """The reference's fills, in its order, then the description is dropped.
 
-    The description is filled although it is dropped right after; the fill
-    is kept so that ``dedupe=False`` rows stay the reference's bag.
+    The reference fills the description and drops it right after, so that
+    fill has no effect on the rows and is left out.  The three numeric fills
+    are one projection: distance 0, weight drawn per id, volume 0.
     """
-    if "item_description" in bag.columns:
-        bag = impute.fill_category(bag, "item_description")
-    bag = impute.fill_constants(bag, {"distance_km": 0.0})
-    bag = impute.fill_uniform(bag, "total_weight")
-    bag = impute.fill_constants(bag, {"volume_cm3": 0.0})
-    return bag.drop("item_description")
+    fills = {"distance_km": impute.constant_fill("distance_km", 0.0),
+             "total_weight": impute.uniform_fill("total_weight"),
+             "volume_cm3": impute.constant_fill("volume_cm3", 0.0)}
+    return bag.select(*[fills[c].alias(c) if c in fills else F.col(c)
+                        for c in bag.columns if c != "item_description"])
 
 
 def feature_table(tables, dedupe: bool = False) -> DataFrame:

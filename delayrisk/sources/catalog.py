@@ -13,6 +13,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import schema
 from . import fixture
 
 INPUT_TABLES = tuple(fixture.VIEWS)
@@ -23,10 +24,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession,
                  names: Mapping[str, str] | None = None,
-                 factories: Mapping[str, Callable[[], DataFrame]] | None = None):
+                 factories: Mapping[str, Callable[[], DataFrame]] | None = None,
+                 check: bool = True, strict: bool = False):
         self.spark = spark
         self._names = dict(names or {})
         self._factories = dict(factories or {})
+        self.check = check
+        self.strict = strict
 
     def __getitem__(self, name: str) -> DataFrame:
         return read_table(self, name)
@@ -58,12 +62,16 @@ class Tables:
 
 
 def read_table(tables: Tables, name: str) -> DataFrame:
-    """Scan a table by logical name."""
+    """Scan a table by logical name, checked against its declared columns."""
     if name in tables._factories:
-        return tables._factories[name]()
-    if name in tables._names:
-        return tables.spark.table(tables._names[name])
-    raise KeyError(f"unknown table {name!r}")
+        df = tables._factories[name]()
+    elif name in tables._names:
+        df = tables.spark.table(tables._names[name])
+    else:
+        raise KeyError(f"unknown table {name!r}")
+    if tables.check and name in schema.INPUTS:
+        schema.check(df, schema.INPUTS[name], name, tables.strict)
+    return df
 
 
 def use_namespace(spark: SparkSession, database: str, catalog: str | None = None) -> None:

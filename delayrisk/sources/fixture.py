@@ -29,21 +29,26 @@ def _days(n, ts: Column) -> Column:
 
 
 class DriverTables:
-    """Lazy readers for the driver's parquet tables in one folder."""
+    """Lazy readers for the driver's parquet tables in one folder.
+
+    One reader per (session, folder, table): the file listing and footer
+    read happen once, however many views and queries select from it.  The
+    reader is a lazy plan, so this holds no data.
+    """
+
+    _readers: dict[tuple, DataFrame] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self._read: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in DRIVER_TABLES:
             raise AttributeError(name)
-        # One reader per table: the file listing and footer read happen once,
-        # however many views select from it.
-        if name not in self._read:
-            self._read[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return self._read[name]
+        key = (id(self.spark._jsparkSession), self.sf_dir, name)
+        if key not in self._readers:
+            self._readers[key] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._readers[key]
 
 
 def masterbill(d: DriverTables) -> DataFrame:

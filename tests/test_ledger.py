@@ -272,3 +272,19 @@ def test_exact_median_distributed(spark):
     assert quantile(spark.createDataFrame([(None,)], "v double"), "v", 0.5, 0.0) is None
     approx = quantile(spark.range(1000).select(F.col("id").cast("double").alias("v")), "v", 0.5)
     assert abs(approx - 500) <= 20
+
+
+def test_schema_check_at_boundary(spark):
+    from delayrisk import schema
+    t = Tables.from_fixture(spark, "/root/testdata/sf0.001")
+    for name in schema.INPUTS:
+        assert schema.check(t[name], schema.INPUTS[name], name, strict=True) == []
+    bad = Tables(spark, factories={"carrier": lambda: spark.createDataFrame(
+        [(1,)], f"{ID} long")})
+    with pytest.raises(schema.SchemaError):
+        bad["carrier"]
+    text = Tables(spark, factories={"carrier": lambda: spark.createDataFrame(
+        [(1, "5")], f"{ID} long, distance_km string")})
+    assert text["carrier"].count() == 1  # a text distance is reported, cast later
+    with pytest.raises(schema.SchemaError):
+        Tables(spark, factories=text._factories, strict=True)["carrier"]
