@@ -52,7 +52,7 @@ def train(spark: SparkSession, tables, name: str = MODEL_NAME, root: str | None
     return model, m, version
 
 
-def test_predictions(tables, **kw) -> DataFrame:
+def held_out_predictions(tables, **kw) -> DataFrame:
     """Held-out rows with actual and predicted class and the risk factor."""
     _, pred = fit_and_test(labelled_features(tables), **kw)
     return pred.select(ID, "actual", mdl.LABEL, "risk_factor")
