@@ -236,6 +236,7 @@ from .operators import model as mdl  # noqa: E402
 from .plans import dashboard as dash  # noqa: E402
 from .plans import inference as inf  # noqa: E402
 from .plans import training as tr  # noqa: E402
+from .session import ensure_checkpoint_dir  # noqa: E402
 
 _LABELS_SQL = """select masterbill_internal_id,
   case when max(completion_date) > max(planned_date) then 'Delayed' else 'Not Delayed' end
@@ -431,9 +432,28 @@ def _msql(body: str) -> str:
         f",\n{n} as (\n{s}\n)" for n, s in _MART_SQL) + "\n" + body
 
 
+_PREDICTIONS: dict = {}
+
+
+def _predictions(spark, sf_dir):
+    """E4 on the drawn risk, checkpointed once per (session, folder).
+
+    The dashboard reads a written predictions table, not the scoring plan:
+    a filter on a derived mart column (say the category) would otherwise be
+    pushed through every projection and join with the risk expression
+    inlined into it many times over.  The checkpoint is reliable (written to
+    the session's ``spark.checkpoint.dir``) and cuts the lineage there.
+    """
+    key = (id(spark._jsparkSession), sf_dir)
+    if key not in _PREDICTIONS:
+        ensure_checkpoint_dir(spark)
+        pred = inf.predictions(fx(spark, sf_dir), inf.drawn_scorer())
+        _PREDICTIONS[key] = pred.checkpoint(eager=True)
+    return _PREDICTIONS[key]
+
+
 def _mart(spark, sf_dir):
-    t = fx(spark, sf_dir)
-    return dash.dashboard_mart(inf.predictions(t, inf.drawn_scorer()))
+    return dash.dashboard_mart(_predictions(spark, sf_dir))
 
 
 _SEARCH_TEXT = "Nation_1"
@@ -448,8 +468,7 @@ def _search_sql(src: str) -> str:
 
 @register("mart_head", _esql(f"select {_MART_COLS} from pred order by {_ORDER_SQL} limit 5000"))
 def q_mart_head(spark, sf_dir):
-    t = fx(spark, sf_dir)
-    return mart.head_rows(mart.conform(inf.predictions(t, inf.drawn_scorer())))
+    return mart.head_rows(mart.conform(_predictions(spark, sf_dir)))
 
 
 @register("conform_columns", _esql(
