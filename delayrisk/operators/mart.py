@@ -154,3 +154,14 @@ def kpis(df: DataFrame) -> DataFrame:
         F.round(F.avg(F.col("distance_km").cast("double")), 1).alias("avg_distance_km"),
         F.round(F.avg(F.col("total_weight").cast("double")), 1).alias("avg_weight"),
         F.count_if(F.col("hazardous_material_flag")).alias("hazardous"))
+
+
+def kpi_text(k: DataFrame) -> DataFrame:
+    """the KPI row as display text: counts with thousands separators,
+    averages with one decimal, a dash when an average is missing."""
+    def one_place(c: str) -> Column:
+        return F.when(F.col(c).isNull(), F.lit("—")).otherwise(F.format_string("%.1f", F.col(c)))
+    return k.select(F.format_number(F.col("delayed"), 0).alias("delayed_text"),
+                    one_place("avg_distance_km").alias("avg_distance_text"),
+                    one_place("avg_weight").alias("avg_weight_text"),
+                    F.col("hazardous").cast("string").alias("hazardous_text"))

@@ -236,7 +236,7 @@ from .operators import model as mdl  # noqa: E402
 from .plans import dashboard as dash  # noqa: E402
 from .plans import inference as inf  # noqa: E402
 from .plans import training as tr  # noqa: E402
-from .session import ensure_checkpoint_dir  # noqa: E402
+from .session import ensure_checkpoint_dir, session_key  # noqa: E402
 
 _LABELS_SQL = """select masterbill_internal_id,
   case when max(completion_date) > max(planned_date) then 'Delayed' else 'Not Delayed' end
@@ -324,7 +324,7 @@ def _trained(spark, sf_dir):
     E4 scores with an already trained model (the reference loads a saved
     version); this keeps the scoring queries from fitting the forest again.
     """
-    key = (id(spark._jsparkSession), sf_dir)
+    key = (session_key(spark), sf_dir)
     if key not in _TRAINED:
         _TRAINED[key] = tr.fit_and_test(tr.labelled_features(fx(spark, sf_dir)))
     return _TRAINED[key]
@@ -444,7 +444,7 @@ def _predictions(spark, sf_dir):
     inlined into it many times over.  The checkpoint is reliable (written to
     the session's ``spark.checkpoint.dir``) and cuts the lineage there.
     """
-    key = (id(spark._jsparkSession), sf_dir)
+    key = (session_key(spark), sf_dir)
     if key not in _PREDICTIONS:
         ensure_checkpoint_dir(spark)
         pred = inf.predictions(fx(spark, sf_dir), inf.drawn_scorer())
@@ -627,3 +627,15 @@ def q_upsert_by_key(spark, sf_dir):
     billed = feat.total_weight(t["item_weight"], "billed")
     new = old.drop("total_weight").join(billed, ID, "inner").select(*old.columns)
     return sinks.upsert(old, new, [ID])
+
+
+@register("kpi_text", _msql(
+    "select format('{:,}', delayed) as delayed_text,"
+    " coalesce(printf('%.1f', avg_distance_km), '—') as avg_distance_text,"
+    " coalesce(printf('%.1f', avg_weight), '—') as avg_weight_text,"
+    " cast(hazardous as varchar) as hazardous_text from ("
+    "select count(*) filter (where delivery_delay = 'Delayed') as delayed,"
+    " round(avg(distance_km), 1) as avg_distance_km, round(avg(total_weight), 1) as avg_weight,"
+    " count(*) filter (where hazardous_material_flag) as hazardous from m2)"))
+def q_kpi_text(spark, sf_dir):
+    return mart.kpi_text(mart.kpis(_mart(spark, sf_dir)))

@@ -57,3 +57,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
+
+
+def session_key(spark: SparkSession) -> tuple:
+    """Identity of a live session for per-session memos (lazy readers, a
+    trained model, checkpointed predictions): the application id changes
+    with every new SparkContext, so a stopped session's entries never match."""
+    return (spark.sparkContext.applicationId, id(spark._jsparkSession))

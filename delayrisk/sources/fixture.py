@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ID
+from ..session import session_key
 
 DRIVER_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -45,7 +46,7 @@ class DriverTables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in DRIVER_TABLES:
             raise AttributeError(name)
-        key = (id(self.spark._jsparkSession), self.sf_dir, name)
+        key = (session_key(self.spark), self.sf_dir, name)
         if key not in self._readers:
             self._readers[key] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._readers[key]

@@ -288,3 +288,19 @@ def test_schema_check_at_boundary(spark):
     assert text["carrier"].count() == 1  # a text distance is reported, cast later
     with pytest.raises(schema.SchemaError):
         Tables(spark, factories=text._factories, strict=True)["carrier"]
+
+
+def test_kpi_text(spark):
+    k = spark.createDataFrame([(12345, 1234.56, None, 7)],
+                              "delayed long, avg_distance_km double, avg_weight double, hazardous long")
+    assert tuple(mart.kpi_text(k).first()) == ("12,345", "1234.6", "—", "7")
+
+
+def test_use_namespace(spark):
+    from delayrisk.sources.catalog import use_namespace
+    spark.sql("CREATE DATABASE IF NOT EXISTS ns_test")
+    use_namespace(spark, "ns_test")
+    try:
+        assert spark.catalog.currentDatabase() == "ns_test"
+    finally:
+        use_namespace(spark, "default")
