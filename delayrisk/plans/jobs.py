@@ -21,6 +21,7 @@ from pyspark.sql import SparkSession
 from .. import ID
 from ..operators import labels as lab
 from ..operators import model as mdl
+from ..session import tune_for_skew
 from ..sources import sinks
 from . import inference as inf
 from . import training as tr
@@ -72,6 +73,7 @@ def scoring_job(spark: SparkSession, tables, db: str = "", name: str = tr.MODEL_
 
 
 def run_all(spark: SparkSession, tables, db: str = "", root: str | None = None) -> dict:
+    tune_for_skew(spark)
     if db:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
     feature_job(spark, tables, db)

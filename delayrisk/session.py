@@ -27,6 +27,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("DELAYRISK_DRIVER_MEM", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -64,3 +65,24 @@ def session_key(spark: SparkSession) -> tuple:
     trained model, checkpointed predictions): the application id changes
     with every new SparkContext, so a stopped session's entries never match."""
     return (spark.sparkContext.applicationId, id(spark._jsparkSession))
+
+
+# Runtime SQL settings the jobs rely on at scale.  AQE re-plans with measured
+# sizes; skew join splits a hot key's partition; forcing it lets AQE split
+# even when that needs one more shuffle after the join (for example a join
+# that feeds a distinct on the same key), which is the case in the feature
+# description and the final deduplication.
+SKEW_SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+}
+
+
+def tune_for_skew(spark: SparkSession) -> None:
+    """Apply ``SKEW_SETTINGS`` except where the launcher set a value."""
+    launched = spark.sparkContext.getConf()
+    for key, value in SKEW_SETTINGS.items():
+        if not launched.contains(key):
+            spark.conf.set(key, value)

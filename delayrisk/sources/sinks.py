@@ -34,11 +34,18 @@ def overwrite(df: DataFrame, name: str, bucket_by: Sequence[str] | None = None,
 
 
 def _swap(spark: SparkSession, df: DataFrame, name: str, **kw) -> None:
-    staging = f"{name}__staging"
+    """Write ``df`` completely to a staging table, then move it into place.
+
+    The old table is renamed aside first and dropped last, so a failure at
+    any step leaves either the old or the new contents under a known name.
+    """
+    staging, old = f"{name}__staging", f"{name}__old"
     spark.sql(f"DROP TABLE IF EXISTS {staging}")
     overwrite(df, staging, **kw)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"DROP TABLE IF EXISTS {old}")
+    spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
     spark.sql(f"ALTER TABLE {staging} RENAME TO {name}")
+    spark.sql(f"DROP TABLE IF EXISTS {old}")
 
 
 def grow_schema(df: DataFrame, old_columns: Sequence[tuple[str, str]]) -> DataFrame:

@@ -45,3 +45,4 @@ def test_merge_into_table(spark):
     got = sorted(tuple(r) for r in spark.table("t_merge").collect())
     assert got == [(1, "a"), (2, "B"), (3, "c")]
     assert not spark.catalog.tableExists("t_merge__staging")
+    assert not spark.catalog.tableExists("t_merge__old")
