@@ -28,6 +28,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        .config("spark.sql.autoBroadcastJoinThreshold", "-1")
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "32MB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("DELAYRISK_DRIVER_MEM", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -71,12 +73,18 @@ def session_key(spark: SparkSession) -> tuple:
 # sizes; skew join splits a hot key's partition; forcing it lets AQE split
 # even when that needs one more shuffle after the join (for example a join
 # that feeds a distinct on the same key), which is the case in the feature
-# description and the final deduplication.
+# description and the final deduplication.  Broadcasts are decided only on
+# measured sizes: the planner's estimate (compressed file bytes) is not a
+# bound on a side's in-memory size, so it is switched off, and AQE turns a
+# sort-merge join into a broadcast join when a side's shuffle output,
+# measured at run time, is under 32 MB.
 SKEW_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
 }
 
 
