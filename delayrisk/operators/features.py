@@ -75,7 +75,10 @@ def total_weight(item_weight: DataFrame, weight_type: str = "actual") -> DataFra
 
 
 def hazard_text(c: Column) -> Column:
-    """Text flag -> boolean; text Spark cannot read as a boolean becomes null."""
+    """Text flag -> boolean; text Spark cannot read as a boolean becomes null.
+
+    Already-boolean input passes through unchanged.
+    """
     return c.try_cast("boolean")
 
 
@@ -86,6 +89,19 @@ def hazmat_flag(lines: DataFrame) -> DataFrame:
                  .alias("hazardous_material_flag")))
 
 
+def line_summary(lines: DataFrame) -> DataFrame:
+    """One row per (id, description) of the line items, the flag pre-folded.
+
+    Both the hazard flag and the description set come from this, so the
+    line-item table is scanned and shuffled once for the two parts (the
+    second use reads the same exchange).  ``bool_or`` folds in stages, so
+    folding per (id, description) first and per id after gives the same flag.
+    """
+    return (lines.groupBy(ID, "description")
+            .agg(F.bool_or(hazard_text(F.col("hazardous_material_flag")))
+                 .alias("hazardous_material_flag")))
+
+
 def current_margin(margins: DataFrame, margin_type: str = "CurrentMargin") -> DataFrame:
     """P6 + D1: the set of current margins of each id."""
     return (margins.filter(F.col("margin_type") == margin_type)
@@ -147,14 +163,15 @@ def masterbill_ids(masterbill: DataFrame) -> DataFrame:
 
 def feature_parts(t) -> dict[str, DataFrame]:
     """All parts of E1 from a ``Tables`` resolver, by name."""
+    lines = line_summary(t["itemgroup_line_item"])
     return {
         "distance": distance(t["carrier"]),
         "item_volume": item_volume(t["item_dimension"]),
         "total_weight": total_weight(t["item_weight"]),
-        "hazmat_flag": hazmat_flag(t["itemgroup_line_item"]),
+        "hazmat_flag": hazmat_flag(lines),
         "margin": current_margin(t["masterbill_margins"]),
         "drop_events": drop_events(t["tracking_shipment_status"]),
-        "item_description": item_description(t["item_group"], t["itemgroup_line_item"]),
+        "item_description": item_description(t["item_group"], lines),
     }
 
 
