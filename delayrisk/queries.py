@@ -639,3 +639,9 @@ def q_upsert_by_key(spark, sf_dir):
     " count(*) filter (where hazardous_material_flag) as hazardous from m2)"))
 def q_kpi_text(spark, sf_dir):
     return mart.kpi_text(mart.kpis(_mart(spark, sf_dir)))
+
+
+def reset_memos() -> None:
+    """Forget the per-session trained model and written predictions."""
+    _TRAINED.clear()
+    _PREDICTIONS.clear()
