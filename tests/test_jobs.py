@@ -38,3 +38,19 @@ def test_training_join_on_bucketed_tables_is_shuffle_free(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_output_schemas_as_declared(spark):
+    from delayrisk import schema
+    from delayrisk.operators import labels as lab
+    from delayrisk.plans.feature_table import feature_table
+    t = Tables.from_fixture(spark, SF_SMALL)
+    ft = feature_table(t)
+    assert schema.check(ft, schema.OUTPUTS["feature_masterbill"], strict=True) == []
+    assert ft.columns == [f.name for f in schema.OUTPUTS["feature_masterbill"].fields]
+    lb = lab.delay_labels(t["activity"])
+    assert schema.check(lb, schema.OUTPUTS["delivery_delay_labels"], strict=True) == []
+    pred = spark.table("e2e.delivery_delay_predictions") if spark.catalog.tableExists(
+        "e2e.delivery_delay_predictions") else None
+    if pred is not None:
+        assert schema.check(pred, mart.MART_SCHEMA, strict=True) == []

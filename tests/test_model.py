@@ -83,3 +83,20 @@ def test_train_records_run(spark, tmp_path):
     assert version == 1 and set(metrics) == {"accuracy", "f1"}
     runs = spark.read.parquet(f"{root}/model_runs").collect()
     assert runs[0]["version"] == 1 and runs[0]["accuracy"] == metrics["accuracy"]
+
+
+def test_pipeline_with_description_encoding(spark):
+    from delayrisk.operators import features as feat
+    from delayrisk.operators import impute
+    from delayrisk.operators import labels as lab
+    t = Tables.from_fixture(spark, "/root/testdata/sf0.001")
+    bag = impute.fill_category(feat.feature_join(t), "item_description")
+    bag = impute.fill_constants(bag, {"distance_km": 0.0, "volume_cm3": 0.0})
+    bag = impute.fill_uniform(bag, "total_weight")
+    data = mdl.training_set(bag, lab.delay_labels(t["activity"]))
+    train, test = mdl.split_by_id(data)
+    model = mdl.fit(train, encode=True)
+    out = mdl.score(test, model)
+    assert out.count() == test.count()
+    assert out.filter(F.col("risk_factor").isNull()).count() == 0
+    assert "item_description" in out.columns
