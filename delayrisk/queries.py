@@ -336,7 +336,14 @@ def q_train_forest(spark, sf_dir):
     return pred.select(ID, "actual", mdl.LABEL, "risk_factor")
 
 
-@register("encode_description")
+@register("encode_description", _fsql(
+    f"""select f.masterbill_internal_id, f.item_description, i.item_description_index
+from (select masterbill_internal_id, {_FILL_DESC} as item_description from bag) f
+join (select item_description,
+        cast(row_number() over (order by count(*) desc, item_description) - 1 as double)
+          as item_description_index
+      from (select {_FILL_DESC} as item_description from bag) group by item_description) i
+  using (item_description)"""))
 def q_encode_description(spark, sf_dir):
     return tr.encode_description(fx(spark, sf_dir))
 
