@@ -46,3 +46,19 @@ def test_merge_into_table(spark):
     assert got == [(1, "a"), (2, "B"), (3, "c")]
     assert not spark.catalog.tableExists("t_merge__staging")
     assert not spark.catalog.tableExists("t_merge__old")
+
+
+def test_upsert_into_bucketed_table_shuffles_only_new_keys(spark):
+    spark.sql("DROP TABLE IF EXISTS t_bucketed")
+    old = spark.range(0, 1000).select(F.col("id"), (F.col("id") * 2).alias("v"))
+    sinks.create_keyed(old, "t_bucketed", ["id"])
+    new = spark.range(500, 1500).select(F.col("id"), F.lit(-1).cast("long").alias("v"))
+    prev = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = sinks.upsert(spark.table("t_bucketed"), new, ["id"])._jdf.queryExecution() \
+            .executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)
+    assert plan.count("Exchange hashpartitioning") == 1  # the new keys only
+    assert sinks.upsert(spark.table("t_bucketed"), new, ["id"]).count() == 1500
