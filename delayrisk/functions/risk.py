@@ -29,6 +29,11 @@ COLOR_TOP = "#e74c3c"
 NO_LEVEL = "On Time"
 # Whitespace that Python's str.strip() removes (ASCII part).
 _WS = " \t\n\r\x0b\x0c"
+# Text Python's float() accepts: digits with single '_' between them, an
+# optional point and exponent, or inf / infinity / nan (any case).
+_DIGITS = r"[0-9](?:_?[0-9])*"
+FLOAT_TEXT = (rf"^[+-]?(?:(?:(?:{_DIGITS})?\.{_DIGITS}|{_DIGITS}\.?)(?:[eE][+-]?{_DIGITS})?"
+              r"|(?i:inf|infinity|nan))$")
 
 
 def risk_level(c: Column, contiguous: bool = False) -> Column:
@@ -86,7 +91,9 @@ def to_percent(x: Column, numeric: bool = False) -> Column:
         return clamp_percent(x.cast("double"))
     s = F.btrim(x.cast("string"), F.lit(_WS))
     s = F.replace(F.replace(s, F.lit("%"), F.lit("")), F.lit(","), F.lit(""))
-    return clamp_percent(F.when(s == "", None).otherwise(s.try_cast("double")))
+    # Read the text the way float() does: '12d' is not a number, '1_0' is 10.
+    v = F.when(s.rlike(FLOAT_TEXT), F.replace(s, F.lit("_"), F.lit("")).try_cast("double"))
+    return clamp_percent(v)
 
 
 def percent_text(p: Column) -> Column:

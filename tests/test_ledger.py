@@ -212,7 +212,8 @@ def test_l20_two_loads_two_rows(spark):
 
 @pytest.mark.parametrize("text,want", [
     (" 12.5% ", 12.5), ("1,000", 100.0), ("-3", 0.0), ("", None), ("abc", None), ("nan", None),
-    (None, None), ("55", 55.0), ("\t7%\n", 7.0)])
+    (None, None), ("55", 55.0), ("\t7%\n", 7.0), ("12d", None), ("1_0", 10.0), ("1__0", None),
+    ("inf", 100.0), ("-Infinity", 0.0), ("1e1", 10.0), (".5", 0.5), ("0x10", None)])
 def test_l21_to_percent(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(R.to_percent(F.col("t"))).first()[0] == want
