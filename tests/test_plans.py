@@ -84,3 +84,37 @@ def test_catalog_and_fixture_agree(spark, catalog_tables):
     a = feature_table(catalog_tables)
     b = feature_table(Tables.from_fixture(spark, SF_SMALL))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_bucketed_inputs_make_training_features_shuffle_free(spark):
+    """Silver tables stored bucketed by the shipment id: the deduplicated
+    feature build (what training and scoring use) and the labels need no
+    exchange at all; the reference-bag build keeps only the description's."""
+    from delayrisk.operators import labels as lab
+    from delayrisk.plans.feature_table import feature_table
+    from delayrisk.sources import sinks
+    from delayrisk.sources.catalog import INPUT_TABLES, Tables
+    fx = Tables.from_fixture(spark, SF_SMALL)
+    spark.sql("CREATE DATABASE IF NOT EXISTS bsilver")
+    for name in INPUT_TABLES:
+        key = "master_bill_internal_id" if name == "event" else "masterbill_internal_id"
+        sinks.overwrite(fx[name], f"bsilver.silver_{name}", bucket_by=[key])
+    t = Tables.from_catalog(spark, schema="bsilver",
+                            overrides={"fact_load": "bsilver.silver_fact_load"})
+    old = (spark.conf.get("spark.sql.adaptive.enabled"),
+           spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        def exchanges(df):
+            return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+        assert exchanges(feature_table(t, dedupe=True)) == 0
+        assert exchanges(lab.delay_labels(t["activity"])) == 0
+        assert exchanges(feature_table(t)) <= 3
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old[0])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old[1])
+    plain = Tables.from_fixture(spark, SF_SMALL)
+    got = feature_table(t, dedupe=True)
+    want = feature_table(plain, dedupe=True)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
