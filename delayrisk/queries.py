@@ -10,9 +10,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import ID
+from .functions import risk as R
+from .operators import enrich, impute, mart, profile
+from .operators import features as feat
 from .operators import labels as lab
+from .operators import model as mdl
+from .plans import dashboard as dash
+from .plans import feature_table as ft
+from .plans import inference as inf
 from .plans import oracle as O
+from .plans import training as tr
+from .session import ensure_checkpoint_dir, session_key
+from .sources import sinks
 from .sources.catalog import INPUT_TABLES, Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,21 +52,20 @@ for _t in INPUT_TABLES:
 
 
 # E2 -- labels.
-@register("delay_labels", O.with_ctes(O.adapter("activity"), """
-select masterbill_internal_id,
+_LABELS_SQL = """select masterbill_internal_id,
   case when max(completion_date) > max(planned_date) then 'Delayed' else 'Not Delayed' end
     as delivery_delay
 from activity
 where completion_date is not null and planned_date is not null
-group by masterbill_internal_id"""))
+group by masterbill_internal_id"""
+
+
+@register("delay_labels", O.with_ctes(O.adapter("activity"), _LABELS_SQL))
 def q_delay_labels(spark, sf_dir):
     return lab.delay_labels(fx(spark, sf_dir)["activity"])
 
 
 # ---------------------------------------------------------------- E1 parts
-from .operators import features as feat  # noqa: E402
-from .operators import impute, profile  # noqa: E402
-from .plans import feature_table as ft  # noqa: E402
 
 FLAGSHIP = "feature_table"
 
@@ -227,23 +238,7 @@ def q_feature_table(spark, sf_dir):
 
 
 # ------------------------------------------------------ E3: training set, split, model
-from pyspark.sql import functions as F  # noqa: E402
-
-from . import ID  # noqa: E402
-from .functions import risk as R  # noqa: E402
-from .operators import enrich, mart  # noqa: E402
-from .operators import model as mdl  # noqa: E402
-from .plans import dashboard as dash  # noqa: E402
-from .plans import inference as inf  # noqa: E402
-from .plans import training as tr  # noqa: E402
-from .session import ensure_checkpoint_dir, session_key  # noqa: E402
 
-_LABELS_SQL = """select masterbill_internal_id,
-  case when max(completion_date) > max(planned_date) then 'Delayed' else 'Not Delayed' end
-    as delivery_delay
-from activity
-where completion_date is not null and planned_date is not null
-group by masterbill_internal_id"""
 
 _LEVEL_SQL = """case when risk_factor >= 0 and risk_factor <= 50 then 'Normal'
   when risk_factor >= 51 and risk_factor <= 70 then 'Low'
@@ -614,7 +609,6 @@ def q_kpis(spark, sf_dir):
 
 
 # ------------------------------------------------------ S8: keyed upsert
-from .sources import sinks  # noqa: E402
 
 
 @register("upsert_by_key", _esql(
