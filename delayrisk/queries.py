@@ -526,9 +526,9 @@ def q_norm_risk(spark, sf_dir):
 
 def _fb_sql(x: str) -> str:
     t = f"lower(trim(coalesce({x}, '')))"
-    return (f"case when {t} in ('high risk', 'delayed', 'delay', 'late') then 95.0"
+    return (f"cast(case when {t} in ('high risk', 'delayed', 'delay', 'late') then 95.0"
             f" when {t} in ('medium', 'warning') then 80.0"
-            f" when {t} in ('at risk', 'low') then 60.0 else 25.0 end")
+            f" when {t} in ('at risk', 'low') then 60.0 else 25.0 end as double)")
 
 
 @register("fallback_percent", _msql(

@@ -26,3 +26,15 @@ def test_entry_runs(spark):
     assert df.columns == ["masterbill_internal_id", "volume_cm3", "distance_km", "total_weight",
                           "hazardous_material_flag", "margin_value"]
     assert df.count() > 0
+
+
+_DUCK_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+              "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_column_types_match_duckdb(spark, duck, name):
+    got = {f.name: _DUCK_TYPE.get(f.dataType.simpleString(), f.dataType.simpleString())
+           for f in entry.queries()[name](spark, SF_SMALL).schema.fields}
+    rel = duck.sql(SQL[name])
+    assert got == {c: str(t) for c, t in zip(rel.columns, rel.types)}
