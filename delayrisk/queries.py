@@ -489,36 +489,36 @@ def q_dashboard_mart(spark, sf_dir):
 
 
 @register("mart_percent", _msql(
-    "select masterbill_internal_id, load_id, risk_factor, risk_level, percent from m2"))
+    "select masterbill_internal_id, risk_factor, risk_level, percent from m2"))
 def q_mart_percent(spark, sf_dir):
-    return _mart(spark, sf_dir).select(ID, "load_id", "risk_factor", "risk_level", "percent")
+    return _mart(spark, sf_dir).select(ID, "risk_factor", "risk_level", "percent")
 
 
 @register("mart_category", _msql(
-    "select masterbill_internal_id, load_id, risk_level, label, category from m2"))
+    "select masterbill_internal_id, risk_level, label, category from m2"))
 def q_mart_category(spark, sf_dir):
-    return _mart(spark, sf_dir).select(ID, "load_id", "risk_level", "label", "category")
+    return _mart(spark, sf_dir).select(ID, "risk_level", "label", "category")
 
 
-@register("color_band", _msql("select masterbill_internal_id, load_id, percent, bar_color from m2"))
+@register("color_band", _msql("select masterbill_internal_id, percent, bar_color from m2"))
 def q_color_band(spark, sf_dir):
-    return _mart(spark, sf_dir).select(ID, "load_id", "percent", "bar_color")
+    return _mart(spark, sf_dir).select(ID, "percent", "bar_color")
 
 
 @register("percent_text", _msql(
-    "select masterbill_internal_id, load_id, percent, percent_text from m2"))
+    "select masterbill_internal_id, percent, percent_text from m2"))
 def q_percent_text(spark, sf_dir):
-    return _mart(spark, sf_dir).select(ID, "load_id", "percent", "percent_text")
+    return _mart(spark, sf_dir).select(ID, "percent", "percent_text")
 
 
 @register("norm_risk", _msql(
-    f"select masterbill_internal_id, load_id, {_cat_sql('risk_level')} as cat_level,"
+    f"select masterbill_internal_id, {_cat_sql('risk_level')} as cat_level,"
     f" {_cat_sql('delivery_delay')} as cat_delay,"
     f" {_cat_sql(chr(39) + '  ' + chr(39) + ' || upper(risk_level) || ' + chr(39) + ' ' + chr(39))}"
     " as cat_padded from m2"))
 def q_norm_risk(spark, sf_dir):
     m = _mart(spark, sf_dir)
-    return m.select(ID, "load_id", R.norm_risk(F.col("risk_level")).alias("cat_level"),
+    return m.select(ID, R.norm_risk(F.col("risk_level")).alias("cat_level"),
                     R.norm_risk(F.col("delivery_delay")).alias("cat_delay"),
                     R.norm_risk(F.concat(F.lit("  "), F.upper("risk_level"), F.lit(" ")))
                     .alias("cat_padded"))
@@ -532,11 +532,11 @@ def _fb_sql(x: str) -> str:
 
 
 @register("fallback_percent", _msql(
-    f"select masterbill_internal_id, load_id, {_fb_sql('risk_level')} as fb_level,"
+    f"select masterbill_internal_id, {_fb_sql('risk_level')} as fb_level,"
     f" {_fb_sql('delivery_delay')} as fb_delay from m2"))
 def q_fallback_percent(spark, sf_dir):
     m = _mart(spark, sf_dir)
-    return m.select(ID, "load_id", R.fallback_percent(F.col("risk_level")).alias("fb_level"),
+    return m.select(ID, R.fallback_percent(F.col("risk_level")).alias("fb_level"),
                     R.fallback_percent(F.col("delivery_delay")).alias("fb_delay"))
 
 
@@ -547,7 +547,7 @@ def _tp_sql(text: str) -> str:
 
 
 @register("to_percent", _msql(
-    "select masterbill_internal_id, load_id, "
+    "select masterbill_internal_id, "
     + _tp_sql("(cast(risk_factor as varchar) || '%')") + " as from_pct, "
     + _tp_sql("(' ' || cast(round(margin_value) as bigint) || ' ')") + " as from_margin, "
     + _tp_sql("('-' || cast(risk_factor as varchar))") + " as from_negative, "
@@ -558,7 +558,7 @@ def q_to_percent(spark, sf_dir):
     m = _mart(spark, sf_dir)
     s = lambda c: c.cast("string")
     return m.select(
-        ID, "load_id",
+        ID,
         R.to_percent(F.concat(s(F.col("risk_factor")), F.lit("%"))).alias("from_pct"),
         R.to_percent(F.concat(F.lit(" "), s(F.round("margin_value").cast("long")), F.lit(" ")))
         .alias("from_margin"),
