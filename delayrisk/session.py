@@ -33,7 +33,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("DELAYRISK_DRIVER_MEM", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints",
+                os.environ.get("DELAYRISK_CLEAN_CHECKPOINTS", "false"))
         .config(CHECKPOINT_CONF, os.environ.get("DELAYRISK_CHECKPOINT_DIR")
                 or tempfile.mkdtemp(prefix="delayrisk-ckpt-"))
         .config("spark.sql.warehouse.dir", os.environ.get("DELAYRISK_WAREHOUSE")
