@@ -100,3 +100,14 @@ def test_pipeline_with_description_encoding(spark):
     assert out.count() == test.count()
     assert out.filter(F.col("risk_factor").isNull()).count() == 0
     assert "item_description" in out.columns
+
+
+def test_predicted_class_agrees_with_risk(trained):
+    """Class 0 is 'Delayed' and risk = 100 * P(class 0), so a row is predicted
+    'Delayed' exactly when its risk is above 50 (two classes, no exact ties)."""
+    t, model, _ = trained
+    out = inf.model_scorer(model)(inf.scoring_input(t))
+    bad = out.filter((F.col("delivery_delay") == "Delayed") != (F.col("risk_factor") > 50))
+    assert out.filter(F.col("risk_factor") == 50).count() == 0
+    assert bad.count() == 0
+    assert out.count() == inf.scoring_input(t).count()
