@@ -181,8 +181,8 @@ FEATURES = ("volume_cm3", "distance_km", "total_weight", "hazardous_material_fla
 def feature_join(t, with_description: bool = True) -> DataFrame:
     """J1 + I1: the reference's joined feature rows, before the fills.
 
-    The parts are joined in the reference's order; the drop-event part is
-    joined but never read, and Catalyst removes that join.  Rows are the
+    The drop-event part is joined but never read, and Catalyst removes that
+    join.  Rows are the
     distinct combinations of each id's distance, margin and description
     values (ledger L5); the default hazard flag is false, the default margin 0.
 
@@ -192,8 +192,11 @@ def feature_join(t, with_description: bool = True) -> DataFrame:
     two line-item-sized scans and their shuffles.
     """
     p = feature_parts(t)
-    parts = [p["distance"], p["item_volume"], p["total_weight"], p["hazmat_flag"],
-             p["margin"], p["drop_events"]]
+    # Left joins from the spine on one key commute, so the one-row-per-id
+    # parts go first and the set-valued parts (which multiply rows) last:
+    # the same rows, with fewer of them flowing through the chain.
+    parts = [p["item_volume"], p["total_weight"], p["hazmat_flag"], p["drop_events"],
+             p["distance"], p["margin"]]
     if with_description:
         parts.append(p["item_description"])
     joined = join_parts(masterbill_ids(t["masterbill"]), parts)
