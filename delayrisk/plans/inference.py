@@ -51,8 +51,10 @@ def predictions(tables, scorer: Scorer, features: DataFrame | None = None,
     it; the final ``dropDuplicates`` groups by all columns, which that
     partitioning already satisfies (no extra exchange).
     """
-    scored = scorer(scoring_input(tables, features))
-    scored = enrich.with_risk_level(scored, contiguous)
-    scored = enrich.enrich_loads(scored, tables["fact_load"])
+    scored = enrich.with_risk_level(scorer(scoring_input(tables, features)), contiguous)
+    cols = scored.columns + ["load_id", "carrier_name", "mode", "Source", "Destination"]
+    # Places are one row per id and loads may be several, so places join
+    # first and the fan-out last; the reference's column order is restored.
     out = enrich.enrich_locations(scored, enrich.locations(tables["event"]))
+    out = enrich.enrich_loads(out, tables["fact_load"]).select(*cols)
     return out.dropDuplicates()
