@@ -37,15 +37,22 @@ def quantile(df: DataFrame, col: str, q: float, error: float = 0.01,
         return None
     rank = int(math.floor((n - 1) * q))  # 0-based, among values >= lo
     while lo < hi:
-        width = hi - lo
-        b = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width) * buckets).cast("int"),
-                    F.lit(buckets - 1))
+        # Halves keep the width finite for any pair of doubles.
+        half = hi / 2 - lo / 2
+        if not half > 0:  # adjacent subnormals: nothing lies between lo and hi
+            at_lo = vals.filter(F.col("v") == lo).count()
+            return lo if rank < at_lo else hi
+        pos = (F.col("v") / 2 - F.lit(lo / 2)) / F.lit(half) * buckets
+        b = F.least(F.greatest(F.floor(pos), F.lit(0)).cast("int"), F.lit(buckets - 1))
         hist = (vals.filter(F.col("v").between(lo, hi)).groupBy(b.alias("b"))
                 .agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
                 .orderBy("b").collect())
+        before = (lo, hi)
         for row in hist:
             if rank < row["n"]:
                 lo, hi = row["lo"], row["hi"]
                 break
             rank -= row["n"]
+        if (lo, hi) == before:  # cannot happen with lo, hi in different buckets
+            raise RuntimeError(f"quantile refinement stalled on [{lo}, {hi}]")
     return lo

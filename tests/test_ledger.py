@@ -305,3 +305,20 @@ def test_use_namespace(spark):
         assert spark.catalog.currentDatabase() == "ns_test"
     finally:
         use_namespace(spark, "default")
+
+
+def test_exact_median_extreme_values(spark):
+    from delayrisk.operators.stats import quantile
+    vals = [-1.7e308, -1.0, 0.0, 2.5, 1.7e308]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    assert quantile(df, "v", 0.5, 0.0, buckets=4) == 0.0
+    assert quantile(df, "v", 1.0, 0.0, buckets=4) == 1.7e308
+    assert quantile(df, "v", 0.0, 0.0, buckets=4) == -1.7e308
+
+
+def test_exact_median_adjacent_subnormals(spark):
+    from delayrisk.operators.stats import quantile
+    tiny = 5e-324
+    df = spark.createDataFrame([(tiny,), (2 * tiny,), (2 * tiny,)], "v double")
+    assert quantile(df, "v", 0.5, 0.0) == 2 * tiny
+    assert quantile(df, "v", 0.0, 0.0) == tiny
