@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import ID
 from ..functions.risk import risk_level
+from .joins import left_join_fanout
 
 EVENT_KEY = "master_bill_internal_id"
 # Fixed values of the reference: event types that name the two ends of a trip,
@@ -21,9 +22,14 @@ def with_risk_level(df: DataFrame, contiguous: bool = False) -> DataFrame:
 
 
 def enrich_loads(df: DataFrame, fact_load: DataFrame) -> DataFrame:
-    """Add load id, carrier and mode; an id with k loads gives k rows."""
+    """Add load id, carrier and mode; an id with k loads gives k rows.
+
+    Loads fan out per shipment and one shipment may own a large share of
+    them, so the left join is written as matched + unmatched parts that AQE
+    can balance (``joins.left_join_fanout``).
+    """
     loads = fact_load.select(ID, "load_id", "carrier_name", "mode")
-    return df.join(loads, ID, "left")
+    return left_join_fanout(df, loads, ID)
 
 
 def pick_drop_events(events: DataFrame) -> DataFrame:

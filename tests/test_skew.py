@@ -86,3 +86,69 @@ def test_partial_aggregate_before_shuffle(skewed, build):
     assert any("Exchange hashpartitioning(masterbill_internal_id" in ln for ln in lines)
     ex = max(i for i, ln in enumerate(lines) if "Exchange hashpartitioning(masterbill" in ln)
     assert any("HashAggregate" in ln for ln in lines[ex + 1:])
+
+
+def test_left_join_fanout_equals_left_join_on_hot_key(spark):
+    from delayrisk.operators.joins import left_join_fanout
+    left = spark.createDataFrame([(i, f"l{i}") for i in range(50)] + [(None, "lnull"), (HOT, "lhot2")],
+                                 f"{ID} long, lv string")
+    right = spark.range(3000).select(
+        F.when(F.col("id") % 3 != 0, F.lit(HOT)).otherwise(F.col("id") % 40 + 100).alias(ID),
+        F.col("id").alias("rv")).unionByName(
+        spark.createDataFrame([(None, -1), (3, 33)], f"{ID} long, rv long"))
+    got = left_join_fanout(left, right, ID)
+    want = left.join(right, ID, "left")
+    assert got.columns == want.columns
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert got.filter(F.col(ID) == HOT).count() == 2 * 2000
+
+
+def test_left_join_fanout_plan_is_splittable(spark):
+    from delayrisk.operators.joins import left_join_fanout
+    left = spark.range(100).select(F.col("id").alias(ID), (F.col("id") * 2).alias("x"))
+    right = spark.range(1000).select((F.col("id") % 10).alias(ID), F.col("id").alias("y"))
+    old = (spark.conf.get("spark.sql.adaptive.enabled"),
+           spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = left_join_fanout(left, right, ID)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old[0])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old[1])
+    assert "SortMergeJoin [masterbill_internal_id#" in plan and "Inner" in plan
+    assert "LeftAnti" in plan and "LeftOuter" not in plan
+    assert "ReusedExchange" in plan
+
+
+def test_aqe_splits_hot_key_in_fanout_join(spark):
+    """Run time proof: with a right side whose hot key holds two thirds of the
+    rows, AQE splits that key's partition in the fan-out form, and cannot in
+    a plain left outer join (it may split only the left side there)."""
+    from delayrisk.operators.joins import left_join_fanout
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2KB",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        left = spark.range(200).select(F.col("id").alias("k"), F.lit("x").alias("lv"))
+        right = spark.range(60000).select(
+            F.when(F.col("id") % 3 != 0, F.lit(7)).otherwise(F.col("id") % 200).alias("k"),
+            F.col("id").alias("rv"))
+        fan = left_join_fanout(left, right, "k")
+        plain = left.join(right, "k", "left")
+        assert len(fan.collect()) == len(plain.collect()) == 60000
+        fan_plan = fan._jdf.queryExecution().executedPlan().toString()
+        plain_plan = plain._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin(skew=true)" in fan_plan
+        assert "skew=true" not in plain_plan
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
