@@ -21,15 +21,18 @@ def with_risk_level(df: DataFrame, contiguous: bool = False) -> DataFrame:
     return df.withColumn("risk_level", risk_level(F.col("risk_factor"), contiguous))
 
 
-def enrich_loads(df: DataFrame, fact_load: DataFrame) -> DataFrame:
+def enrich_loads(df: DataFrame, fact_load: DataFrame, keys: DataFrame | None = None,
+                 null_keys: bool = True) -> DataFrame:
     """Add load id, carrier and mode; an id with k loads gives k rows.
 
     Loads fan out per shipment and one shipment may own a large share of
     them, so the left join is written as matched + unmatched parts that AQE
-    can balance (``joins.left_join_fanout``).
+    can balance (``joins.left_join_fanout``); ``keys`` may name a cheap
+    frame covering ``df``'s ids, such as the id spine, and ``null_keys=False``
+    tells it that ``df`` has no null id.
     """
     loads = fact_load.select(ID, "load_id", "carrier_name", "mode")
-    return left_join_fanout(df, loads, ID)
+    return left_join_fanout(df, loads, ID, keys, null_keys)
 
 
 def pick_drop_events(events: DataFrame) -> DataFrame:

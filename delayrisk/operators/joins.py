@@ -6,24 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def left_join_fanout(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def left_join_fanout(left: DataFrame, right: DataFrame, key: str,
+                     keys: DataFrame | None = None, null_keys: bool = True) -> DataFrame:
     """``left`` left-joined to ``right`` on ``key``, written so no key is stuck in one task.
 
     With AQE, a left outer join can split only its left side; if one key
     holds a third of the right side's rows, that key's task does a third of
-    the join.  The same result is the union of
-
-    * the inner join, which AQE may split on either side, and
-    * the left rows whose key is absent from the right (an anti join against
-      the right's distinct keys, one row per key, so it cannot be skewed),
-      padded with nulls.
-
-    Both branches shuffle ``left`` by the key; the exchanges are identical
-    subtrees, so Spark computes and shuffles ``left`` once and reuses it.
-    A null key never matches and lands in the second branch, as in a left join.
+    the join.  Here the work is one *inner* equi-join, which AQE may split on
+    either side, against the right rows plus one null-padded row for every
+    key with no right row.  Those keys are the left's distinct keys (a
+    key-only plan that Catalyst prunes) minus the right's distinct keys.
+    ``keys`` may supply any frame whose ``key`` column covers the left's
+    keys (say the id spine): padded rows of other keys match nothing.
+    Left rows with a null key, which a left join keeps with nulls, come from
+    a filtered branch; the ``IS NULL`` filter reaches the scans, so when the
+    key is never null that branch reads next to nothing.  A caller whose
+    left keys cannot be null passes ``null_keys=False`` and the left is
+    planned once.
     """
     extra = [f for f in right.schema.fields if f.name != key]
-    matched = left.join(right, key, "inner")
-    unmatched = left.join(right.select(key).distinct(), key, "left_anti").select(
-        *left.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])
-    return matched.unionByName(unmatched)
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in extra]
+    right_rows = right.filter(F.col(key).isNotNull())
+    left_keys = (keys if keys is not None else left).select(key).distinct()
+    missing = left_keys.filter(F.col(key).isNotNull()).join(
+        right_rows.select(key).distinct(), key, "left_anti")
+    side = right_rows.unionByName(missing.select(key, *nulls))
+    matched = left.join(side, key, "inner").select(*left.columns, *[f.name for f in extra])
+    if not null_keys:
+        return matched
+    null_rows = left.filter(F.col(key).isNull()).select(*left.columns, *nulls)
+    return matched.unionByName(null_rows)

@@ -56,5 +56,7 @@ def predictions(tables, scorer: Scorer, features: DataFrame | None = None,
     # Places are one row per id and loads may be several, so places join
     # first and the fan-out last; the reference's column order is restored.
     out = enrich.enrich_locations(scored, enrich.locations(tables["event"]))
-    out = enrich.enrich_loads(out, tables["fact_load"]).select(*cols)
+    # The scoring input is an inner join with the spine: no id is null.
+    spine = feat.masterbill_ids(tables["masterbill"])
+    out = enrich.enrich_loads(out, tables["fact_load"], keys=spine, null_keys=False).select(*cols)
     return out.dropDuplicates()
