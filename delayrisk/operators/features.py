@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import ID
+from .joins import left_join_fanout
 
 # Fixed values of the reference: dimension names that become the volume's
 # sides, the unit that is converted, and its factor to centimetres.
@@ -182,9 +183,18 @@ def feature_join(t, with_description: bool = True) -> DataFrame:
     """J1 + I1: the reference's joined feature rows, before the fills.
 
     The drop-event part is joined but never read, and Catalyst removes that
-    join.  Rows are the
-    distinct combinations of each id's distance, margin and description
-    values (ledger L5); the default hazard flag is false, the default margin 0.
+    join.  Rows are the distinct combinations of each id's distance, margin
+    and description values (ledger L5); the default hazard flag is false,
+    the default margin 0.
+
+    Left joins from the spine on one key commute, so the one-row-per-id
+    parts go first and the set-valued parts (which multiply rows) last.
+    Distances and margins are deduplicated per id before they are joined,
+    so they stay small per id.  Descriptions can stay many for one id, so
+    that last join is ``joins.left_join_fanout``: one inner join that AQE
+    can split when one id holds a large share of them.  A null id matches
+    no part; on that path it is added once with every part column null, as
+    the left joins would give it (L19).
 
     ``with_description=False`` leaves the description out.  The description
     is dropped after the fills, so for callers that deduplicate the final
@@ -192,14 +202,19 @@ def feature_join(t, with_description: bool = True) -> DataFrame:
     two line-item-sized scans and their shuffles.
     """
     p = feature_parts(t)
-    # Left joins from the spine on one key commute, so the one-row-per-id
-    # parts go first and the set-valued parts (which multiply rows) last:
-    # the same rows, with fewer of them flowing through the chain.
+    spine = masterbill_ids(t["masterbill"])
     parts = [p["item_volume"], p["total_weight"], p["hazmat_flag"], p["drop_events"],
              p["distance"], p["margin"]]
     if with_description:
-        parts.append(p["item_description"])
-    joined = join_parts(masterbill_ids(t["masterbill"]), parts)
+        ids = spine.filter(F.col(ID).isNotNull())
+        rows = left_join_fanout(join_parts(ids, parts), p["item_description"], ID,
+                                keys=ids, null_keys=False)
+        null_id = spine.filter(F.col(ID).isNull()).select(
+            ID, *[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields
+                  if f.name != ID])
+        joined = rows.unionByName(null_id)
+    else:
+        joined = join_parts(spine, parts)
     cols = [ID, "volume_cm3", "distance_km", "total_weight",
             F.coalesce("hazardous_material_flag", F.lit(False)).alias("hazardous_material_flag"),
             F.coalesce("margin_value", F.lit(0.0)).alias("margin_value")]
