@@ -3,7 +3,7 @@
 import math
 
 import pytest
-from pyspark.sql import Row
+
 from pyspark.sql import functions as F
 
 from delayrisk import ID

@@ -68,7 +68,6 @@ def test_save_load_versions(spark, trained, tmp_path):
 
 
 def test_versions_compare_as_integers(spark, tmp_path):
-    from pyspark.sql import Row  # noqa: F401
     root = str(tmp_path / "models2")
     rows = [("m", v, f"{root}/m/v={v}", None, None, None) for v in (2, 9, 12)]
     spark.createDataFrame(rows, mdl.RUNS_SCHEMA).write.parquet(f"{root}/model_runs")
