@@ -173,6 +173,8 @@ def feature_parts(t) -> dict[str, DataFrame]:
         "margin": current_margin(t["masterbill_margins"]),
         "drop_events": drop_events(t["tracking_shipment_status"]),
         "item_description": item_description(t["item_group"], lines),
+        # Every id on either description side has at least one description row.
+        "description_ids": t["item_group"].select(ID).unionByName(lines.select(ID)),
     }
 
 
@@ -208,7 +210,7 @@ def feature_join(t, with_description: bool = True) -> DataFrame:
     if with_description:
         ids = spine.filter(F.col(ID).isNotNull())
         rows = left_join_fanout(join_parts(ids, parts), p["item_description"], ID,
-                                keys=ids, null_keys=False)
+                                keys=ids, null_keys=False, right_keys=p["description_ids"])
         null_id = spine.filter(F.col(ID).isNull()).select(
             ID, *[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields
                   if f.name != ID])

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def left_join_fanout(left: DataFrame, right: DataFrame, key: str,
-                     keys: DataFrame | None = None, null_keys: bool = True) -> DataFrame:
+                     keys: DataFrame | None = None, null_keys: bool = True,
+                     right_keys: DataFrame | None = None) -> DataFrame:
     """``left`` left-joined to ``right`` on ``key``, written so no key is stuck in one task.
 
     With AQE, a left outer join can split only its left side; if one key
@@ -18,6 +19,8 @@ def left_join_fanout(left: DataFrame, right: DataFrame, key: str,
     key-only plan that Catalyst prunes) minus the right's distinct keys.
     ``keys`` may supply any frame whose ``key`` column covers the left's
     keys (say the id spine): padded rows of other keys match nothing.
+    ``right_keys`` may supply a cheaper frame with exactly the right's
+    non-null keys, when the caller knows one.
     Left rows with a null key, which a left join keeps with nulls, come from
     a filtered branch; the ``IS NULL`` filter reaches the scans, so when the
     key is never null that branch reads next to nothing.  A caller whose
@@ -28,8 +31,9 @@ def left_join_fanout(left: DataFrame, right: DataFrame, key: str,
     nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in extra]
     right_rows = right.filter(F.col(key).isNotNull())
     left_keys = (keys if keys is not None else left).select(key).distinct()
+    present = (right_keys if right_keys is not None else right_rows).select(key)
     missing = left_keys.filter(F.col(key).isNotNull()).join(
-        right_rows.select(key).distinct(), key, "left_anti")
+        present.filter(F.col(key).isNotNull()).distinct(), key, "left_anti")
     side = right_rows.unionByName(missing.select(key, *nulls))
     matched = left.join(side, key, "inner").select(*left.columns, *[f.name for f in extra])
     if not null_keys:

@@ -28,9 +28,9 @@ def test_dead_drop_event_join_removed(spark, no_broadcast_no_aqe):
     # the never-read drop-event part is pruned with its join and its scan
     assert "events.parquet" not in plan
     # left joins: 5 in the chain (3 one-row parts, distances, margins) and one
-    # inside the description set, computed once for its rows and once for its
-    # ids; the description itself is joined by the fan-out form (inner + anti)
-    assert plan.count("LeftOuter") == 7
+    # inside the description set; the description itself is joined by the
+    # fan-out form (inner + anti against the ids of its two sources)
+    assert plan.count("LeftOuter") == 6
     assert plan.count("LeftAnti") == 1
 
 
