@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, simhash_ball, token_files, toxicity
-from .common import table
+from . import bpe, fingerprints, mixing, pii, prefix_forest, simhash_ball, suffix_dedup, token_files, toxicity, warc
+from .common import stage, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -17,6 +17,15 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def op1_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op2_warc_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "offset")
+
+
 def op3_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans(table(spark, sf_dir, "documents"))
     every = F.array_sort(F.concat("base", "terms"))
@@ -49,8 +58,21 @@ def op8_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_pii_disclosure, op4_token_orc, op5_mix_weights, op6_bpe_transducer,
-                                   op7_toxicity_kneser_ney, op8_simhash_ball)}
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = stage(fingerprints.compare(table(spark, sf_dir, "documents")), "compared")
+    bits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0")).alias(c)
+    return fingerprints.search(compared).select(
+        "doc_id", "n_chars", "edited_sha256", bits("fingerprint"), bits("edited_fingerprint"), "near_edited", "near_next",
+        "n_near")
+
+
+def op10_sparse_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hash_prefix_forest, op2_warc_history, op3_pii_disclosure, op4_token_orc, op5_mix_weights, op6_bpe_transducer,
+                                   op7_toxicity_kneser_ney, op8_simhash_ball, op9_fingerprints,
+                                   op10_sparse_suffix_array)}
 
 ORACLE = {
     "op5_mix_weights": r"""
