@@ -1,0 +1,99 @@
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from delayrisk.llm import bpe
+from delayrisk.llm.queries import op6_bpe_transducer
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    t = Tokenizer.from_file(PATH)
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+@pytest.fixture(scope="module")
+def own():
+    return bpe.load(PATH)
+
+
+def ids(own, text):
+    return np.frombuffer(b"".join(own.encode(text)), "<u4").tolist()
+
+
+HARD = ["", "a" * 100_000, "ab" * 30_000, " " * 70_000 + "x", "it's we'LL 're''ve", "<|endoftext|>x<|endoftext|>", "_a_ __ _",
+        "x\x1cy\x85z  q　w", "½²Ⅷ ٣٤", "日本語テキスト" * 9000, "é", "👩‍👩‍👧 ok", " \n \t x", "x'" * 40_000,
+        *("x" * n + "'re " + " " * 5 + "y" for n in range(65_530, 65_540)), *(" " * n + "'ve" for n in range(65_533, 65_539))]
+
+
+@pytest.mark.parametrize("text", HARD, ids=range(len(HARD)))
+def test_as_the_library(own, library, text):
+    got = ids(own, text)
+    assert got == library.encode(text, add_special_tokens=False).ids
+    assert "".join(own.decode([np.array(got, "<u4").tobytes()])) == text == library.decode(got, skip_special_tokens=False)
+
+
+def test_random_texts_in_small_blocks(own, library, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK", 8)
+    rng = random.Random(4)
+    for _ in range(200):
+        text = "".join(rng.choices("abcdeth's \n\t1²é_👩", k=rng.randrange(1, 200)))
+        assert ids(own, text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_lookahead_bounds_every_change(own):
+    """A token that ends ``ahead`` bytes before the end stays, whatever follows."""
+    rng = random.Random(5)
+    for _ in range(60):
+        head = bytes(rng.choices(b"etaoinsrhl", k=own.ahead + 40))
+        seen = {tuple(cut(own, head + bytes(rng.choices(b"etaoinsrhl", k=30)), len(head) - own.ahead)) for _ in range(6)}
+        assert len(seen) == 1
+
+
+def cut(own, data, last):
+    out, at = [], 0
+    for i in own.merge([own.single[b] for b in data]):
+        at += len(own.bytes_of[i])
+        if at > last:
+            return out
+        out.append(i)
+    return out
+
+
+def test_long_words_stream(own):
+    for seed, letters in enumerate((b"a", b"ab", b"etaoin", b"aab ")):
+        word = bytes(random.Random(seed).choices(letters, k=5000))
+        assert list(own.long_word(word)) == own.merge([own.single[b] for b in word])
+
+
+def test_decoder_joins_split_characters(own):
+    text = "é漢😀" * 10
+    pieces = [np.array([i], "<u4").tobytes() for i in ids(own, text)]
+    assert "".join(own.decode(pieces)) == text
+    assert "".join(own.decode(pieces[:1] + pieces[2:3])).count("�") >= 1
+
+
+def test_frames(spark, odd, empty, library):
+    enc = bpe.encode(odd, PATH)
+    assert enc.columns == [c for c in odd.columns if c != "text"] + ["_ids"]          # "ids" is taken
+    back = bpe.decode(enc, PATH, ids="_ids")
+    want = sorted((str(r.doc_id), r.text or "") for r in odd.collect())
+    assert sorted((str(r.doc_id), r.text) for r in back.collect()) == want
+    assert bpe.encode(empty, PATH).count() == 0 and bpe.round_trip(empty, PATH).count() == 0
+
+
+def test_query_against_the_library(spark, library):
+    import hashlib
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in op6_bpe_transducer(spark, sf).collect():
+        want = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(want), hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
