@@ -10,7 +10,6 @@ Sub-packages:
 * ``functions`` -- Column -> Column helpers (draws, risk maps, text)
 * ``operators`` -- DataFrame -> DataFrame building blocks
 * ``plans``     -- end-to-end jobs (feature table, training, scoring, mart)
-* ``streaming`` -- empty on purpose: the reference has no streams
 """
 
 ID = "masterbill_internal_id"

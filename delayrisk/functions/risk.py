@@ -27,8 +27,8 @@ COLORS = ((50, "#2ecc71"), (70, "#f1c40f"), (90, "#e67e22"))
 COLOR_TOP = "#e74c3c"
 # Label shown when a row has no risk level.
 NO_LEVEL = "On Time"
-# Whitespace that Python's str.strip() removes (ASCII part).
-_WS = " \t\n\r\x0b\x0c"
+# Whitespace that Python's str.strip() removes.
+_WS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 # Text Python's float() accepts: digits with single '_' between them, an
 # optional point and exponent, or inf / infinity / nan (any case).
 _DIGITS = r"[0-9](?:_?[0-9])*"

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import ID
+from ..staging import stage
 from .joins import left_join_fanout
 
 # Fixed values of the reference: dimension names that become the volume's
@@ -93,10 +94,10 @@ def hazmat_flag(lines: DataFrame) -> DataFrame:
 def line_summary(lines: DataFrame) -> DataFrame:
     """One row per (id, description) of the line items, the flag pre-folded.
 
-    Both the hazard flag and the description set come from this, so the
-    line-item table is scanned and shuffled once for the two parts (the
-    second use reads the same exchange).  ``bool_or`` folds in stages, so
-    folding per (id, description) first and per id after gives the same flag.
+    Both the hazard flag and the description set come from this, so a caller
+    that stages it scans the line-item table once.  ``bool_or`` folds in
+    stages, so folding per (id, description) first and per id after gives
+    the same flag.
     """
     return (lines.groupBy(ID, "description")
             .agg(F.bool_or(hazard_text(F.col("hazardous_material_flag")))
@@ -133,21 +134,28 @@ def item_description(groups: DataFrame, lines: DataFrame) -> DataFrame:
     join: both sides are tagged and deduplicated, three flags are counted
     per id (partial aggregate), and each row is kept or dropped by its id's
     flags.  Rows with a null id never match anything in the outer join, so
-    they are all kept.
+    they are all kept.  The tagged rows are staged: each input is scanned
+    once, and what reads them again reads the small written set.
     """
+    return description_from(description_rows(groups, lines))
+
+
+def description_rows(groups: DataFrame, lines: DataFrame) -> DataFrame:
+    """The distinct (id, description, side) of both inputs, staged."""
     a = groups.select(ID, F.col("description").alias("item_description"), F.lit(True).alias("grp"))
     b = lines.select(ID, F.col("description").alias("item_description"), F.lit(False).alias("grp"))
-    tagged = a.unionByName(b).distinct()
-    # Same subtree as ``tagged`` (no extra filter), so its exchange is reused.
-    flags = (tagged.groupBy(ID)
+    return stage(a.unionByName(b).distinct(), "descriptions")
+
+
+def description_from(tagged: DataFrame) -> DataFrame:
+    flags = (tagged.filter(F.col(ID).isNotNull()).groupBy(ID)
              .agg(F.bool_or("grp").alias("has_grp"),
                   F.bool_or(~F.col("grp")).alias("has_line"),
                   F.bool_or(F.col("grp") & F.col("item_description").isNull()).alias("grp_null")))
-    has_grp = F.coalesce(F.col("has_grp"), F.lit(False))
-    has_line = F.coalesce(F.col("has_line"), F.lit(False))
-    grp_null = F.coalesce(F.col("grp_null"), F.lit(False))
-    keep = F.when(F.col("grp"), F.col("item_description").isNotNull() | ~has_line) \
-        .otherwise(~has_grp | grp_null)
+    # An id without flags is the null id: all its rows stay.
+    keep = F.when(F.col("has_grp").isNull(), True) \
+        .when(F.col("grp"), F.col("item_description").isNotNull() | ~F.col("has_line")) \
+        .otherwise(~F.col("has_grp") | F.col("grp_null"))
     return (tagged.join(flags, ID, "left").filter(keep)
             .select(ID, "item_description").distinct())
 
@@ -162,9 +170,17 @@ def masterbill_ids(masterbill: DataFrame) -> DataFrame:
     return masterbill.select(ID).distinct()
 
 
-def feature_parts(t) -> dict[str, DataFrame]:
+def feature_parts(t, with_description: bool = True) -> dict[str, DataFrame]:
     """All parts of E1 from a ``Tables`` resolver, by name."""
-    lines = line_summary(t["itemgroup_line_item"])
+    lines = t["itemgroup_line_item"]
+    parts = {}
+    if with_description:
+        # Staged: the flag and both uses of the descriptions read written sets.
+        lines = stage(line_summary(lines), "lines")
+        tagged = description_rows(t["item_group"], lines)
+        parts = {"item_description": description_from(tagged),
+                 # Every id on either description side has at least one description row.
+                 "description_ids": tagged.select(ID)}
     return {
         "distance": distance(t["carrier"]),
         "item_volume": item_volume(t["item_dimension"]),
@@ -172,9 +188,7 @@ def feature_parts(t) -> dict[str, DataFrame]:
         "hazmat_flag": hazmat_flag(lines),
         "margin": current_margin(t["masterbill_margins"]),
         "drop_events": drop_events(t["tracking_shipment_status"]),
-        "item_description": item_description(t["item_group"], lines),
-        # Every id on either description side has at least one description row.
-        "description_ids": t["item_group"].select(ID).unionByName(lines.select(ID)),
+        **parts,
     }
 
 
@@ -190,33 +204,29 @@ def feature_join(t, with_description: bool = True) -> DataFrame:
     the default margin 0.
 
     Left joins from the spine on one key commute, so the one-row-per-id
-    parts go first and the set-valued parts (which multiply rows) last.
-    Distances and margins are deduplicated per id before they are joined,
-    so they stay small per id.  Descriptions can stay many for one id, so
-    that last join is ``joins.left_join_fanout``: one inner join that AQE
-    can split when one id holds a large share of them.  A null id matches
-    no part; on that path it is added once with every part column null, as
-    the left joins would give it (L19).
+    parts go first and the set-valued parts (which multiply rows) last.  One
+    id may hold many distances, margins or descriptions, so these joins are
+    ``joins.left_join_fanout``: inner joins that AQE can split on either
+    side.  A null id matches no part; it is added once with every part
+    column null, as the left joins would give it (L19).
 
     ``with_description=False`` leaves the description out.  The description
     is dropped after the fills, so for callers that deduplicate the final
     rows it only multiplies rows that are collapsed again; skipping it saves
     two line-item-sized scans and their shuffles.
     """
-    p = feature_parts(t)
+    p = feature_parts(t, with_description)
     spine = masterbill_ids(t["masterbill"])
-    parts = [p["item_volume"], p["total_weight"], p["hazmat_flag"], p["drop_events"],
-             p["distance"], p["margin"]]
+    ids = spine.filter(F.col(ID).isNotNull())
+    rows = join_parts(ids, [p["item_volume"], p["total_weight"], p["hazmat_flag"], p["drop_events"]])
+    for part in ("distance", "margin"):
+        rows = left_join_fanout(rows, p[part], ID, keys=ids, null_keys=False)
     if with_description:
-        ids = spine.filter(F.col(ID).isNotNull())
-        rows = left_join_fanout(join_parts(ids, parts), p["item_description"], ID,
-                                keys=ids, null_keys=False, right_keys=p["description_ids"])
-        null_id = spine.filter(F.col(ID).isNull()).select(
-            ID, *[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields
-                  if f.name != ID])
-        joined = rows.unionByName(null_id)
-    else:
-        joined = join_parts(spine, parts)
+        rows = left_join_fanout(rows, p["item_description"], ID, keys=ids, null_keys=False,
+                                right_keys=p["description_ids"])
+    null_id = spine.filter(F.col(ID).isNull()).select(
+        ID, *[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name != ID])
+    joined = rows.unionByName(null_id)
     cols = [ID, "volume_cm3", "distance_km", "total_weight",
             F.coalesce("hazardous_material_flag", F.lit(False)).alias("hazardous_material_flag"),
             F.coalesce("margin_value", F.lit(0.0)).alias("margin_value")]

@@ -13,9 +13,9 @@ from pyspark.sql import types as T
 
 from .. import ID
 from ..functions import risk as R
+from ..staging import global_rank
 
-# Fixed values of the reference: the mart's columns in display order, the
-# fetch cap and the page size.
+# Fixed values of the reference: the mart's columns in display order and the page size.
 MART_SCHEMA = T.StructType([
     T.StructField("masterbill_internal_id", T.LongType()),
     T.StructField("volume_cm3", T.DoubleType()),
@@ -33,8 +33,9 @@ MART_SCHEMA = T.StructType([
     T.StructField("mode", T.StringType()),
 ])
 MART_COLS = tuple(f.name for f in MART_SCHEMA.fields)
-FETCH_CAP = 5000
 PAGE_SIZE = 10
+# Rows up to which a page is cut from an ordered top-k; deeper pages are ranked.
+TOP_ROWS = 10_000
 LEVELS = ("Normal", "Low", "Medium", "High")
 SEARCH_FIELDS = ("masterbill_internal_id", "Source", "Destination", "carrier_name", "load_id")
 
@@ -46,19 +47,22 @@ ORDER = ("masterbill_internal_id", "load_id", "Source", "Destination", "carrier_
 
 
 def conform(df: DataFrame, schema: T.StructType = MART_SCHEMA) -> DataFrame:
-    """S3: exactly the schema's columns, in order; absent ones as typed nulls."""
+    """S3: exactly the schema's columns, in order; absent ones as typed nulls.
+
+    Columns that exist keep their type, so text ids and text percents pass.
+    """
     have = set(df.columns)
-    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType)
-                       .alias(f.name) for f in schema.fields])
+    return df.select(*[F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
+                       for f in schema.fields])
 
 
-def head_rows(df: DataFrame, cols=MART_COLS, n: int = FETCH_CAP, order=ORDER) -> DataFrame:
-    """S2 + T1: the first ``n`` rows of the listed columns in a fixed order.
+def head_rows(df: DataFrame, cols=MART_COLS, n: int | None = None, order=ORDER) -> DataFrame:
+    """S2 + T1: the listed columns of all rows, or of the first ``n`` in a fixed order.
 
-    Planned as a top-k (each task keeps its best ``n``), never a full sort.
+    With ``n`` it is planned as a top-k (each task keeps its best ``n``), never a full sort.
     """
-    order = [c for c in order if c in cols]
-    return df.select(*cols).orderBy(*order).limit(n)
+    rows = df.select(*cols)
+    return rows if n is None else rows.orderBy(*[c for c in order if c in cols]).limit(n)
 
 
 def display_columns(df: DataFrame) -> DataFrame:
@@ -113,17 +117,24 @@ def page_info(df: DataFrame, page: int, size: int = PAGE_SIZE) -> DataFrame:
 def page(df: DataFrame, number: int, size: int = PAGE_SIZE, order=ORDER) -> DataFrame:
     """B5 + T2: rows of one page, the page clamped to [1, pages], in the fixed order.
 
-    One lazy plan: an ordered top-(number * size) over the data (each task
-    keeps at most that many rows), then the clamp and the slice on those
-    few rows.  If fewer than number * size rows exist, that count is the
-    total and decides the last page; otherwise the page exists as asked.
-    The small window below runs on the bounded top-k only.  For deep pages
-    use ``page_after``.
+    Pages that end within ``TOP_ROWS`` rows are cut from an ordered
+    top-(number * size) in one lazy plan: each task keeps at most that many
+    rows, and the small windows run on those.  If fewer rows exist, their
+    count decides the last page; otherwise the page exists as asked.  A
+    deeper page is cut by position from the rows dealt by range (each part
+    counted, no window over all rows), which the caller's repeated reads of
+    deep pages can avoid with ``page_after``.
     """
     from pyspark.sql import Window
 
     number = max(1, number)
     order = [c for c in order if c in df.columns]
+    if number * size > TOP_ROWS:
+        ranked = global_rank(df, [F.col(c) for c in order], "_rank")
+        last = max(1, -(-ranked.count() // size))
+        start = (min(number, last) - 1) * size
+        return (ranked.filter((F.col("_rank") >= start) & (F.col("_rank") < start + size))
+                .select(*df.columns))
     top = df.orderBy(*order).limit(number * size)
     w = Window.orderBy(*order)
     n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
@@ -135,12 +146,44 @@ def page(df: DataFrame, number: int, size: int = PAGE_SIZE, order=ORDER) -> Data
             .drop("_rn", "_page"))
 
 
-def page_after(df: DataFrame, last_id, size: int = PAGE_SIZE, key: str = ID) -> DataFrame:
-    """Keyset page: the next ``size`` rows after ``last_id`` (filter pushed to
-    the scan, a top-k per task), cheap at any depth."""
-    rest = df if last_id is None else df.filter(F.col(key) > F.lit(last_id))
-    order = [c for c in ORDER if c in df.columns]
-    return rest.orderBy(*order).limit(size)
+def at_or_after(df: DataFrame, last, order) -> Column:
+    """Whether a row's ``order`` values are those of ``last`` or come later (ascending, nulls first)."""
+    result = F.lit(True)
+    for c in reversed(list(order)):
+        v, kind = last[c], df.schema[c].dataType
+        if v is None:
+            result = F.col(c).isNotNull() | result
+        else:
+            lit = F.lit(v).cast(kind)
+            result = F.coalesce((F.col(c) > lit) | ((F.col(c) == lit) & result), F.lit(False))
+    return result
+
+
+def page_after(df: DataFrame, last=None, seen: int = 1, size: int = PAGE_SIZE, order=ORDER) -> DataFrame:
+    """Keyset page: the next ``size`` rows after row ``last`` (any mapping of the order's columns).
+
+    The whole order is compared, null-safe, so rows that share an id with
+    ``last`` are not skipped; ``seen`` is how many rows alike ``last`` in
+    the whole order have been shown (``cursor`` counts them).  The
+    comparison of the leading column reaches the scan, and each task keeps
+    its first ``seen + size`` rows, so every page costs the same.
+    """
+    order = [c for c in order if c in df.columns]
+    if last is None:
+        return df.orderBy(*order).limit(size)
+    return df.filter(at_or_after(df, last, order)).orderBy(*order).offset(seen).limit(size)
+
+
+def cursor(rows: list, last=None, seen: int = 0, order=ORDER) -> tuple:
+    """(last, seen) after a page's collected ``rows``, to ask ``page_after`` for the next."""
+    if not rows:
+        return last, seen
+    order = [c for c in order if c in rows[0].asDict()]
+    same = lambda a, b: all(a[c] == b[c] for c in order)
+    n = sum(same(r, rows[-1]) for r in rows)
+    if last is not None and n == len(rows) and same(last, rows[-1]):
+        n += seen
+    return rows[-1], n
 
 
 def kpis(df: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ import datetime as _dt
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.errors import AnalysisException
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,11 @@ RUNS_SCHEMA = T.StructType([
     T.StructField("accuracy", T.DoubleType()),
     T.StructField("f1", T.DoubleType()),
     T.StructField("created", T.TimestampType()),
+    T.StructField("trees", T.IntegerType()),
+    T.StructField("depth", T.IntegerType()),
+    T.StructField("seed", T.LongType()),
+    T.StructField("features", T.ArrayType(T.StringType())),
+    T.StructField("classes", T.ArrayType(T.StringType())),
 ])
 
 
@@ -68,12 +74,14 @@ def split_by_id(df: DataFrame, train_share: float = 1 - TEST_SHARE,
 
 
 def make_pipeline(features=FEATURES, trees: int = TREES, depth: int = DEPTH, seed: int = SEED,
-                  encode: bool = False, label: str = LABEL) -> Pipeline:
+                  encode: bool = False, label: str = LABEL, bootstrap: bool = True) -> Pipeline:
     """M2 + M3 (+ M13): label index, feature vector, random forest.
 
     Classes are indexed alphabetically, so index 0 is 'Delayed' and the
     first probability is P(Delayed), as in the reference (L10).  With
-    ``encode`` the item description is indexed and one-hot encoded too.
+    ``encode`` the item description is indexed and one-hot encoded too; its
+    vocabulary is then part of the model on the driver, so it is for texts
+    of few distinct values (``training.encode_description`` has no such bound).
     """
     stages = [StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc")]
     cols = list(features)
@@ -85,7 +93,7 @@ def make_pipeline(features=FEATURES, trees: int = TREES, depth: int = DEPTH, see
         cols.append("item_description_ohe")
     stages += [VectorAssembler(inputCols=cols, outputCol="features"),
                RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees,
-                                      maxDepth=depth, seed=seed)]
+                                      maxDepth=depth, seed=seed, bootstrap=bootstrap)]
     return Pipeline(stages=stages)
 
 
@@ -134,16 +142,23 @@ def fit(train: DataFrame, **kw) -> PipelineModel:
 
 def model_root(spark: SparkSession) -> str:
     """Folder for versioned models: ``spark.delayrisk.modelRoot`` if set, else
-    ``models`` under the (shared) warehouse folder."""
+    ``models`` under the warehouse folder, which executors of a cluster must share."""
     root = spark.conf.get("spark.delayrisk.modelRoot", None)
-    return root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/models"
+    if root:
+        return root
+    root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/models"
+    if root.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.delayrisk.modelRoot: the warehouse is a local folder")
+    return root
 
 
 def _runs(spark: SparkSession, root: str) -> DataFrame | None:
-    path = f"{root}/model_runs"
+    """The recorded runs; None only if nothing was recorded yet."""
     try:
-        return spark.read.schema(RUNS_SCHEMA).parquet(path)
-    except Exception:  # noqa: BLE001 - no run recorded yet
+        return spark.read.schema(RUNS_SCHEMA).parquet(f"{root}/model_runs")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -166,14 +181,28 @@ def _next_version(spark: SparkSession, name: str, root: str) -> int:
 
 def save_model(spark: SparkSession, model: PipelineModel, name: str,
                metrics: dict | None = None, root: str | None = None) -> int:
-    """M9 + M15: write the model as the next version and record the run."""
+    """M9 + M15: write the model as the next version and record the run.
+
+    A version is never overwritten: should another job have taken the number,
+    the next one is tried.  The run holds the metrics, the forest's
+    parameters, its input columns and its classes.
+    """
     root = root or model_root(spark)
     version = _next_version(spark, name, root)
-    path = f"{root}/{name}/v={version}"
-    model.write().overwrite().save(path)
-    m = metrics or {}
+    while True:
+        path = f"{root}/{name}/v={version}"
+        try:
+            model.save(path)
+            break
+        except Exception as e:  # the writer has no error class for a taken path
+            if "already exists" not in str(e):
+                raise
+            version += 1
+    m, forest = metrics or {}, model.stages[-1]
     row = (name, version, path, m.get("accuracy"), m.get("f1"),
-           _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))
+           _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None),
+           forest.getNumTrees, forest.getMaxDepth(), forest.getSeed(),
+           list(model.stages[-2].getInputCols()), class_labels(model))
     spark.createDataFrame([row], RUNS_SCHEMA).write.mode("append").parquet(f"{root}/model_runs")
     return version
 

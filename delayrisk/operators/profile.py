@@ -19,5 +19,9 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 
 def unique_ids(df: DataFrame, key: str = ID, name: str = "unique_masterbills") -> DataFrame:
-    """Number of distinct ids, a null id counted once (as ``distinct`` does)."""
+    """Number of distinct ids, a null id counted once (as ``distinct`` does).
+
+    Joined feature rows have exactly the ids of their spine (left joins from
+    it add and lose none), so pass the spine to count them without the joins.
+    """
     return df.select(key).distinct().agg(F.count(F.lit(1)).alias(name))

@@ -13,12 +13,14 @@ def fill_features(bag: DataFrame) -> DataFrame:
     """The reference's fills, in its order, then the description is dropped.
 
     The reference fills the description and drops it right after, so that
-    fill has no effect on the rows and is left out.  The three numeric fills
-    are one projection: distance 0, weight drawn per id, volume 0.
+    fill has no effect on the rows and is left out.  The numeric fills
+    are one projection: distance 0, weight drawn per id, volume 0, NaN margin 0.
     """
     fills = {"distance_km": impute.constant_fill("distance_km", 0.0),
              "total_weight": impute.uniform_fill("total_weight"),
-             "volume_cm3": impute.constant_fill("volume_cm3", 0.0)}
+             "volume_cm3": impute.constant_fill("volume_cm3", 0.0),
+             # Null margins have their default already; a NaN would stop the model.
+             "margin_value": impute.constant_fill("margin_value", 0.0)}
     return bag.select(*[fills[c].alias(c) if c in fills else F.col(c)
                         for c in bag.columns if c != "item_description"])
 

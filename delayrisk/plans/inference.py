@@ -45,11 +45,11 @@ def drawn_scorer(salt: str = "risk") -> Scorer:
 
 def predictions(tables, scorer: Scorer, features: DataFrame | None = None,
                 contiguous: bool = False) -> DataFrame:
-    """Score, band, add loads and places, drop exact duplicate rows.
+    """Score, band, add loads and places; distinct rows.
 
-    Every join is keyed by the shipment id, so the rows stay partitioned by
-    it; the final ``dropDuplicates`` groups by all columns, which that
-    partitioning already satisfies (no extra exchange).
+    The scored rows are distinct, places are one row per id, and loads are
+    made distinct by a partial aggregate before they fan out, so no two
+    result rows are alike and no deduplication has to follow the joins.
     """
     scored = enrich.with_risk_level(scorer(scoring_input(tables, features)), contiguous)
     cols = scored.columns + ["load_id", "carrier_name", "mode", "Source", "Destination"]
@@ -58,5 +58,5 @@ def predictions(tables, scorer: Scorer, features: DataFrame | None = None,
     out = enrich.enrich_locations(scored, enrich.locations(tables["event"]))
     # The scoring input is an inner join with the spine: no id is null.
     spine = feat.masterbill_ids(tables["masterbill"])
-    out = enrich.enrich_loads(out, tables["fact_load"], keys=spine, null_keys=False).select(*cols)
-    return out.dropDuplicates()
+    loads = tables["fact_load"].select(ID, "load_id", "carrier_name", "mode").distinct()
+    return enrich.enrich_loads(out, loads, keys=spine, null_keys=False).select(*cols)

@@ -18,7 +18,6 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .. import ID
 from ..operators import labels as lab
 from ..operators import model as mdl
 from ..session import tune_for_skew
@@ -37,23 +36,26 @@ def _name(db: str, table: str) -> str:
 
 
 def feature_job(spark: SparkSession, tables, db: str = "", dedupe: bool = False) -> str:
-    """Write the feature table bucketed by id, so later joins on the id and
-    the distinct over its rows read co-partitioned files without a shuffle."""
+    """Write the feature table.  It is not bucketed: a bucket is one task, and
+    one id may hold a large share of the rows."""
+    tune_for_skew(spark)
     name = _name(db, FEATURES_TABLE)
-    sinks.overwrite(feature_table(tables, dedupe=dedupe), name, bucket_by=[ID])
+    sinks.overwrite(feature_table(tables, dedupe=dedupe), name)
     return name
 
 
 def label_job(spark: SparkSession, tables, db: str = "") -> str:
+    tune_for_skew(spark)
     name = _name(db, LABELS_TABLE)
-    sinks.overwrite(lab.delay_labels(tables["activity"]), name, bucket_by=[ID])
+    sinks.overwrite(lab.delay_labels(tables["activity"]), name)
     return name
 
 
 def training_job(spark: SparkSession, tables, db: str = "", name: str = tr.MODEL_NAME,
                  root: str | None = None) -> tuple[int, dict]:
     """Fit on the written feature and label tables; save as the next version."""
-    feats = spark.table(_name(db, FEATURES_TABLE)).distinct()
+    tune_for_skew(spark)
+    feats = spark.table(_name(db, FEATURES_TABLE)).distinct()  # also right over the bag
     labels = spark.table(_name(db, LABELS_TABLE))
     model, pred = tr.fit_and_test(tr.labelled_features(tables, feats, labels))
     metrics = mdl.evaluate(pred).first().asDict()
@@ -64,6 +66,7 @@ def training_job(spark: SparkSession, tables, db: str = "", name: str = tr.MODEL
 def scoring_job(spark: SparkSession, tables, db: str = "", name: str = tr.MODEL_NAME,
                 version: int | None = None, root: str | None = None) -> str:
     """Score every shipment with a saved model (latest unless pinned)."""
+    tune_for_skew(spark)
     model = mdl.load_model(spark, name, version, root)
     feats = spark.table(_name(db, FEATURES_TABLE)).distinct()
     out = inf.predictions(tables, inf.model_scorer(model), features=feats)
@@ -76,7 +79,8 @@ def run_all(spark: SparkSession, tables, db: str = "", root: str | None = None)
     tune_for_skew(spark)
     if db:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
-    feature_job(spark, tables, db)
+    # Training and scoring want distinct feature rows; the bag is for those who ask for it.
+    feature_job(spark, tables, db, dedupe=True)
     label_job(spark, tables, db)
     version, metrics = training_job(spark, tables, db, root=root)
     scoring_job(spark, tables, db, version=version, root=root)

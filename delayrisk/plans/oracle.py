@@ -24,8 +24,8 @@ from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey
     "carrier": """select o_orderkey as masterbill_internal_id,
   case when c_acctbal < 0 then null
        else cast(abs(c_nationkey - 12) * 100 + c_custkey % 100 as double) end as distance_km
-from orders join customer on o_custkey = c_custkey where o_orderkey % 11 <> 0
-union all select o_orderkey, cast(1 as double) from orders where o_orderkey % 97 = 0""",
+from orders join customer on o_custkey = c_custkey
+union all select o_orderkey, cast(1 as double) from orders where o_orderpriority = '1-URGENT'""",
     "item_dimension": """select l_orderkey as masterbill_internal_id,
   case when l_linenumber in (1, 4) then 'height' when l_linenumber in (2, 5) then 'width'
        when l_linenumber in (3, 6) then 'length' else 'inch' end as dimension_dim,
@@ -39,9 +39,9 @@ from lineitem""",
     as hazardous_material_flag,
   case when l_linenumber = 5 then null else p_name end as description
 from lineitem join part on l_partkey = p_partkey""",
-    "item_group": """select l_orderkey as masterbill_internal_id,
-  case when p_type = 'LARGE' then null else p_brand end as description
-from lineitem join part on l_partkey = p_partkey where l_linenumber <= 2""",
+    "item_group": """select o_orderkey as masterbill_internal_id,
+  case when c_acctbal < 0 then null else c_mktsegment end as description
+from orders join customer on o_custkey = c_custkey""",
     "masterbill_margins": """select o_orderkey as masterbill_internal_id,
   case when o_orderstatus = 'P' then 'PlannedMargin' else 'CurrentMargin' end as margin_type,
   o_totalprice as margin_value from orders""",
@@ -59,10 +59,12 @@ select o_orderkey, 'Drop', case when c_acctbal < 0 then null else c_name end, n_
 from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
   join region on n_regionkey = r_regionkey
 union all
-select o_orderkey, 'Booked', null, null, null, null from orders where o_orderkey % 5 = 0""",
-    "fact_load": """select o_orderkey as masterbill_internal_id, o_orderkey * 10 as load_id,
+select o_orderkey, 'Booked', null, null, null, null from orders where o_orderpriority = '5-LOW'""",
+    "fact_load": """select o_orderkey as masterbill_internal_id,
+  o_orderkey * 10 + cast(l_linestatus = 'O' as bigint) as load_id,
   o_orderpriority as carrier_name, c_mktsegment as mode
-from orders join customer on o_custkey = c_custkey where o_orderkey % 13 <> 0""",
+from (select distinct l_orderkey, l_linestatus from lineitem)
+  join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey""",
 }
 
 

@@ -10,6 +10,7 @@ from .. import ID
 from ..operators import labels as lab
 from ..operators import model as mdl
 from ..session import ensure_checkpoint_dir
+from ..staging import global_rank, stage
 from .feature_table import feature_table
 
 MODEL_NAME = "delivery_delay_model"
@@ -52,12 +53,6 @@ def train(spark: SparkSession, tables, name: str = MODEL_NAME, root: str | None
     return model, m, version
 
 
-def held_out_predictions(tables, **kw) -> DataFrame:
-    """Held-out rows with actual and predicted class and the risk factor."""
-    _, pred = fit_and_test(labelled_features(tables), **kw)
-    return pred.select(ID, "actual", mdl.LABEL, "risk_factor")
-
-
 def split_counts(data: DataFrame) -> DataFrame:
     """M1 check: rows and distinct ids on each side of the split."""
     side = F.when(mdl.in_train(), F.lit("train")).otherwise(F.lit("test"))
@@ -73,23 +68,41 @@ def rule_predictions(test: DataFrame, threshold: float = 60.0) -> DataFrame:
                         .otherwise(F.lit("Not Delayed"))))
 
 
+#: Fixed rows on which one tree of depth 1 splits the weight at 50: (weight, label, rows).
+STUMP_ROWS = ((0.0, "Not Delayed", 3), (0.0, "Delayed", 1), (100.0, "Delayed", 4), (100.0, "Not Delayed", 1))
+
+
+def stump(spark: SparkSession) -> PipelineModel:
+    """A saved-model stand-in with a known outcome, through the same pipeline as the forest.
+
+    Weights up to 50 have P(Delayed) = 1/4, others 4/5, so what scoring does
+    with a fitted model can be stated in SQL.
+    """
+    rows = [(w, 0.0, 0.0, False, 0.0, label) for w, label, n in STUMP_ROWS for _ in range(n)]
+    frame = spark.createDataFrame(rows, "total_weight double, volume_cm3 double, distance_km double,"
+                                  " hazardous_material_flag boolean, margin_value double, delivery_delay string")
+    return mdl.fit(frame, trees=1, depth=1, bootstrap=False)
+
+
 def encode_description(tables) -> DataFrame:
     """Index and one-hot encode the filled item description.
 
-    The vocabulary is counted by a distributed aggregate; only the distinct
-    descriptions reach the driver, as the indexer's label list.
+    Descriptions are indexed by frequency, ties by text, as an indexer does;
+    the one-hot vector is the pair (size, hot): ``size`` one less than the
+    number of descriptions, ``hot`` the index, null for the last (all zeros).
+    Counts are ranked by range and joined back; nothing but their number
+    reaches the driver, and AQE can split a frequent description's rows.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
-
     from ..operators import features as feat
     from ..operators import impute
 
-    bag = impute.fill_category(feat.feature_join(tables), "item_description")
-    pipe = Pipeline(stages=[
-        StringIndexer(inputCol="item_description", outputCol="item_description_index",
-                      handleInvalid="keep"),
-        OneHotEncoder(inputCols=["item_description_index"], outputCols=["item_description_ohe"],
-                      handleInvalid="keep")])
-    out = pipe.fit(bag).transform(bag)
-    return out.select(ID, "item_description", "item_description_index")
+    bag = stage(impute.fill_category(feat.feature_join(tables), "item_description")
+                .select(ID, "item_description"), "descriptions")
+    counts = bag.groupBy("item_description").agg(F.count(F.lit(1)).alias("n"))
+    ranked = global_rank(counts, [F.col("n").desc(), F.col("item_description")], "place")
+    size = ranked.count() - 1
+    at = F.col("place")
+    index = ranked.select("item_description", at.cast("double").alias("item_description_index"),
+                          F.lit(size).cast("long").alias("item_description_size"),
+                          F.when(at < size, at).alias("item_description_hot"))
+    return bag.join(index, "item_description").select(ID, *index.columns)

@@ -7,6 +7,7 @@ SQL for the same name lives in ``ORACLE``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +24,10 @@ from .plans import feature_table as ft
 from .plans import inference as inf
 from .plans import oracle as O
 from .plans import training as tr
-from .session import ensure_checkpoint_dir, session_key
+from .session import tune_for_skew
 from .sources import sinks
-from .sources.catalog import INPUT_TABLES, Tables
+from .sources.catalog import INPUT_TABLES, Tables, use_namespace
+from .staging import scratch, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,6 +44,7 @@ def register(name: str, sql: str | None = None):
 
 
 def fx(spark: SparkSession, sf_dir: str) -> Tables:
+    tune_for_skew(spark)
     return Tables.from_fixture(spark, sf_dir)
 
 
@@ -69,8 +72,8 @@ def q_delay_labels(spark, sf_dir):
 
 FLAGSHIP = "feature_table"
 
-# Oracle CTEs shared by the feature queries, written from the reference's
-# statement order (left joins from the distinct spine, then one distinct).
+# Oracle CTEs shared by the feature queries, written from SURVEY section 2
+# and its ledger, so that they can disagree with the Spark plans.
 _PARTS_SQL = [
     ("ids", "select distinct masterbill_internal_id from masterbill"),
     ("dist", "select distinct masterbill_internal_id, cast(distance_km as double) as distance_km"
@@ -92,22 +95,22 @@ from itemgroup_line_item group by masterbill_internal_id"""),
 from masterbill_margins where margin_type = 'CurrentMargin'"""),
     ("drp", """select distinct masterbill_internal_id, event_type from tracking_shipment_status
 where event_type = 'Drop'"""),
-    ("desc_a", "select distinct masterbill_internal_id, description as desc_b from item_group"),
-    ("desc_b", "select distinct masterbill_internal_id, description as desc_c from itemgroup_line_item"),
-    ("descr", """select distinct coalesce(a.masterbill_internal_id, b.masterbill_internal_id)
-    as masterbill_internal_id, coalesce(a.desc_b, b.desc_c) as item_description
-from desc_a a full outer join desc_b b on a.masterbill_internal_id = b.masterbill_internal_id"""),
-    ("bag", """select distinct ids.masterbill_internal_id, vol.volume_cm3, dist.distance_km,
-  wt.total_weight, coalesce(haz.hazardous_material_flag, false) as hazardous_material_flag,
-  coalesce(mrg.margin_value, 0) as margin_value, descr.item_description
-from ids
-  left join dist on ids.masterbill_internal_id = dist.masterbill_internal_id
-  left join vol on ids.masterbill_internal_id = vol.masterbill_internal_id
-  left join wt on ids.masterbill_internal_id = wt.masterbill_internal_id
-  left join haz on ids.masterbill_internal_id = haz.masterbill_internal_id
-  left join mrg on ids.masterbill_internal_id = mrg.masterbill_internal_id
-  left join drp on ids.masterbill_internal_id = drp.masterbill_internal_id
-  left join descr on ids.masterbill_internal_id = descr.masterbill_internal_id"""),
+    # Per id, the lines speak where the groups are silent (no row, or a null one).
+    ("descr", """select masterbill_internal_id, description as item_description from item_group g
+where description is not null or not exists (select 1 from itemgroup_line_item l
+  where l.masterbill_internal_id = g.masterbill_internal_id)
+union
+select masterbill_internal_id, description from itemgroup_line_item l
+where not exists (select 1 from item_group g where g.masterbill_internal_id = l.masterbill_internal_id
+  and g.description is not null)
+or exists (select 1 from item_group g where g.masterbill_internal_id = l.masterbill_internal_id
+  and g.description is null)"""),
+    # Every combination of an id's values; ids without a part keep nulls.
+    ("bag", """select distinct masterbill_internal_id, volume_cm3, distance_km, total_weight,
+  hazardous_material_flag is not null and hazardous_material_flag as hazardous_material_flag,
+  case when margin_value is null then 0 else margin_value end as margin_value, item_description
+from ids natural left join vol natural left join wt natural left join haz
+  natural left join dist natural left join mrg natural left join descr"""),
 ]
 _FEATURE_INPUTS = ("masterbill", "carrier", "item_dimension", "item_weight", "itemgroup_line_item",
                    "masterbill_margins", "tracking_shipment_status", "item_group")
@@ -229,7 +232,8 @@ def q_null_profile(spark, sf_dir):
 @register("unique_masterbills", _fsql(
     "select count(*) as unique_masterbills from (select distinct masterbill_internal_id from bag)"))
 def q_unique_masterbills(spark, sf_dir):
-    return profile.unique_ids(feat.feature_join(fx(spark, sf_dir)))
+    # The joined rows have the spine's ids, no more and no fewer.
+    return profile.unique_ids(feat.masterbill_ids(fx(spark, sf_dir)["masterbill"]))
 
 
 @register(FLAGSHIP, _fsql(_FEATURE_SQL))
@@ -310,33 +314,82 @@ def q_eval_metrics(spark, sf_dir):
     return mdl.evaluate(tr.rule_predictions(test))
 
 
-_TRAINED: dict = {}
+_RISK_OK = "True as risk_in_range, True as class_agrees"
 
 
-def _trained(spark, sf_dir):
-    """E3 once per (session, folder): the fitted model and its held-out scores.
-
-    E4 scores with an already trained model (the reference loads a saved
-    version); this keeps the scoring queries from fitting the forest again.
-    """
-    key = (session_key(spark), sf_dir)
-    if key not in _TRAINED:
-        _TRAINED[key] = tr.fit_and_test(tr.labelled_features(fx(spark, sf_dir)))
-    return _TRAINED[key]
+def _facts(pred: DataFrame, *cols: str) -> DataFrame:
+    """What SQL can say of a forest's row: the risk is a percentage, the class goes with it."""
+    risk = F.col("risk_factor")
+    late = F.col(mdl.LABEL) == lab.DELAYED
+    agrees = F.when(F.abs(risk - 50) < 1e-9, True).otherwise(late == (risk > 50))
+    return pred.select(ID, *cols, risk.between(0, 100).alias("risk_in_range"), agrees.alias("class_agrees"))
 
 
-@register("train_forest")
+@register("train_forest", _esql(
+    f"select masterbill_internal_id, delivery_delay as actual, {_RISK_OK} from ts"
+    f" where {O.draw('split')} % 100 >= 80", "ts"))
 def q_train_forest(spark, sf_dir):
-    _, pred = _trained(spark, sf_dir)
-    return pred.select(ID, "actual", mdl.LABEL, "risk_factor")
+    _, pred = tr.fit_and_test(tr.labelled_features(fx(spark, sf_dir)))
+    return _facts(pred, "actual")
+
+
+@register("forest_scores", _esql(f"select masterbill_internal_id, {_RISK_OK} from si", "si"))
+def q_forest_scores(spark, sf_dir):
+    t = fx(spark, sf_dir)
+    model, _ = tr.fit_and_test(tr.labelled_features(t))
+    return _facts(inf.model_scorer(model)(inf.scoring_input(t)))
+
+
+@register("class_list", _esql(
+    "select cast(row_number() over (order by delivery_delay) - 1 as int) as place, delivery_delay as class"
+    " from (select distinct delivery_delay from ts)", "ts"))
+def q_class_list(spark, sf_dir):
+    model, _ = tr.fit_and_test(tr.labelled_features(fx(spark, sf_dir)), trees=2, depth=1)
+    return spark.createDataFrame(list(enumerate(mdl.class_labels(model))), "place int, class string")
+
+
+def _two_versions(spark, sf_dir) -> str:
+    """A new model folder with two saved versions, fitted on the table's rows."""
+    root = scratch(spark, "models")
+    data = stage(tr.labelled_features(fx(spark, sf_dir)), "labelled")
+    for trees in (2, 3):
+        model, pred = tr.fit_and_test(data, trees=trees, depth=2)
+        mdl.save_model(spark, model, tr.MODEL_NAME, mdl.evaluate(pred).first().asDict(), root)
+    return root
+
+
+@register("model_runs", _esql(
+    "select 'delivery_delay_model' as name, cast(v as int) as version, cast(v + 1 as int) as trees, 2 as depth,"
+    " cast(42 as bigint) as seed, 'volume_cm3,distance_km,total_weight,hazardous_material_flag,margin_value' as features,"
+    " (select string_agg(distinct delivery_delay, ',' order by delivery_delay) from ts) as classes,"
+    " True as metrics_in_range from range(1, 3) t(v)", "ts"))
+def q_model_runs(spark, sf_dir):
+    runs = spark.read.schema(mdl.RUNS_SCHEMA).parquet(_two_versions(spark, sf_dir) + "/model_runs")
+    return runs.select("name", "version", "trees", "depth", "seed", F.array_join("features", ",").alias("features"),
+                       F.array_join("classes", ",").alias("classes"),
+                       (F.col("accuracy").between(0, 1) & F.col("f1").between(0, 1)).alias("metrics_in_range"))
+
+
+@register("latest_version", _esql(
+    f"select masterbill_internal_id, cast(2 as int) as version, {_RISK_OK} from si", "si"))
+def q_latest_version(spark, sf_dir):
+    """The latest saved version, loaded again, scores every shipment."""
+    root = _two_versions(spark, sf_dir)
+    model = mdl.load_model(spark, tr.MODEL_NAME, root=root)
+    version = F.lit(mdl.latest_version(spark, tr.MODEL_NAME, root)).cast("int")
+    scored = inf.model_scorer(model)(inf.scoring_input(fx(spark, sf_dir))).withColumn("version", version)
+    return _facts(scored, "version")
 
 
 @register("encode_description", _fsql(
-    f"""select f.masterbill_internal_id, f.item_description, i.item_description_index
+    f"""select f.masterbill_internal_id, f.item_description, i.item_description_index,
+  i.n - 1 as item_description_size,
+  case when item_description_index < i.n - 1 then cast(item_description_index as bigint) end
+    as item_description_hot
 from (select masterbill_internal_id, {_FILL_DESC} as item_description from bag) f
 join (select item_description,
         cast(row_number() over (order by count(*) desc, item_description) - 1 as double)
-          as item_description_index
+          as item_description_index, count(*) over () as n
       from (select {_FILL_DESC} as item_description from bag) group by item_description) i
   using (item_description)"""))
 def q_encode_description(spark, sf_dir):
@@ -365,7 +418,9 @@ def q_risk_level(spark, sf_dir):
     " using (masterbill_internal_id)", "ld"))
 def q_enrich_loads(spark, sf_dir):
     t, sc = _drawn(spark, sf_dir)
-    return enrich.enrich_loads(enrich.with_risk_level(sc), t["fact_load"])
+    # The scored rows' ids are the spine's, none of them null: planned once.
+    return enrich.enrich_loads(enrich.with_risk_level(sc), t["fact_load"],
+                               keys=feat.masterbill_ids(t["masterbill"]), null_keys=False)
 
 
 @register("pick_drop_events", _esql("select * from pde", "pde"))
@@ -386,16 +441,33 @@ def q_enrich_locations(spark, sf_dir):
     return enrich.enrich_locations(enrich.with_risk_level(sc), enrich.locations(t["event"]))
 
 
-@register("score_batch")
+# A fitted model with a known outcome: one tree of depth 1, split at weight 50.
+_STUMP_SQL = """select masterbill_internal_id, volume_cm3, distance_km, total_weight,
+  hazardous_material_flag, margin_value,
+  case when total_weight <= 50 then 'Not Delayed' else 'Delayed' end as delivery_delay,
+  case when total_weight <= 50 then 25.0 else 80.0 end::double as risk_factor from si"""
+
+
+def _stump_sql(body: str, upto: str = "pred") -> str:
+    """The scoring CTEs with the known model in place of the drawn risk."""
+    names = [n for n, _ in _E4_SQL]
+    ctes = [(n, _STUMP_SQL if n == "sc" else "select *, " + _LEVEL_SQL + " as risk_level from sc" if n == "sc2" else q)
+            for n, q in _E4_SQL[: names.index(upto) + 1]]
+    return O.with_ctes(O.adapter(*_E4_INPUTS) + _PARTS_SQL + ctes, body)
+
+
+def _stump_predictions(spark, sf_dir) -> DataFrame:
+    return inf.predictions(fx(spark, sf_dir), inf.model_scorer(tr.stump(spark)))
+
+
+@register("score_batch", _stump_sql("select * from sc", "sc"))
 def q_score_batch(spark, sf_dir):
-    model, _ = _trained(spark, sf_dir)
-    return inf.model_scorer(model)(inf.scoring_input(fx(spark, sf_dir)))
+    return inf.model_scorer(tr.stump(spark))(inf.scoring_input(fx(spark, sf_dir)))
 
 
-@register("delay_predictions")
+@register("delay_predictions", _stump_sql("select * from pred"))
 def q_delay_predictions(spark, sf_dir):
-    model, _ = _trained(spark, sf_dir)
-    return inf.predictions(fx(spark, sf_dir), inf.model_scorer(model))
+    return _stump_predictions(spark, sf_dir)
 
 
 # ------------------------------------------------------ E5: dashboard mart
@@ -434,24 +506,16 @@ def _msql(body: str) -> str:
         f",\n{n} as (\n{s}\n)" for n, s in _MART_SQL) + "\n" + body
 
 
-_PREDICTIONS: dict = {}
+def written_predictions(spark, sf_dir) -> DataFrame:
+    """E4 on the drawn risk, written as Parquet and read back.
 
+    The dashboard reads a written predictions table, not the scoring plan,
+    so each mart query reads the columns it needs.
+    """
+    return stage(inf.predictions(fx(spark, sf_dir), inf.drawn_scorer()), "predictions")
 
-def _predictions(spark, sf_dir):
-    """E4 on the drawn risk, checkpointed once per (session, folder).
 
-    The dashboard reads a written predictions table, not the scoring plan:
-    a filter on a derived mart column (say the category) would otherwise be
-    pushed through every projection and join with the risk expression
-    inlined into it many times over.  The checkpoint is reliable (written to
-    the session's ``spark.checkpoint.dir``) and cuts the lineage there.
-    """
-    key = (session_key(spark), sf_dir)
-    if key not in _PREDICTIONS:
-        ensure_checkpoint_dir(spark)
-        pred = inf.predictions(fx(spark, sf_dir), inf.drawn_scorer())
-        _PREDICTIONS[key] = pred.checkpoint(eager=True)
-    return _PREDICTIONS[key]
+_predictions = written_predictions
 
 
 def _mart(spark, sf_dir):
@@ -468,9 +532,36 @@ def _search_sql(src: str) -> str:
     return f"select * from {src} where contains(lower({hay}), '{_SEARCH_TEXT.strip().lower()}')"
 
 
+@register("mart_fetch", _esql(f"select {_MART_COLS} from pred"))
+def q_mart_fetch(spark, sf_dir):
+    return mart.head_rows(mart.conform(_predictions(spark, sf_dir)))
+
+
 @register("mart_head", _esql(f"select {_MART_COLS} from pred order by {_ORDER_SQL} limit 5000"))
 def q_mart_head(spark, sf_dir):
-    return mart.head_rows(mart.conform(_predictions(spark, sf_dir)))
+    """The reference's fetch: a cap that its caller asks for."""
+    return mart.head_rows(mart.conform(_predictions(spark, sf_dir)), n=5000)
+
+
+@register("mart_percent_text", _esql(
+    "select 'SHP-' || masterbill_internal_id as masterbill_internal_id, cast(null as varchar) as carrier_name,"
+    " cast(risk_factor as varchar) || '%' as risk_factor,"
+    " case when risk_factor is null then null else risk_factor end as percent from sc2", "sc2"))
+def q_mart_percent_text(spark, sf_dir):
+    """Text ids and text percents through the mart."""
+    _, sc = _drawn(spark, sf_dir)
+    text = enrich.with_risk_level(sc).withColumn("risk_factor", F.concat(F.col("risk_factor").cast("string"), F.lit("%"))) \
+        .withColumn(ID, F.concat(F.lit("SHP-"), F.col(ID).cast("string")))
+    return dash.dashboard_mart(text).select(ID, "carrier_name", "risk_factor", "percent")
+
+
+def _stump_msql(body: str) -> str:
+    return _stump_sql("").rstrip() + "".join(f",\n{n} as (\n{q}\n)" for n, q in _MART_SQL) + "\n" + body
+
+
+@register("model_mart", _stump_msql("select * from m2"))
+def q_model_mart(spark, sf_dir):
+    return dash.dashboard_mart(stage(_stump_predictions(spark, sf_dir), "predictions"))
 
 
 @register("conform_columns", _esql(
@@ -600,6 +691,38 @@ def q_page_rows(spark, sf_dir):
                      _PAGE)
 
 
+@register("page_after_walk", _msql(
+    "select * replace (case when mode = 'BUILDING' then null else masterbill_internal_id end"
+    " as masterbill_internal_id) from m2"))
+def q_page_after_walk(spark, sf_dir):
+    """All rows, page after page: ids repeat across page ends, some are null."""
+    rows = stage(_mart(spark, sf_dir).withColumn(ID, F.when(F.col("mode") == "BUILDING", None).otherwise(F.col(ID))), "mart")
+    size = max(1, -(-rows.count() // 7))
+    pages, last, seen = [], None, 0
+    while True:
+        part = stage(mart.page_after(rows, last, seen, size), "page")
+        # The page's last row, and those of the page that are alike, make the cursor.
+        tail = part.orderBy(*[F.col(c).desc() for c in mart.ORDER]).limit(1).collect()
+        if not tail:
+            break
+        alike = part.filter(mart.at_or_after(part, tail[0], mart.ORDER)).count()
+        whole = alike == part.count() and last is not None and all(tail[0][c] == last[c] for c in mart.ORDER)
+        last, seen = tail[0], alike + (seen if whole else 0)
+        pages.append(part)
+    out = pages[0] if pages else rows
+    for part in pages[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@register("deep_page", _msql(
+    f"select * exclude (rn, n) from (select *, row_number() over (order by {_ORDER_SQL}) as rn,"
+    " count(*) over () as n from m2) where rn > (ceil(n / 10.0) - 1) * 10"))
+def q_deep_page(spark, sf_dir):
+    """The last page, asked for by a number far beyond it."""
+    return mart.page(_mart(spark, sf_dir), 10**9)
+
+
 @register("kpis", _msql(
     "select count(*) filter (where delivery_delay = 'Delayed') as delayed,"
     " round(avg(distance_km), 1) as avg_distance_km, round(avg(total_weight), 1) as avg_weight,"
@@ -624,12 +747,72 @@ def q_kpis(spark, sf_dir):
       and w.masterbill_internal_id = fd.masterbill_internal_id))""", "fd"))
 def q_upsert_by_key(spark, sf_dir):
     t = fx(spark, sf_dir)
-    old = ft.feature_table(t, dedupe=True)
+    old = stage(ft.feature_table(t, dedupe=True), "features")
     billed = feat.total_weight(t["item_weight"], "billed")
     new = old.drop("total_weight").join(billed, ID, "inner").select(*old.columns)
     return sinks.upsert(old, new, [ID])
 
 
+# ------------------------------------------------------ S4 to S8: tables written and read back
+
+
+def _table(label: str) -> str:
+    return f"{label}_{uuid.uuid4().hex[:12]}"
+
+
+@register("table_overwrite", O.with_ctes(O.adapter("activity"), _LABELS_SQL))
+def q_table_overwrite(spark, sf_dir):
+    """A table with other columns is replaced by the labels."""
+    t, name = fx(spark, sf_dir), _table("s4")
+    sinks.overwrite(t["masterbill"], name)
+    sinks.overwrite(lab.delay_labels(t["activity"]), name)
+    return spark.table(name)
+
+
+@register("table_grow", O.with_ctes(O.adapter("masterbill_margins"),
+    "select masterbill_internal_id, cast(null as varchar) as margin_type, margin_value, margin_value * 2 as doubled"
+    " from masterbill_margins"))
+def q_table_grow(spark, sf_dir):
+    """The second write lacks one column and brings another."""
+    margins, name = fx(spark, sf_dir)["masterbill_margins"], _table("s5")
+    sinks.overwrite_growing(margins, name)
+    sinks.overwrite_growing(margins.select(ID, (F.col("margin_value") * 2).alias("doubled"), "margin_value"), name)
+    return spark.table(name)
+
+
+@register("keyed_create", O.with_ctes(O.adapter("activity"), _LABELS_SQL))
+def q_keyed_create(spark, sf_dir):
+    """One row per shipment, checked."""
+    name = _table("s7")
+    sinks.create_keyed(lab.delay_labels(fx(spark, sf_dir)["activity"]), name, [ID])
+    return spark.table(name)
+
+
+@register("table_merge", O.with_ctes(O.adapter("activity", "masterbill"), f"""select masterbill_internal_id,
+  coalesce(delivery_delay, 'Unknown') as delivery_delay
+from (select distinct masterbill_internal_id from masterbill) left join ({_LABELS_SQL}) using (masterbill_internal_id)"""))
+def q_table_merge(spark, sf_dir):
+    """Every shipment as unknown, then the labels merged over them, twice."""
+    t, name = fx(spark, sf_dir), _table("s8")
+    sinks.merge_into(feat.masterbill_ids(t["masterbill"]).withColumn(mdl.LABEL, F.lit("Unknown")), name, [ID])
+    for _ in range(2):
+        sinks.merge_into(lab.delay_labels(t["activity"]), name, [ID])
+    return spark.table(name)
+
+
+@register("use_namespace", O.with_ctes(O.adapter("masterbill"), "select masterbill_internal_id from masterbill"))
+def q_use_namespace(spark, sf_dir):
+    """An unqualified name is written to, and read from, the namespace in use."""
+    rows, db, before = fx(spark, sf_dir)["masterbill"], _table("ns"), spark.catalog.currentDatabase()
+    spark.sql(f"CREATE DATABASE {db}")
+    try:
+        use_namespace(spark, db)
+        sinks.overwrite(rows, "spine")
+        return spark.table(f"{db}.spine")
+    finally:
+        use_namespace(spark, before)
+
+
 @register("kpi_text", _msql(
     "select format('{:,}', delayed) as delayed_text,"
     " coalesce(printf('%.1f', avg_distance_km), '—') as avg_distance_text,"
@@ -640,9 +823,3 @@ def q_upsert_by_key(spark, sf_dir):
     " count(*) filter (where hazardous_material_flag) as hazardous from m2)"))
 def q_kpi_text(spark, sf_dir):
     return mart.kpi_text(mart.kpis(_mart(spark, sf_dir)))
-
-
-def reset_memos() -> None:
-    """Forget the per-session trained model and written predictions."""
-    _TRAINED.clear()
-    _PREDICTIONS.clear()

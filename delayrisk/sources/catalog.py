@@ -9,6 +9,7 @@ is a lazy DataFrame, so projections and filters reach the scan.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,8 @@ class Tables:
         self._factories = dict(factories or {})
         self.check = check
         self.strict = strict
+        #: Type differences found on reading, by logical name.
+        self.differences: dict[str, list] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         return read_table(self, name)
@@ -70,7 +73,10 @@ def read_table(tables: Tables, name: str) -> DataFrame:
     else:
         raise KeyError(f"unknown table {name!r}")
     if tables.check and name in schema.INPUTS:
-        schema.check(df, schema.INPUTS[name], name, tables.strict)
+        found = schema.check(df, schema.INPUTS[name], name, tables.strict)
+        if found:
+            tables.differences[name] = found
+            warnings.warn(f"{name}: types differ from the declared ones: {found}", stacklevel=2)
     return df
 
 

@@ -1,67 +1,110 @@
 """Table writes.
 
 Plain Spark tables have no MERGE and ignore ``mergeSchema`` on overwrite
-(ledger L14), so schema growth and keyed merges are written as "build the
-new contents, write them to a staging table, swap names".  Spark cannot
-overwrite a table while the same job reads it; the staging table avoids
-that and leaves the old table intact until the new one is complete.
+(ledger L14), so every write is "build the new contents, write them to a
+staging table, swap names", with recovery of a swap that stopped half-way.
+Spark cannot overwrite a table while the same job reads it; the staging table
+avoids that and leaves the old table intact until the new one is complete.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _exists(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name)
 
 
-def overwrite(df: DataFrame, name: str, bucket_by: Sequence[str] | None = None,
-              buckets: int | None = None) -> None:
-    """Replace the table's rows and schema.
-
-    ``bucket_by`` stores the rows bucketed (and sorted) by the key, so later
-    joins and merges on that key read co-partitioned files and skip a shuffle.
-    """
-    w = df.write.mode("overwrite")
+def _write_new(df: DataFrame, name: str, bucket_by: Sequence[str] | None = None,
+               buckets: int | None = None) -> None:
+    """Write ``df`` to a table that does not exist yet."""
+    w = df.write.mode("errorifexists")
     if bucket_by:
         n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         w = w.bucketBy(n, *bucket_by).sortBy(*bucket_by)
     w.saveAsTable(name)
 
 
-def _swap(spark: SparkSession, df: DataFrame, name: str, **kw) -> None:
-    """Write ``df`` completely to a staging table, then move it into place.
+def recover(spark: SparkSession, name: str) -> None:
+    """Finish or undo a swap that stopped half-way; call before reading or replacing ``name``.
 
-    The old table is renamed aside first and dropped last, so a failure at
-    any step leaves either the old or the new contents under a known name.
+    The table is missing only between the two renames, when both the old and
+    the new rows are complete: the new ones take its place.  Without them the
+    old ones come back.  The old rows are dropped only once the table is there.
     """
-    staging, old = f"{name}__staging", f"{name}__old"
-    spark.sql(f"DROP TABLE IF EXISTS {staging}")
-    overwrite(df, staging, **kw)
-    spark.sql(f"DROP TABLE IF EXISTS {old}")
+    ready, old = f"{name}__ready", f"{name}__old"
+    if not _exists(spark, name):
+        for kept in (ready, old):
+            if _exists(spark, kept):
+                spark.sql(f"ALTER TABLE {kept} RENAME TO {name}")
+                break
+    if _exists(spark, name):
+        for left in (ready, old):
+            spark.sql(f"DROP TABLE IF EXISTS {left}")
+
+
+def replace(df: DataFrame, name: str, **layout) -> None:
+    """Replace the table by ``df``, which may read it, in one staged swap.
+
+    The rows are written whole under a name of their own and renamed to
+    ``__ready`` when complete; then the old table is renamed aside, the new
+    one into place, and the old one dropped.  Whatever step fails, the old or
+    the new rows are whole, and ``recover`` puts them in place.
+    """
+    spark = df.sparkSession
+    staging, ready, old = f"{name}__{uuid.uuid4().hex[:12]}", f"{name}__ready", f"{name}__old"
+    recover(spark, name)
+    try:
+        _write_new(df, staging, **layout)
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {staging}")
+        raise
+    if not _exists(spark, name):
+        spark.sql(f"ALTER TABLE {staging} RENAME TO {name}")
+        return
+    spark.sql(f"ALTER TABLE {staging} RENAME TO {ready}")
     spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
-    spark.sql(f"ALTER TABLE {staging} RENAME TO {name}")
+    spark.sql(f"ALTER TABLE {ready} RENAME TO {name}")
     spark.sql(f"DROP TABLE IF EXISTS {old}")
 
 
-def grow_schema(df: DataFrame, old_columns: Sequence[tuple[str, str]]) -> DataFrame:
-    """New rows with the old table's extra columns added as typed nulls."""
-    have = set(df.columns)
-    extra = [F.lit(None).cast(t).alias(c) for c, t in old_columns if c not in have]
-    return df.select("*", *extra)
+def overwrite(df: DataFrame, name: str, bucket_by: Sequence[str] | None = None,
+              buckets: int | None = None) -> None:
+    """Replace the table's rows and schema; the old table stays until the new one is complete.
+
+    ``bucket_by`` stores the rows bucketed (and sorted) by the key, so later
+    joins and merges on that key read co-partitioned files and skip a
+    shuffle.  A bucket is one task, so it suits keys of few rows each only.
+    """
+    replace(df, name, bucket_by=bucket_by, buckets=buckets)
+
+
+def grow_schema(df: DataFrame, old: T.StructType) -> DataFrame:
+    """The old table's columns first (as nulls where ``df`` lacks them), then the new ones.
+
+    A column that both have must keep its type.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    changed = [f.name for f in old.fields if f.name in kinds and kinds[f.name] != f.dataType]
+    if changed:
+        raise ValueError(f"columns change their type: {changed}")
+    kept = [F.col(f.name) if f.name in kinds else F.lit(None).cast(f.dataType).alias(f.name) for f in old.fields]
+    return df.select(*kept, *[c for c in df.columns if c not in set(old.names)])
 
 
 def overwrite_growing(df: DataFrame, name: str) -> None:
-    """Overwrite, keeping columns the table has and the new rows lack (as nulls)."""
+    """Overwrite, keeping the table's columns (null where the new rows lack them)."""
     spark = df.sparkSession
+    recover(spark, name)
     if _exists(spark, name):
-        old = [(f.name, f.dataType.simpleString()) for f in spark.table(name).schema.fields]
-        df = grow_schema(df, old)
-    overwrite(df, name)
+        df = grow_schema(df, spark.table(name).schema)
+    replace(df, name)
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -98,10 +141,13 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def merge_into(new: DataFrame, name: str, keys: Sequence[str], bucketed: bool = True) -> None:
-    """Keyed merge write of ``new`` into table ``name`` (created if absent)."""
+    """Keyed merge write of ``new`` into table ``name`` (created if absent).
+
+    ``keys`` must be unique and non-null in ``new``, so the table's key holds
+    after every merge.
+    """
     spark = new.sparkSession
-    if not _exists(spark, name):
-        create_keyed(new, name, keys, bucketed)
-        return
-    merged = upsert(spark.table(name), new, keys)
-    _swap(spark, merged, name, bucket_by=list(keys) if bucketed else None)
+    recover(spark, name)
+    assert_unique(new, keys)
+    rows = upsert(spark.table(name), new, keys) if _exists(spark, name) else new
+    overwrite(rows, name, bucket_by=list(keys) if bucketed else None)

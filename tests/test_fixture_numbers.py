@@ -20,13 +20,13 @@ def test_fixture_section_5(spark):
     assert labels == {"Delayed": 6503, "Not Delayed": 8084}
 
     ft = feature_table(t)
-    assert ft.count() == 39957
-    assert ft.distinct().count() == 15140
+    assert ft.count() == 22241
+    assert ft.distinct().count() == 17978
     assert ft.select("masterbill_internal_id").distinct().count() == 15000
     fills = ft.agg(F.count_if(F.col("volume_cm3") > 0), F.count_if(F.col("distance_km") == 0),
                    F.count_if(F.col("total_weight") <= 2), F.count_if(F.col("margin_value") == 0),
                    F.count_if("hazardous_material_flag")).first()
-    assert tuple(fills) == (16291, 6489, 1724, 13501, 21187)
+    assert tuple(fills) == (7719, 4824, 1517, 7486, 11319)
 
     ids = feat.masterbill_ids(t["masterbill"])
     assert tuple(ids.agg(F.count_if(mdl.in_train()), F.count_if(~mdl.in_train())).first()) \
@@ -37,4 +37,4 @@ def test_fixture_section_5(spark):
     assert levels == {"Normal": 7571, "Low": 2758, "Medium": 2882, "High": 1322, None: 467}
 
     places = F.concat_ws(", ", "city", "state", "country_code", "postal_code")
-    assert t["event"].filter(places == "").count() == 3000
+    assert t["event"].filter(places == "").count() == 2996

@@ -250,11 +250,66 @@ def test_page_and_info(spark):
     assert info == {"rows": 25, "pages": 3, "page": 3}
     assert [r[ID] for r in mart.page(df, 2).collect()] == list(range(11, 21))
     assert [r[ID] for r in mart.page(df, 99).collect()] == list(range(21, 26))
-    assert [r[ID] for r in mart.page_after(df, 20, 3).collect()] == [21, 22, 23]
+    assert [r[ID] for r in mart.page_after(df, {ID: 20}, size=3).collect()] == [21, 22, 23]
     assert mart.page_info(df.filter(F.lit(False)), 1).first().asDict() == \
         {"rows": 0, "pages": 1, "page": 1}
 
 
+def test_page_after_loses_no_row(spark):
+    """Ids that straddle page ends, null ids and loads, rows that are alike in every column."""
+    rows = [(1, 10), (1, 11), (1, 12), (2, None), (2, 20), (2, 20), (2, 20), (None, 5), (None, None), (3, 30)]
+    df = spark.createDataFrame(rows, f"{ID} long, load_id long")
+    for size in range(1, 12):
+        got, last, seen = [], None, 0
+        while True:
+            page = mart.page_after(df, last, seen, size).collect()
+            if not page:
+                break
+            last, seen = mart.cursor(page, last, seen)
+            got += [tuple(r) for r in page]
+        order = lambda r: [(v is not None, v or 0) for v in r]
+        assert got == sorted(rows, key=order)
+
+
+def test_deep_pages_are_ranked_by_parts(spark, monkeypatch):
+    monkeypatch.setattr(mart, "TOP_ROWS", 10)
+    df = spark.range(1, 58).select(F.col("id").alias(ID)).repartition(5)
+    assert sorted(r[ID] for r in mart.page(df, 3).collect()) == list(range(21, 31))
+    assert sorted(r[ID] for r in mart.page(df, 99).collect()) == list(range(51, 58))
+    assert mart.page(df.filter("false"), 99).count() == 0
+
+
+def test_head_rows_has_no_cap_of_its_own(spark):
+    df = spark.range(7000).select(F.col("id").alias(ID))
+    assert mart.head_rows(df, [ID]).count() == 7000
+    assert [r[ID] for r in mart.head_rows(df, [ID], n=2).collect()] == [0, 1]
+
+
+def test_conform_keeps_types_of_columns_that_exist(spark):
+    out = mart.conform(spark.createDataFrame([("SHP-1", "85%")], f"{ID} string, risk_factor string"))
+    assert tuple(out.select(ID, "risk_factor").first()) == ("SHP-1", "85%")
+    assert mart.display_columns(out).first()["percent"] == 85.0
+
+
+def test_nan_and_null_features_are_filled(spark):
+    from delayrisk.plans.feature_table import fill_features
+    nan = math.nan
+    df = spark.createDataFrame([(1, nan, nan, nan, True, nan), (2, None, None, None, True, 1.0)],
+                               f"{ID} long, volume_cm3 double, distance_km double, total_weight double,"
+                               " hazardous_material_flag boolean, margin_value double")
+    for r in fill_features(df).collect():
+        assert all(v is not None and not math.isnan(v) for v in r)
+
+
+def test_rand_is_an_option_of_the_fills(spark):
+    from delayrisk.operators import impute
+    df = spark.createDataFrame([(k, None, None) for k in range(50)], f"{ID} long, total_weight double, item_description string")
+    a = impute.fill_uniform(df, "total_weight", seed=42).coalesce(1)
+    assert all(1 <= r.total_weight <= 2 for r in a.collect())
+    words = {r.item_description for r in impute.fill_category(df, "item_description", seed=42).collect()}
+    assert words == set(impute.DESCRIPTION_CHOICES)
+
+
 def test_conform_adds_typed_nulls(spark):
     df = spark.createDataFrame([(1, 0.3)], f"{ID} long, risk_factor double")
     out = mart.conform(df)

@@ -69,12 +69,43 @@ def test_save_load_versions(spark, trained, tmp_path):
 
 def test_versions_compare_as_integers(spark, tmp_path):
     root = str(tmp_path / "models2")
-    rows = [("m", v, f"{root}/m/v={v}", None, None, None) for v in (2, 9, 12)]
+    rows = [("m", v, f"{root}/m/v={v}", *[None] * 8) for v in (2, 9, 12)]
     spark.createDataFrame(rows, mdl.RUNS_SCHEMA).write.parquet(f"{root}/model_runs")
     assert mdl.latest_version(spark, "m", root) == 12
     assert mdl.latest_version(spark, "other", root) == 1
 
 
+def test_a_saved_version_is_never_overwritten(spark, tmp_path):
+    """Two jobs that took the same number: the second goes to the next one."""
+    root = str(tmp_path / "models4")
+    model = tr.stump(spark)
+    assert mdl.save_model(spark, model, "m", root=root) == 1
+    model.save(f"{root}/m/v=2")          # saved by another job, its run not recorded yet
+    assert mdl.save_model(spark, model, "m", root=root) == 3
+    runs = spark.read.schema(mdl.RUNS_SCHEMA).parquet(f"{root}/model_runs").orderBy("version").collect()
+    assert [r.version for r in runs] == [1, 3]
+    assert runs[0].classes == ["Delayed", "Not Delayed"] and (runs[0].trees, runs[0].depth) == (1, 1)
+
+
+def test_a_read_error_is_not_an_empty_registry(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "models5")
+    mdl.save_model(spark, tr.stump(spark), "m", root=root)
+    for path in (tmp_path / "models5" / "model_runs").glob("*.parquet"):
+        path.write_bytes(b"damaged")
+    for path in (tmp_path / "models5" / "model_runs").glob(".*.crc"):
+        path.write_bytes(b"")
+    with pytest.raises(Exception):
+        mdl.latest_version(spark, "m", root)
+
+
+def test_stump_scores_as_stated(spark):
+    df = spark.createDataFrame([(1, w, 0.0, 0.0, False, 0.0) for w in (0.0, 50.0, 50.1, 900.0)],
+                               "masterbill_internal_id long, total_weight double, volume_cm3 double, distance_km double,"
+                               " hazardous_material_flag boolean, margin_value double")
+    got = [(r.total_weight, r.delivery_delay, r.risk_factor) for r in mdl.score(df, tr.stump(spark)).collect()]
+    assert got == [(0.0, "Not Delayed", 25.0), (50.0, "Not Delayed", 25.0), (50.1, "Delayed", 80.0), (900.0, "Delayed", 80.0)]
+
+
 def test_train_records_run(spark, tmp_path):
     t = Tables.from_fixture(spark, "/root/testdata/sf0.001")
     root = str(tmp_path / "models3")

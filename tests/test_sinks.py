@@ -13,8 +13,11 @@ def test_overwrite_growing_keeps_old_columns(spark):
     sinks.overwrite_growing(spark.createDataFrame([(2, "b", True)], "id long, x string, new boolean"),
                             "t_grow")
     got = spark.table("t_grow")
-    assert got.columns == ["id", "x", "new", "old"]
-    assert [tuple(r) for r in got.collect()] == [(2, "b", True, None)]
+    assert got.columns == ["id", "x", "old", "new"]
+    assert [tuple(r) for r in got.collect()] == [(2, "b", None, True)]
+    with pytest.raises(ValueError, match="type"):
+        sinks.overwrite_growing(spark.createDataFrame([(1, 2)], "id long, x long"), "t_grow")
+    assert spark.table("t_grow").count() == 1
 
 
 def test_keyed_table_rejects_duplicates_and_null_keys(spark):
@@ -44,8 +47,54 @@ def test_merge_into_table(spark):
                      "t_merge", ["id"])
     got = sorted(tuple(r) for r in spark.table("t_merge").collect())
     assert got == [(1, "a"), (2, "B"), (3, "c")]
-    assert not spark.catalog.tableExists("t_merge__staging")
-    assert not spark.catalog.tableExists("t_merge__old")
+    left = [t.name for t in spark.catalog.listTables() if t.name.startswith("t_merge__")]
+    assert left == []
+
+
+def test_merge_refuses_what_breaks_the_key(spark):
+    spark.sql("DROP TABLE IF EXISTS t_key")
+    sinks.merge_into(spark.createDataFrame([(1, "a")], "id long, v string"), "t_key", ["id"])
+    for bad in ([(1, "x"), (1, "y")], [(None, "n")]):
+        with pytest.raises(ValueError):
+            sinks.merge_into(spark.createDataFrame(bad, "id long, v string"), "t_key", ["id"])
+    assert [tuple(r) for r in spark.table("t_key").collect()] == [(1, "a")]
+
+
+class _Stops(Exception):
+    pass
+
+
+@pytest.mark.parametrize("after", range(5))
+def test_a_swap_that_stops_loses_nothing(spark, monkeypatch, after):
+    """Stop before each statement of the swap; the next merge finds the old or the new rows whole."""
+    name = f"t_stop{after}"
+    sinks.merge_into(spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string"), name, ["id"])
+    real, done = type(spark).sql, []
+
+    def sql(self, text, *args, **kw):
+        if text.startswith(("ALTER", "DROP")):
+            if len(done) == after:
+                raise _Stops(text)
+            done.append(text)
+        return real(self, text, *args, **kw)
+    monkeypatch.setattr(type(spark), "sql", sql)
+    try:
+        sinks.merge_into(spark.createDataFrame([(2, "B"), (3, "c")], "id long, v string"), name, ["id"])
+    except _Stops:
+        pass
+    monkeypatch.setattr(type(spark), "sql", real)
+    sinks.merge_into(spark.createDataFrame([(4, "d")], "id long, v string"), name, ["id"])
+    got = {tuple(r) for r in spark.table(name).collect()}
+    assert got in ({(1, "a"), (2, "b"), (4, "d")}, {(1, "a"), (2, "B"), (3, "c"), (4, "d")})
+    assert not [t.name for t in spark.catalog.listTables() if t.name in (f"{name}__old", f"{name}__ready")]
+
+
+def test_a_write_that_fails_keeps_the_old_table(spark):
+    spark.sql("DROP TABLE IF EXISTS t_fail")
+    sinks.overwrite(spark.range(3), "t_fail")
+    with pytest.raises(Exception):
+        sinks.overwrite(spark.range(3).select(F.raise_error(F.lit("stop")).cast("long").alias("id")), "t_fail")
+    assert spark.table("t_fail").count() == 3
 
 
 def test_upsert_into_bucketed_table_shuffles_only_new_keys(spark):
