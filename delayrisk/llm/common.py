@@ -1,35 +1,27 @@
-"""Helpers shared by the operators: staged tables, ranks, column handling."""
+"""Helpers shared by the operators: shipping modules, column handling; staging comes from the library."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..staging import fresh, global_rank, scratch, stage, width
+
+__all__ = ["WORD", "arrow_map", "fresh", "global_rank", "plain_keys", "scratch", "ship", "stage", "table",
+           "text_or_empty", "width"]
 
 #: Words of a text: maximal runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-GAP = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder that ``spark.checkpoint.dir`` names.
-
-    Written tables there outlive lost executors; the folder's owner clears it,
-    as with checkpoint files.
-    """
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def ship(spark: SparkSession) -> None:
     """Give executors this package's modules (once per context), so that tasks
     import them and keep what they cache for as long as their worker lives."""
@@ -55,25 +47,6 @@ def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
-
-    Unlike ``checkpoint()``, which computes its input twice, one job writes
-    the rows; later reads prune columns and never recompute the input.
-    """
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def fresh(df: DataFrame, base: str) -> str:
-    """A column name that ``df`` does not have yet."""
-    name, taken = base, {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
 def plain_keys(df: DataFrame, cols: list[str], names: list[str]) -> DataFrame:
     """Add two columns per column of ``cols`` (its null flag, and its value with nulls filled) so
     that plain equality joins rows null-safely and keeps the partitioning; ``names`` has the new names."""
@@ -83,36 +56,5 @@ def plain_keys(df: DataFrame, cols: list[str], names: list[str]) -> DataFrame:
     return df
 
 
-def width(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def global_rank(df: DataFrame, order: list[Column], rank: str = "rank") -> DataFrame:
-    """Add the 0-based position of each row in the order of ``order``.
-
-    No window over all rows: rows are dealt by range and sorted, the sorted
-    parts are staged with their position inside the part, and only one row
-    per part (its size) is summed up to give each part its offset.  ``order``
-    should name a unique row or tie only rows that are alike.
-    """
-    part, at = fresh(df, "part"), fresh(df, "at")
-    ranged = df.repartitionByRange(width(df), *order).sortWithinPartitions(*order)
-    # monotonically_increasing_id is the part's number in the high 31 bits and
-    # the position in the part in the low 33.
-    rows = stage(ranged.withColumn(at, F.monotonically_increasing_id())
-                 .withColumn(part, F.shiftright(at, 33).cast("int"))
-                 .withColumn(at, F.col(at).bitwiseAND((1 << 33) - 1)), "ranked")
-    sizes = {r[0]: r[1] for r in rows.groupBy(part).count().collect()}  # a row per part
-    offset, total = {}, 0
-    for p in sorted(sizes):
-        offset[p], total = total, total + sizes[p]
-    if not offset:
-        return rows.withColumn(rank, F.col(at)).drop(part, at)
-    starts = df.sparkSession.createDataFrame(list(offset.items()), f"{part} int, offset long")
-    # One row per shuffle partition, so the broadcast side is bounded by that setting.
-    return (rows.join(F.broadcast(starts), part)
-            .withColumn(rank, F.col(at) + F.col("offset")).drop(part, at, "offset"))
-
-
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

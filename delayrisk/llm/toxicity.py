@@ -133,7 +133,7 @@ def kneser_ney(c: Counts, discount: float, pair_discount: float, toxic_share: fl
     return Model(c.vocab, p, np.maximum(back, 1e-6), c.pair, pair_p)
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-3) -> tuple[float, ...]:
+def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1.0) -> tuple[float, ...]:
     """Logistic regression of y on the columns of x by Newton steps."""
     scale = np.maximum(np.abs(x).mean(0), 1e-9)
     z = np.column_stack([np.ones(len(x)), x / scale])
