@@ -6,9 +6,10 @@ the documents in ascending order.  ORC's writer encodes the ids as run-length
 integers, keeps a row index per ``ROWS_PER_INDEX`` rows and a Bloom filter on the id;
 readers split files by stripe and skip stripes and row groups by that metadata.
 
-The vocabulary's library encodes.  As its merges never cross the words its
-splitter makes, each word is encoded once per worker and kept in a cache of fixed
-size; texts that hold an added token go through the library whole.
+The vocabulary's library encodes.  Its splitter starts a new word at a blank that
+follows another character than a blank, and its merges never cross words, so each piece
+between blanks is encoded once per worker and kept in a cache of fixed size;
+texts with two blanks in a row or an added token go through the library whole.
 
 Defined cases: a null or empty text has the end id alone; null ids come first;
 equal ids are ordered by text hash, repeated rows are rows of their own; an
@@ -17,6 +18,7 @@ empty table gives an empty folder that reads back as no rows.
 
 from __future__ import annotations
 
+import os
 import zlib
 from functools import lru_cache
 
@@ -26,50 +28,75 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .bpe import FULL, ODD, PLAIN
 from .common import arrow_map, scratch, stage, width
 
-WORDS = 500_000        # words a worker keeps
-LONG = 256             # characters beyond which a word is not kept
+PIECES = 1_200_000       # pieces a worker keeps
+LONG = 256             # characters beyond which a piece is not kept
 ROWS_PER_INDEX = 1000
 STRIPE_BYTES = 16 << 20
 
 
-class WordEncoder:
-    """The library's tokenizer with a cache of its words."""
+class PieceEncoder:
+    """The library's tokenizer with a cache of the pieces between blanks."""
 
     def __init__(self, path: str):
+        # Spark's tasks are the parallelism; the library's own threads would only wait for cores.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        vocabulary = self.library.get_vocab()
+        self.size = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.size[i] = len(token)         # byte-level vocabularies write a byte as one letter
         self.kept: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _spaced(self, pieces: list[str]) -> list[bytes]:
+        """Ids of " " + piece for each, from one text: where a piece ends is told by its bytes."""
+        out: list[bytes] = []
+        for k in range(0, len(pieces), 4096):
+            part = pieces[k:k + 4096]
+            text = " " + " ".join(part)
+            if "  " in text or text[-1].isspace():     # an empty or blank-ended piece can't be told apart
+                out += self._library([" " + p for p in part])
+                continue
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(p.encode()) + 1 for p in part])) + 1
+            data = ids.tobytes()
+            out += [data[4 * a:4 * z] for a, z in zip([0, *ends.tolist()], ends.tolist())]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [None if any(a in t for a in self.added) else (FULL if ODD.search(t) else PLAIN).findall(t) for t in texts]
-        if len(self.kept) > WORDS:
+        if len(self.kept) > PIECES:
             self.kept.clear()
-        kept, new = self.kept, set()
-        for words in split:
-            if words:
-                new.update(words)
-        new.difference_update(kept)
-        new = list(new)
-        ids = dict(zip(new, self._library(new)))
-        long = {w: ids.pop(w) for w in new if len(w) > LONG}
-        kept.update(ids)
-        get = kept.__getitem__ if not long else lambda w: long[w] if len(w) > LONG else kept[w]
-        return [self._library([t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, split)]
+        firsts, rests, gaps, new = [], [], [], {}
+        for t in texts:
+            pieces = [t] if "  " in t or any(a in t for a in self.added) else t.split(" ")
+            firsts.append(pieces[0])
+            ids = list(map(self.kept.get, pieces[1:]))
+            if None in ids:
+                missing = [(k, p) for k, (p, x) in enumerate(zip(pieces[1:], ids)) if x is None]
+                new.update((p, None) for _, p in missing)
+                gaps.append((ids, missing))
+            rests.append(ids)
+        found = dict(zip(new, self._spaced(list(new))))
+        for ids, missing in gaps:
+            for k, p in missing:
+                ids[k] = found[p]
+        self.kept.update((p, x) for p, x in found.items() if len(p) <= LONG)
+        # First pieces have no blank before them, and some texts can't be cut.
+        return [first + b"".join(ids) for first, ids in zip(self._library(firsts), rests)]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
 
 
 def write(docs: DataFrame, folder: str, vocabulary: str, text: str = "text", id_col: str = "doc_id",
