@@ -184,7 +184,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
 
 def _around(text: str, at: list[int], proved: list[bool]):
     """One document's proved stretches (first, end), and the passages around its candidates:
-    their two hashes, first words, and whether the same passage came before in the document."""
+    their two hashes, first words, and where the same passage first stands in the document."""
     h, of, where, right, whole = suffixes(_words(text))
     index = np.searchsorted(where, at)
     # A candidate stands for all suffixes of its document with its hashes.
@@ -196,10 +196,12 @@ def _around(text: str, at: list[int], proved: list[bool]):
     # All documents of a passage must offer it, also those that have proved it by other neighbours.
     start = np.flatnonzero(likely[np.searchsorted(where, of)])
     key, key2 = h.runs(start, LENGTH), h.runs(start, LENGTH - 1) >> np.uint64(33) | np.uint64(1)
-    again = np.ones(len(start), bool)
     if len(start):
-        again[np.unique(key, return_index=True)[1]] = False
-    return first, last + LENGTH, key, key2, start, again
+        _, at_first, which = np.unique(key, return_index=True, return_inverse=True)
+        origin = start[at_first][which]
+    else:
+        origin = start
+    return first, last + LENGTH, key, key2, start, origin
 
 
 def _extend(batches):
@@ -208,15 +210,15 @@ def _extend(batches):
         parts, size = [], 0
 
         def flush():
-            k, a, b, at, end, again = (np.concatenate(x) for x in zip(*parts))
+            k, a, b, at, end, origin = (np.concatenate(x) for x in zip(*parts))
             ints = lambda x: pa.array(x.astype(np.int32))
-            return pa.RecordBatch.from_arrays([_long(a), ints(b), batch.column("d").take(pa.array(k)), ints(at), ints(end), pa.array(again)],
-                                              names=["a", "b", "d", "at", "end", "again"])
+            return pa.RecordBatch.from_arrays([_long(a), ints(b), batch.column("d").take(pa.array(k)), ints(at), ints(end), ints(origin)],
+                                              names=["a", "b", "d", "at", "end", "origin"])
         for k, (t, at, proved) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("t", "at", "proved")))):
-            first, end, key, key2, start, again = _around(t, at, proved)
+            first, end, key, key2, start, origin = _around(t, at, proved)
             none = np.zeros(len(first), np.uint64)
             parts.append((np.full(len(first) + len(start), k), np.concatenate((none, key)), np.concatenate((none, key2)),
-                          np.concatenate((first, start)), np.concatenate((end, start + LENGTH)), np.concatenate((none != 0, again))))
+                          np.concatenate((first, start)), np.concatenate((end, start + LENGTH)), np.concatenate((first, origin))))
             size += len(first) + len(start)
             if size > 100_000:
                 yield flush()
@@ -236,11 +238,12 @@ def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Data
     near = neighbours(array).groupBy("d").agg(F.collect_list(F.struct("at", "alike")).alias("c"))
     texts = base.select("d", "t").join(near, "d").select("d", "t", F.col("c.at").alias("at"), F.col("c.alike").alias("proved"))
     around = stage(arrow_map(texts, _extend, StructType(
-        [long("a"), ints("b"), long("d"), ints("at"), ints("end"), StructField("again", BooleanType())])), "passages")
-    found = neighbours(around.filter("b <> 0 AND NOT again").select("a", "b", "d", "at")).filter("alike")
-    found = stage(found.select("a", "d", "at"), "repeated")
+        [long("a"), ints("b"), long("d"), ints("at"), ints("end"), ints("origin")])), "passages")
+    found = neighbours(around.filter("b <> 0 AND origin = at").select("a", "b", "d", "at")).filter("alike")
+    found = stage(found.select("d", "at"), "repeated")
     # A passage that comes again inside its document is repeated where its first one is.
-    more = around.filter("b <> 0 AND again").select("a", "d", "at").join(found.select("a", "d").distinct(), ["a", "d"], "left_semi")
+    more = (around.filter("b <> 0 AND origin <> at").select("d", F.col("at").alias("later"), F.col("origin").alias("at"))
+            .join(found, ["d", "at"], "left_semi").select("d", F.col("later").alias("at")))
     spans = (around.filter("b = 0").select("d", "at", "end")
              .unionByName(found.unionByName(more).select("d", "at", (F.col("at") + LENGTH).alias("end"))))
     by_doc = Window.partitionBy("d").orderBy("at", "end")
