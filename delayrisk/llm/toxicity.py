@@ -17,7 +17,7 @@ sample reach the driver; scoring is one map over the documents, without any
 shuffle.
 
 Defined cases: a null or empty text, or one without any word, has ratio zero
-and gets the curve's value there; a null id is scored like any other; labels
+and gets the curve's value there; a curve without slope gives every text the share of toxic labels; a null id is scored like any other; labels
 that are null or not 0/1 are left out; without labels of both classes every
 score is the share of toxic labels (0.0 without any label).  Repeated rows are
 scored each.  An id labelled twice counts under its largest label.
@@ -133,19 +133,37 @@ def kneser_ney(c: Counts, discount: float, pair_discount: float, toxic_share: fl
     return Model(c.vocab, p, np.maximum(back, 1e-6), c.pair, pair_p)
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1.0) -> tuple[float, ...]:
-    """Logistic regression of y on the columns of x by Newton steps."""
-    scale = np.maximum(np.abs(x).mean(0), 1e-9)
-    z = np.column_stack([np.ones(len(x)), x / scale])
+def _logistic(z: np.ndarray, y: np.ndarray, ridge: float, steps: int = 50) -> np.ndarray:
     b = np.zeros(z.shape[1])
+    hold = np.append(1e-6, np.full(len(b) - 1, ridge))      # the constant is free
     for _ in range(steps):
         q = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        h = z.T @ (z * (q * (1 - q) + 1e-9)[:, None]) + ridge * np.eye(len(b))
-        step = np.linalg.solve(h, z.T @ (y - q) - ridge * b)
+        h = z.T @ (z * (q * (1 - q) + 1e-9)[:, None]) + np.diag(hold)
+        step = np.linalg.solve(h, z.T @ (y - q) - hold * b)
         b += step
         if np.abs(step).max() < 1e-8:
             break
-    return tuple(float(t) for t in b / np.append(1.0, scale))
+    return b
+
+
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
+    """Logistic regression of y on the columns of x, with slopes of zero or more.
+
+    A likelier toxic text never scores lower, also where few rows would say so by
+    chance; without any slope left, every score is about the share of label 1.
+    """
+    scale = np.maximum(np.abs(x).mean(0), 1e-9)
+    used = list(range(x.shape[1]))
+    while True:
+        b = _logistic(np.column_stack([np.ones(len(x)), (x / scale)[:, used]]), y, ridge)
+        kept = [k for k, slope in zip(used, b[1:]) if slope >= 0]
+        if kept == used:
+            break
+        used = kept
+    out = np.zeros(x.shape[1] + 1)
+    out[0] = b[0]
+    out[[k + 1 for k in used]] = b[1:] / scale[used]
+    return tuple(float(t) for t in out)
 
 
 def _triples(batches):
@@ -228,6 +246,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
         model.constant = shares[1] / (shares[0] + shares[1])
     else:
         model.curve = fit_curve(seen[["a", "b"]].to_numpy(), seen["y"].to_numpy(np.float64))
+        if not any(model.curve[1:]):
+            model.constant = shares[1] / (shares[0] + shares[1])
     return model
 
 

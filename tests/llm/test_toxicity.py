@@ -70,6 +70,16 @@ def test_odd_rows(spark, odd):
     assert len({r["_score"] for r in rows if not (r.text or "").strip()}) == 1
 
 
+def test_the_curve_never_falls():
+    """Few rows that say the opposite by chance leave the share of label 1, not a falling curve."""
+    x = np.array([[0.5, 0.1], [0.4, -0.2], [-0.3, 0.1], [-0.5, -0.1], [-0.4, 0.0]])
+    y = np.array([0.0, 0, 1, 1, 0])
+    curve = T.fit_curve(x, y)
+    assert curve[1] == 0 and curve[2] >= 0
+    up = T.fit_curve(x, 1 - y)
+    assert up[1] > 0
+
+
 def test_labels_missing(spark, empty):
     docs, labels = corpus(spark, 40)
     none = T.fit(docs, labels.filter("false"))
