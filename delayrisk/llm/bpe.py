@@ -82,7 +82,8 @@ def lookahead(merges: list[tuple[bytes, bytes]]) -> int:
 @dataclass
 class Vocabulary:
     ids: dict[bytes, int]
-    rank: dict[tuple[int, int], tuple[int, int]]   # pair of ids -> (rank, merged id)
+    rank: dict[tuple[int, int], int]   # pair of ids -> rank
+    merged: list[int]                  # id that the merge of a rank makes
     added: list[tuple[str, int]]
     ahead: int
 
@@ -96,25 +97,21 @@ class Vocabulary:
 
     def merge(self, ids: list[int]) -> list[int]:
         """Apply the merges to a sequence of ids, lowest rank first, leftmost first."""
-        rank = self.rank
-        while len(ids) > 1:
-            best, found = None, None
-            for pair in zip(ids, ids[1:]):
-                r = rank.get(pair)
-                if r is not None and (best is None or r[0] < best[0]):
-                    best, found = r, pair
-            if best is None:
-                return ids
-            a, b = found
-            out, k, n = [], 0, len(ids)
-            while k < n:
-                if k + 1 < n and ids[k] == a and ids[k + 1] == b:
-                    out.append(best[1])
-                    k += 2
-                else:
-                    out.append(ids[k])
-                    k += 1
-            ids = out
+        rank, none = self.rank.get, len(self.merged)
+        ids = list(ids)
+        ranks = [rank(pair, none) for pair in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
+                break
+            k = ranks.index(best)
+            ids[k:k + 2] = (self.merged[best],)
+            del ranks[k]
+            # Only the neighbours of the new token have other pairs than before.
+            if k < len(ranks):
+                ranks[k] = rank((ids[k], ids[k + 1]), none)
+            if k:
+                ranks[k - 1] = rank((ids[k - 1], ids[k]), none)
         return ids
 
     def long_word(self, data: bytes) -> Iterator[int]:
@@ -211,10 +208,10 @@ def load(path: str) -> Vocabulary:
     ids = {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in names}
     pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
     merges = [(raw(a), raw(b)) for a, b in pairs]
-    rank: dict[tuple[int, int], tuple[int, int]] = {}
+    rank: dict[tuple[int, int], int] = {}
     for r, (a, b) in enumerate(merges):
-        rank.setdefault((ids[a], ids[b]), (r, ids[a + b]))
-    return Vocabulary(ids, rank, added, lookahead(merges))
+        rank.setdefault((ids[a], ids[b]), r)
+    return Vocabulary(ids, rank, [ids[a + b] for a, b in merges], added, lookahead(merges))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
