@@ -6,10 +6,10 @@ the documents in ascending order.  ORC's writer encodes the ids as run-length
 integers, keeps a row index per ``ROWS_PER_INDEX`` rows and a Bloom filter on the id;
 readers split files by stripe and skip stripes and row groups by that metadata.
 
-The vocabulary's library encodes.  Its splitter starts a new word at a blank that
-follows another character than a blank, and its merges never cross words, so each piece
-between blanks is encoded once per worker and kept in a cache of fixed size;
-texts with two blanks in a row or an added token go through the library whole.
+The vocabulary's library encodes.  Its splitter starts a new word at a blank that has
+other characters than white space on both sides, and its merges never cross words, so each
+piece between such blanks is encoded once per worker and kept in a cache of fixed size.  A
+run of white space is never cut; texts with an added token go through the library whole.
 
 Defined cases: a null or empty text has the end id alone; null ids come first;
 equal ids are ordered by text hash, repeated rows are rows of their own; an
@@ -19,6 +19,7 @@ empty table gives an empty folder that reads back as no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import lru_cache
 
@@ -34,6 +35,17 @@ PIECES = 1_200_000       # pieces a worker keeps
 LONG = 256             # characters beyond which a piece is not kept
 ROWS_PER_INDEX = 1000
 STRIPE_BYTES = 16 << 20
+CUT = re.compile(r"(?<=\S) (?=\S)")
+#: All that Python calls white space (the splitter calls nothing else so).
+SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def cut(text: str) -> list[str]:
+    """The pieces of a text between blanks without white space beside them."""
+    if text[:1] != " " and text[-1:] != " " and not any(
+            s in text and (" " + s in text or s + " " in text) for s in SPACES):
+        return text.split(" ")
+    return CUT.split(text)
 
 
 class PieceEncoder:
@@ -62,7 +74,7 @@ class PieceEncoder:
         for k in range(0, len(pieces), 4096):
             part = pieces[k:k + 4096]
             text = " " + " ".join(part)
-            if "  " in text or text[-1].isspace():     # an empty or blank-ended piece can't be told apart
+            if any(a in text for a in self.added):     # only pieces put together make one
                 out += self._library([" " + p for p in part])
                 continue
             ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -77,7 +89,7 @@ class PieceEncoder:
             self.kept.clear()
         firsts, rests, gaps, new = [], [], [], {}
         for t in texts:
-            pieces = [t] if "  " in t or any(a in t for a in self.added) else t.split(" ")
+            pieces = [t] if any(a in t for a in self.added) else cut(t)
             firsts.append(pieces[0])
             ids = list(map(self.kept.get, pieces[1:]))
             if None in ids:

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -68,5 +69,29 @@ def test_added_tokens_and_a_full_cache(monkeypatch):
         assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_runs_of_mixed_white_space():
+    """A run of white space is never cut: some merges cross the blanks inside it."""
+    e, t = T.PieceEncoder(PATH), Tokenizer.from_file(PATH)
+    rng = random.Random(5)
+    spaces = [" ", " ", " \u00a0", "\u00a0", "\u3000", "\t", "\n", "\r\n", "\x85", "\x1c", "\u2009"]
+    texts = ["x \u00a0 \u00a0 y", "x" + " \u00a0" * 4 + " y", "x \u3000 \u3000 y", "x \t \t y", "x \n \n y", "x\n \n z ", " \u00a0 \u00a0"]
+    texts += ["".join(rng.choice(["a", "1", "'s", "!", "é"]) + "".join(rng.choices(spaces, k=rng.randrange(1, 9)))
+                      for _ in range(rng.randrange(1, 12))) for _ in range(600)]
+    want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [87, 11504, 331] and 22686 in want[1]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == want
+    assert [np.frombuffer(e.encode([x])[0], "<u4").tolist() for x in texts] == want
+
+
+def test_white_space_is_what_the_splitter_calls_so():
+    """After "a " it starts a word of its own; at such a character no blank is cut."""
+    splitter = Tokenizer.from_file(PATH).pre_tokenizer
+    for c in (chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000):
+        if c.isspace():
+            assert c in T.SPACES
+        elif not c.isalnum():
+            assert splitter.pre_tokenize_str("a " + c)[1][0] != "\u0120", hex(ord(c))
+
+
 def test_empty(spark, empty):
     assert T.written(empty, PATH).count() == 0
