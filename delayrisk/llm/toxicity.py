@@ -9,12 +9,14 @@ is rare in a class says no more about it than the shared counts do.  A text's ev
 log-likelihood ratio (per word, and per square root of words); a logistic
 curve fitted on labelled rows that gave no counts turns it into a score.
 
-What is bounded and what is not: the models are fitted on at most
-``max_rows`` labelled rows of each class (smallest seeded hash of the id
-first), and the curve on at most ``max_rows`` more; both are parameters.
-Every text of the input is scored whole.  Only word counts of that bounded
-sample reach the driver; scoring is one map over the documents, without any
-shuffle.
+What is bounded and what is not: every labelled row gives counts, except a
+quarter of the ids that is kept for the curve, which is fitted on at most
+``max_rows`` of those (smallest seeded hash of the id first).  N-grams are
+counted in Spark on 64-bit hashes of the words; a fixed bitmap of the labelled
+ids keeps other texts out of the shuffle.  To the driver come only words and
+pairs above the discount in a class: all others have the same probability in
+both classes.  Every text of the input is scored whole, in one map over the
+documents, without any shuffle.
 
 Defined cases: a null or empty text, or one without any word, has ratio zero
 and gets the curve's value there; a curve without slope gives every text the share of toxic labels; a null id is scored like any other; labels
@@ -25,11 +27,13 @@ scored each.  An id labelled twice counts under its largest label.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +43,7 @@ from .common import arrow_map, fresh
 
 WORDS = re.compile(r"[^\W_]+")
 BLOCK = 1 << 16  # words of a text that are scored at once
+BITS = 1 << 26   # of the bitmap of labelled ids; more ids only let more texts through to the join
 
 
 def words(text: str | None) -> list[str]:
@@ -47,9 +52,9 @@ def words(text: str | None) -> list[str]:
 
 @dataclass
 class Counts:
-    """Pooled and per-class n-gram counts of the labelled sample."""
+    """Per-class n-gram counts of the labelled texts."""
 
-    vocab: list[str]                 # words with more than one left neighbour
+    vocab: list[str]                 # words above the discount in a class, or in a pair that is
     uni: np.ndarray                  # (2, V) distinct left neighbours, per class
     rest: np.ndarray                 # (2,) the same of all other words together
     hist: np.ndarray                 # (2, V) sum of the counts of pairs that begin with the word
@@ -59,7 +64,7 @@ class Counts:
 
 @dataclass
 class Model:
-    """Log-ratio tables, small enough to broadcast (bounded by the sample)."""
+    """Log-ratio tables of words and pairs above the discounts, small enough to broadcast."""
 
     vocab: list[str]
     p: np.ndarray                    # (2, V + 1) unigram level, last: any other word
@@ -115,20 +120,24 @@ def kneser_ney(c: Counts, discount: float, pair_discount: float, toxic_share: fl
 
     The shared level weighs the classes by ``toxic_share``, as they occur in a
     corpus at large.  Both classes give it the same mass, so a word that
-    neither knows beyond its discount has ratio 1.
+    neither knows beyond its discount has ratio 1.  The discounts are those of the
+    smaller class; the larger one's grow with its counts, so that the same share of
+    a class is discounted away in both, however many labels each has.
     """
     v = len(c.vocab)
     weigh = np.array([toxic_share, 1 - toxic_share])
     shared = np.append(weigh @ c.uni, weigh @ c.rest)
     shared /= shared.sum()
-    own = np.maximum(c.uni - discount, 0) / (c.uni.sum(1) + c.rest)[:, None]
+    size = c.uni.sum(1) + c.rest
+    larger = size / size.min()
+    own = np.maximum(c.uni - discount * larger[:, None], 0) / size[:, None]
     known = np.maximum(own.sum(1), 1e-12)
     freed = min(1 - known.min(), 1 - 1e-6)
     p = np.column_stack([own * ((1 - freed) / known)[:, None], np.zeros(2)]) + freed * shared
     back, pair_p, left = np.ones((2, v + 1)), np.zeros((2, len(c.pair))), c.pair // (v + 1)
     for k in (0, 1):
         total = np.append(c.hist[k], 0)
-        pair_p[k] = np.maximum(c.pair_n[k] - pair_discount, 0) / np.maximum(total[left], 1)
+        pair_p[k] = np.maximum(c.pair_n[k] - pair_discount * larger[k], 0) / np.maximum(total[left], 1)
         back[k] -= np.bincount(left, pair_p[k], v + 1)
     return Model(c.vocab, p, np.maximum(back, 1e-6), c.pair, pair_p)
 
@@ -166,54 +175,114 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
     return tuple(float(t) for t in out)
 
 
+def _hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _triples(batches):
-    """Per batch: the distinct (class, word before, left, word); '' stands before a text's first word."""
+    """Per part of a batch: the distinct (left, word, word before and class); '' stands before a text's first word."""
     for batch in batches:
-        got: set = set()
-        for y, t in zip(batch.column("y").to_pylist(), batch.column("t").to_pylist()):
-            ws = words(t)
-            got.update((y, *k) for k in zip(["", ""] + ws, [""] + ws, ws))
-        if got:
-            y, u, a, b = zip(*got)
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(u), pa.array(a), pa.array(b)],
-                                             names=["y", "u", "a", "b"])
-
-
-def count(sample: DataFrame, pair_discount: float) -> Counts:
-    """Count n-grams of the bounded ``sample`` (columns y, t) in Spark; what comes back
-    are counts of words and of pairs seen more often than the discount."""
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            index: dict = {"": 0}
+            u, a, b, y = [], [], [], []
+            for label, t in zip(part.column("y").to_pylist(), part.column("t").to_pylist()):
+                ws = [index.setdefault(w, len(index)) for w in words(t)]
+                u += ([0, 0] + ws)[:len(ws)]
+                a += ([0] + ws)[:len(ws)]
+                b += ws
+                y += [label] * len(ws)
+            if not b:
+                continue
+            got = pd.DataFrame({"a": a, "b": b, "u": np.array(u, np.int64) * 2 + np.array(y, np.int64)}).drop_duplicates()
+            h = np.array([_hash(w) for w in index], np.int64)
+            before = got["u"].to_numpy()
+            # 47 bits tell the words before one pair apart.
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[got["a"].to_numpy()]), pa.array(h[got["b"].to_numpy()]),
+                 pa.array(((h[before >> 1] & ((1 << 47) - 1)) << 1) | (before & 1))], names=["a", "b", "u"])
+
+
+def _spelled(texts: DataFrame, hashes: np.ndarray) -> dict[int, str]:
+    """The words of ``texts`` (column t) whose hash is in ``hashes``, by hash."""
+    wanted = texts.sparkSession.sparkContext.broadcast(set(hashes.tolist()))
+
+    def apply(batches):
+        seen: set = set()
+        for batch in batches:
+            for t in batch.column("t").to_pylist():
+                seen.update(words(t))
+            if len(seen) > 1 << 17:
+                yield spell(seen)
+                seen = set()
+        yield spell(seen)
+
+    def spell(seen):
+        found = [(h, w) for w in seen if (h := _hash(w)) in wanted.value]
+        return pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([w for _, w in found], pa.string())],
+                                          names=["h", "w"])
+    return dict(arrow_map(texts, apply, "h long, w string").distinct().toPandas().itertuples(index=False, name=None))
+
+
+def count(sample: DataFrame, discount: float, pair_discount: float, texts: DataFrame | None = None) -> Counts:
+    """Count n-grams of the whole ``sample`` (columns y, t) in Spark; what comes back are counts of words
+    and pairs above the discounts.  ``texts`` (column t) holds the sample's texts, maybe among others."""
     has = lambda c: F.sum(c.cast("long"))
-    pairs = (arrow_map(sample, _triples, "y int, u string, a string, b string").distinct()
-             .groupBy("a", "b").agg(has(F.col("y") == 1).alias("t"), has(F.col("y") == 0).alias("o")).cache())
-    by_word = pairs.groupBy("b").agg(has(F.col("t") > 0).alias("t"), has(F.col("o") > 0).alias("o"),
-                                     F.count("*").alias("all"))
-    rest = by_word.agg(*[F.coalesce(F.sum(F.when(F.col("all") < 2, F.col(c))), F.lit(0)) for c in ("t", "o")]).first()
-    uni = by_word.filter(F.col("all") > 1).orderBy("b").toPandas()
-    vocab = uni["b"].tolist()
-    index = {w: i for i, w in enumerate(vocab)}
-    v = len(vocab)
-    hist = np.zeros((2, v), np.int64)
-    for a, t, o in pairs.groupBy("a").agg(F.sum("t"), F.sum("o")).toPandas().itertuples(index=False):
-        if a in index:
-            hist[:, index[a]] = t, o
+    toxic = F.col("u").bitwiseAND(F.lit(1).cast("long")) == 1
+    # One exchange: what is dealt by pair needs no other to drop repeats and to count by pair.
+    pairs = (arrow_map(sample, _triples, "a long, b long, u long").repartition("a", "b").distinct()
+             .groupBy("a", "b").agg(has(toxic).alias("t"), has(~toxic).alias("o")).cache())
+    total = np.array(pairs.agg(*[F.coalesce(has(F.col(c) > 0), F.lit(0)) for c in ("t", "o")]).first(), np.float64)
     kept = pairs.filter((F.col("t") > pair_discount) | (F.col("o") > pair_discount)).toPandas()
+    listed = lambda h: F.broadcast(pairs.sparkSession.createDataFrame(
+        pd.DataFrame({"k": np.unique(h)}).astype("int64"), "k long"))
+    uni = (pairs.groupBy("b").agg(has(F.col("t") > 0).alias("t"), has(F.col("o") > 0).alias("o"))
+           .join(listed(kept[["a", "b"]].to_numpy(np.int64)).withColumn("paired", F.lit(True)), F.col("b") == F.col("k"), "left")
+           .filter((F.col("t") > discount) | (F.col("o") > discount) | F.col("paired")).select("b", "t", "o").toPandas())
+    sums = (pairs.join(listed(kept["a"].to_numpy(np.int64)), F.col("a") == F.col("k"), "left_semi")
+            .groupBy("a").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).toPandas())
     pairs.unpersist()
-    kept = kept[kept["a"].isin(index) & kept["b"].isin(index)]
+    spelled = _spelled(sample.select("t") if texts is None else texts, uni["b"].to_numpy(np.int64))
+    uni["w"] = uni["b"].map(spelled)
+    uni = uni.sort_values("w", ignore_index=True)
+    index = dict(zip(uni["b"].tolist(), range(len(uni))))
+    v = len(uni)
+    hist = np.zeros((2, v), np.int64)
+    kept = kept[kept["a"].isin(index) & kept["b"].isin(index)]       # '' is no word
+    sums = sums[sums["a"].isin(index)]
+    hist[:, sums["a"].map(index).to_numpy(np.int64)] = sums[["t", "o"]].to_numpy(np.int64).T
     key = kept["a"].map(index).to_numpy(np.int64) * (v + 1) + kept["b"].map(index).to_numpy(np.int64)
     order = np.argsort(key)
-    return Counts(vocab, uni[["t", "o"]].to_numpy(np.float64).T.reshape(2, v),
-                  np.maximum(np.array(rest, np.float64), 1.0), hist,
+    own = uni[["t", "o"]].to_numpy(np.float64).T.reshape(2, v)
+    return Counts(uni["w"].tolist(), own, np.maximum(total - own.sum(1), 1.0), hist,
                   key[order], kept[["t", "o"]].to_numpy(np.int64)[order].T.reshape(2, len(key)))
 
 
+def _labelled(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows (i, t) of ``docs`` whose id may be in ``rows`` (i), by a bitmap of hashed ids."""
+    place = F.pmod(F.xxhash64("i"), F.lit(BITS))
+    found = (rows.select(F.shiftright(place, 6).alias("at"), F.expr("shiftleft(1L, cast(pmod(xxhash64(i), 64) as int))").alias("bit"))
+             .groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas())
+    table = np.zeros(BITS // 64, np.int64)
+    table[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    bits = docs.sparkSession.sparkContext.broadcast(table)
+
+    def apply(batches):
+        for b in batches:
+            at = b.column("at").to_numpy()
+            hit = (bits.value[at >> 6] >> (at & 63)) & 1 == 1
+            yield b.filter(pa.array(hit)).select(["i", "t"])
+    asked = docs.select("i", "t", place.alias("at")).filter(F.col("i").isNotNull())
+    return arrow_map(asked, apply, StructType([docs.schema["i"], docs.schema["t"]]))
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic",
         train: Column | None = None, max_rows: int = 3000, seed: int = 11,
         discount: float = 4.0, pair_discount: float = 8.0, toxic_share: float = 0.02) -> Model:
     """Fit on labelled rows for which ``train`` (a condition on ``labels``) holds.
 
-    At most ``max_rows`` rows of each class give counts and at most
-    ``max_rows`` others fit the curve; ids are drawn by a seeded hash, so
-    reruns agree.
+    Three quarters of the ids give counts, all of them; at most ``max_rows``
+    others fit the curve.  Ids are drawn by a seeded hash, so reruns agree.
     """
     rows = labels.filter(train) if train is not None else labels
     rows = (rows.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull())
@@ -225,13 +294,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
                      constant=float(next(iter(shares), 0)))
     # A quarter of the ids, by hash, is for the curve and gives no counts.
     curve = F.pmod("h", F.lit(4)) == 0
-    draw = lambda cond: rows.filter(cond).orderBy("h", "i").limit(max_rows)
-    picked = (draw(~curve & (F.col("y") == 1)).unionByName(draw(~curve & (F.col("y") == 0)))
-              .withColumn("part", F.lit(0)).unionByName(draw(curve).withColumn("part", F.lit(1))))
-    # At most 3 * max_rows ids: bounded, so every executor can hold them.
-    sample = (docs.select(F.col(id_col).alias("i"), F.col(text).alias("t"))
-              .join(F.broadcast(picked), "i").select("y", "t", "part").cache())
-    model = kneser_ney(count(sample.filter("part = 0"), pair_discount), discount, pair_discount, toxic_share)
+    texts = docs.select(F.col(id_col).cast(rows.schema["i"].dataType).alias("i"), F.col(text).alias("t"))
+    counted = rows.filter(~curve).select("i", "y")
+    labelled = _labelled(texts, counted)
+    model = kneser_ney(count(labelled.join(counted, "i").select("y", "t"), discount, pair_discount, labelled.select("t")),
+                       discount, pair_discount, toxic_share)
+    # At most max_rows ids: bounded, so every executor can hold them.
+    picked = F.broadcast(rows.filter(curve).orderBy("h", "i").limit(max_rows).select("i", "y"))
     weights = docs.sparkSession.sparkContext.broadcast(model)
 
     def ratios(batches):
@@ -239,8 +308,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
             xs = [features(*weights.value.ratio(t)) for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([x[0] for x in xs], pa.float64()),
                                               pa.array([x[1] for x in xs], pa.float64())], names=["y", "a", "b"])
-    seen = arrow_map(sample.filter("part = 1").select("y", "t"), ratios, "y int, a double, b double").toPandas()
-    sample.unpersist()
+    seen = arrow_map(texts.join(picked, "i").select("y", "t"), ratios, "y int, a double, b double").toPandas()
     seen = seen.sort_values(["y", "a", "b"])
     if seen["y"].nunique() < 2:
         model.constant = shares[1] / (shares[0] + shares[1])

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -31,6 +32,26 @@ def test_held_out_accuracy(spark):
     assert np.mean([(r.score >= 0.3) == (r.toxic == 1) for r in got]) > 0.9
 
 
+def test_every_labelled_row_counts(spark):
+    """max_rows bounds the curve alone; the counts are those of a brute-force pass over all other rows."""
+    docs, labels = corpus(spark)
+    hashed = labels.withColumn("curve", F.expr("pmod(xxhash64(doc_id, 11), 4) = 0"))
+    rows = docs.join(hashed, "doc_id").filter("not curve").collect()
+    triples = {(r.toxic, u, a, b) for r in rows for ws in [T.words(r.text)] for u, a, b in zip(["", ""] + ws, [""] + ws, ws)}
+    pairs = Counter((y, a, b) for y, _, a, b in triples)
+    uni = Counter((y, b) for y, a, b in pairs)
+    kept = {(a, b) for (y, a, b), n in pairs.items() if n > 2}
+    sample = docs.join(labels, "doc_id").join(hashed.filter("not curve"), "doc_id", "left_semi").select(F.col("toxic").alias("y"), F.col("text").alias("t"))
+    c = T.count(sample, 4.0, 2.0)
+    assert c.vocab == sorted({b for (y, b), n in uni.items() if n > 4} | {w for p in kept for w in p})
+    assert c.uni.tolist() == [[uni[y, w] for w in c.vocab] for y in (1, 0)]
+    assert (c.uni.sum(1) + c.rest).tolist() == [max(sum(n for (y, _), n in uni.items() if y == k), c.uni[1 - k].sum() + 1) for k in (1, 0)]
+    at = {w: k for k, w in enumerate(c.vocab)}
+    assert c.pair.tolist() == sorted(at[a] * (len(at) + 1) + at[b] for a, b in kept)
+    few, many = (T.fit(docs, labels, max_rows=m, pair_discount=2.0) for m in (30, 3000))
+    assert few.vocab == many.vocab == c.vocab and np.allclose(few.p, many.p) and np.allclose(few.pair_p, many.pair_p)
+
+
 def test_reruns_agree_and_ids_do_not_matter(spark):
     docs, labels = corpus(spark, 120)
     a, b = T.fit(docs, labels), T.fit(docs.repartition(5), labels.repartition(4))
