@@ -15,7 +15,7 @@ from delayrisk.llm.common import stage, table
 from delayrisk.llm.queries import VOCABULARY, held_out
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-REJECT = 0.5  # toxicity scores from here on are rejected
+REJECT = 0.3  # toxicity scores from here on are rejected, as op7 predicts
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline as C
 from delayrisk.llm import mixing, toxicity
 from delayrisk.llm.common import stage, table
-from delayrisk.llm.queries import held_out
+from delayrisk.llm.queries import held_out, op7_toxicity_kneser_ney
 
 from .test_simhash_ball import brute_components, brute_fingerprint
 
@@ -37,6 +37,17 @@ def test_toxicity_stage(spark, stages):
     assert stages[1].count() >= 0.8 * stages[0].count()
 
 
+def test_planted_toxic_documents_go(spark):
+    """The stage rejects what op7 calls toxic, most held-out documents labelled so among it."""
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents")
+    kept = {r.doc_id for r in C.drop_toxic(spark, docs, sf).select("doc_id").collect()}
+    called = {r.doc_id for r in op7_toxicity_kneser_ney(spark, sf).filter("predicted = 1").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()} - called
+    toxic = {r.doc_id for r in table(spark, sf, "labels").filter(held_out() & (F.col("toxic") == 1)).collect()}
+    assert len(toxic & called) >= 0.5 * len(toxic)
+
+
 def test_dedup_stage(stages):
     texts = {r.doc_id: r.text for r in stages[1].collect()}
     prints = {i: brute_fingerprint(t) for i, t in texts.items()}
