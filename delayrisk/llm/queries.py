@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, mixing, pii, prefix_forest, simhash_ball, suffix_dedup, token_files, toxicity, warc
+from . import (bpe, fingerprints, mixing, pii, prefix_forest, simhash_ball, suffix_dedup, token_files, toxicity,
+               vantage_kmeans, warc)
 from .common import stage, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -70,9 +71,37 @@ def op10_sparse_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
 
 
+def op12_vantage_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = vantage_kmeans.cluster(table(spark, sf_dir, "embeddings"))
+    return vantage_kmeans.with_inertia(stage(found, "clusters"), centroids).select(
+        F.col("i").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES = {f.__name__: f for f in (op1_hash_prefix_forest, op2_warc_history, op3_pii_disclosure, op4_token_orc, op5_mix_weights, op6_bpe_transducer,
                                    op7_toxicity_kneser_ney, op8_simhash_ball, op9_fingerprints,
-                                   op10_sparse_suffix_array)}
+                                   op10_sparse_suffix_array, op12_vantage_kmeans)}
+
+def _kmeans_sql(k: int = 40, rounds: int = 5) -> str:
+    """The rounds written out: distances of all vectors to all centroids."""
+    nearest = """
+a{n} AS MATERIALIZED (SELECT vec_id, arg_min(c, struct_pack(d := d, c := c)) AS c, min(d) AS d FROM
+  (SELECT e.vec_id, s.c, sum((e.v - s.v) * (e.v - s.v))::BIGINT AS d FROM e JOIN c{n} s USING (dim) GROUP BY ALL) GROUP BY vec_id)"""
+    move = """
+c{m} AS MATERIALIZED (SELECT s.c, s.dim, coalesce(t.v, s.v) AS v FROM c{n} s LEFT JOIN
+  (SELECT a.c, e.dim, ((sum(e.v) - ((sum(e.v) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS v FROM a{n} a JOIN e USING (vec_id) GROUP BY a.c, e.dim) t
+  ON s.c = t.c AND s.dim = t.dim)"""
+    steps = ",".join(nearest.format(n=n) + "," + move.format(n=n, m=n + 1) for n in range(rounds))
+    return f"""
+WITH kept AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+e AS MATERIALIZED (SELECT vec_id, unnest(range(64)) AS dim, unnest(list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)) AS v FROM kept),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM kept QUALIFY c < {k}),
+c0 AS MATERIALIZED (SELECT first.c, e.dim, e.v FROM first JOIN e USING (vec_id)),{steps},{nearest.format(n=rounds)},
+h AS (SELECT c, sha256(string_agg(v::VARCHAR, ',' ORDER BY dim)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia,
+       sum(d) OVER ()::BIGINT AS inertia, centroid_sha256 FROM a{rounds} JOIN h USING (c)
+"""
+
 
 ORACLE = {
     "op5_mix_weights": r"""
@@ -102,4 +131,5 @@ p AS (SELECT d.doc_id, d.size, r.words, r.target, r.rate, r.rate - floor(r.rate)
 SELECT doc_id, size, words AS source_size, target,
        size * (floor(rate) + (floor((pos + 1) * part + start) > floor(pos * part + start))::INT)::BIGINT AS taken FROM p
 """,
+    "op12_vantage_kmeans": _kmeans_sql(),
 }
