@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, fingerprints, mixing, pii, prefix_forest, simhash_ball, suffix_dedup, token_files, toxicity,
-               vantage_kmeans, warc)
+from . import (bpe, fingerprints, mixing, pii, prefix_forest, simhash_ball, source_audit, suffix_dedup, token_files,
+               toxicity, vantage_kmeans, warc)
 from .common import stage, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -77,9 +77,13 @@ def op12_vantage_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("i").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_hash_prefix_forest, op2_warc_history, op3_pii_disclosure, op4_token_orc, op5_mix_weights, op6_bpe_transducer,
                                    op7_toxicity_kneser_ney, op8_simhash_ball, op9_fingerprints,
-                                   op10_sparse_suffix_array, op12_vantage_kmeans)}
+                                   op10_sparse_suffix_array, op12_vantage_kmeans, op13_source_audit)}
 
 def _kmeans_sql(k: int = 40, rounds: int = 5) -> str:
     """The rounds written out: distances of all vectors to all centroids."""
@@ -132,4 +136,29 @@ SELECT doc_id, size, words AS source_size, target,
        size * (floor(rate) + (floor((pos + 1) * part + start) > floor(pos * part + start))::INT)::BIGINT AS taken FROM p
 """,
     "op12_vantage_kmeans": _kmeans_sql(),
+    "op13_source_audit": r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT i, lang, source, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n, count(DISTINCT i) AS docs FROM w GROUP BY ALL),
+k AS MATERIALIZED (SELECT lang, term, sum(n)::HUGEINT AS total FROM c GROUP BY ALL HAVING sum(docs) >= 10),
+l AS (SELECT lang, sum(total) AS big, count(*) AS v FROM k GROUP BY lang),
+gn AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS big FROM g
+       LEFT JOIN (SELECT c.* FROM c JOIN k USING (lang, term)) c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+p AS MATERIALIZED (SELECT gn.lang, gn.source, k.term, coalesce(c.n, 0) AS n,
+        (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (gn.big + 2 * l.v))::BIGINT AS p,
+        (1 + 1000000000::HUGEINT * (k.total + 2) // (l.big + 2 * l.v))::BIGINT AS q
+      FROM gn JOIN k USING (lang) JOIN l USING (lang)
+      LEFT JOIN c ON c.lang = k.lang AND c.term = k.term AND c.source = gn.source),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+             FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x
+  ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+term AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM pair
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term' AS part, item, value,
+  (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM term) WHERE rank <= 10
+""",
 }
