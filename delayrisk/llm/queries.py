@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, fingerprints, mixing, pii, prefix_forest, simhash_ball, source_audit, suffix_dedup, token_files,
-               toxicity, vantage_kmeans, warc)
+from . import (bpe, fingerprints, mixing, pii, prefix_forest, set_join, simhash_ball, source_audit, suffix_dedup,
+               token_files, toxicity, vantage_kmeans, warc)
 from .common import stage, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -71,6 +71,10 @@ def op10_sparse_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.classes_of(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op12_vantage_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, centroids = vantage_kmeans.cluster(table(spark, sf_dir, "embeddings"))
     return vantage_kmeans.with_inertia(stage(found, "clusters"), centroids).select(
@@ -83,7 +87,8 @@ def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_hash_prefix_forest, op2_warc_history, op3_pii_disclosure, op4_token_orc, op5_mix_weights, op6_bpe_transducer,
                                    op7_toxicity_kneser_ney, op8_simhash_ball, op9_fingerprints,
-                                   op10_sparse_suffix_array, op12_vantage_kmeans, op13_source_audit)}
+                                   op10_sparse_suffix_array, op11_set_relation_join, op12_vantage_kmeans,
+                                   op13_source_audit)}
 
 def _kmeans_sql(k: int = 40, rounds: int = 5) -> str:
     """The rounds written out: distances of all vectors to all centroids."""
@@ -134,6 +139,18 @@ p AS (SELECT d.doc_id, d.size, r.words, r.target, r.rate, r.rate - floor(r.rate)
       FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, words AS source_size, target,
        size * (floor(rate) + (floor((pos + 1) * part + start) > floor(pos * part + start))::INT)::BIGINT AS taken FROM p
+""",
+    "op11_set_relation_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(len(w)::BIGINT - 2), lambda k: w[k + 1] || ' ' || w[k + 2] || ' ' || w[k + 3]) END) AS g FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 190 * c >= 90 * (x.n + y.n)),
+r AS (SELECT DISTINCT a, a AS b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.low, doc_id) AS component_id FROM documents LEFT JOIN n USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, min(b) AS low FROM r GROUP BY a) m USING (doc_id)
 """,
     "op12_vantage_kmeans": _kmeans_sql(),
     "op13_source_audit": r"""

@@ -1,0 +1,129 @@
+import random
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from delayrisk.llm import set_join as J
+
+from .conftest import sentence
+
+
+def brute_set(text, size):
+    words = (text or "").translate({c: c + 32 for c in range(65, 91)}).encode().split()
+    if not words:
+        return frozenset()
+    return frozenset(tuple(words[k:k + size]) for k in range(max(1, len(words) - size + 1)))
+
+
+def brute(rows, size, percent):
+    """[(id, set size, class id)], comparing all pairs."""
+    sets = [brute_set(t, size) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and Fraction(both, len(sets[a] | sets[b])) >= Fraction(percent, 100):
+                root[find(a)] = find(b)
+    ids = {}
+    for k, (i, _) in enumerate(rows):
+        ids.setdefault(find(k), []).append(i)
+    low = {r: min((i for i in x if i is not None), default=None) for r, x in ids.items()}
+    return sorted(((i, len(s), low[find(k)]) for k, ((i, _), s) in enumerate(zip(rows, sets))), key=str)
+
+
+def check(docs, size=3, percent=90):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = sorted((tuple(r) for r in J.classes_of(docs, size=size, percent=percent).collect()), key=str)
+    assert got == brute(rows, size, percent)
+    return got
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        k = rng.randrange(len(words))
+        words[k:k + rng.randrange(3)] = [f"new{rng.randrange(10**9)}"] * rng.randrange(2)
+    return words
+
+
+@pytest.mark.parametrize("size, percent", [(3, 90), (5, 80)])
+def test_matches_brute_force(spark, size, percent):
+    check(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), size, percent)
+
+
+@pytest.mark.parametrize("percent", [1, 50, 90, 100])
+def test_odd_rows(odd, percent):
+    check(odd, percent=percent)
+
+
+def test_empty_table(empty):
+    assert J.classes_of(empty).count() == 0
+
+
+@pytest.mark.parametrize("seed, size, percent", [(1, 3, 90), (2, 2, 70), (3, 1, 60)])
+def test_drifting_copies_chain_over_clusters(spark, monkeypatch, seed, size, percent):
+    """Texts drift in small steps: heads of clusters are too far apart to link, some of their members aren't."""
+    monkeypatch.setattr(J, "BLOCK", 3)
+    rng = random.Random(seed)
+    rows = []
+    for base in range(6):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(30, 200))]
+        for _ in range(25):
+            rows.append(" ".join(words))
+            words = edited(rng, words, rng.randrange(1, 5))
+    rows += [sentence(rng, rng.randrange(1, 12), 3) for _ in range(80)]  # short sets of frequent shingles
+    rng.shuffle(rows)
+    got = check(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5), size, percent)
+    assert len({c for *_, c in got}) < len(got)
+
+
+def test_members_are_compared_through_their_differences(spark):
+    """Two clusters whose heads don't link, nor any member with the other head: only the members' differences tell."""
+    base = [f"w{k}" for k in range(100)]
+    one = base + [f"a{k}" for k in range(8)]
+    rows = [base + [f"z{k}" for k in range(9)], one[:104], base[9:] + [f"y{k}" for k in range(4)]]
+    rng = random.Random(9)
+    rows += [edited(rng, rng.choice(rows), rng.randrange(1, 6)) for _ in range(60)]
+    check(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string"), 1, 92)
+
+
+def test_a_large_group_of_near_copies_makes_no_pairs(spark):
+    """Work on copies grows with their number: clusters that meet, not documents."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(500)}" for _ in range(200)]
+    texts = [" ".join(base[:k] + [f"own{n}"] + base[k + 1:]) for n, k in ((n, rng.randrange(200)) for n in range(600))]
+    texts += [" ".join(base)] * 300 + [sentence(rng, 50) for _ in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("*").repartition(4)
+    plain = docs.selectExpr("doc_id AS i", "text AS t")
+    rows = J.stage(J._sets(plain, 3, 90, np.zeros(J.BUCKETS, np.uint8)).selectExpr("*", "monotonically_increasing_id() AS r"), "sets")
+    heads = J.stage(rows.filter("n > 0").groupBy("key").agg({"r": "min"}).withColumnRenamed("min(r)", "s"), "heads")
+    index = J._index(rows, heads, 90)
+    picks = J.stage(J._picks(index, 90), "picks")
+    members, _ = J._clusters(picks, J._whole_sets(plain, heads, 3), 90)
+    assert members.count() > 500
+    assert J._cluster_pairs(index, members, 90).count() < 400
+    check(docs.filter("doc_id < 120 OR doc_id > 880"))
+
+
+def test_prefix_lengths_are_exact():
+    for percent in (50, 80, 90, 99):
+        for n in range(1, 300):
+            least = -(-percent * n // 100)
+            assert J.prefix_length(n, percent) == n - least + 1
+
+
+def test_set_hashes_are_the_sets():
+    rng = random.Random(8)
+    for _ in range(100):
+        text = sentence(rng, rng.randrange(0, 40), 5)
+        for size in (1, 3, 5):
+            h = J.shingles(text, size)
+            assert len(h) == len(brute_set(text, size)) and (np.sort(h) == h).all()
+    assert set(J.shingles("A b\tC\vd", 3)) == set(J.shingles("a B c\nD", 3))
+    assert not set(J.shingles("a b", 3)) & set(J.shingles("a b a b a", 3))
