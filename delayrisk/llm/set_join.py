@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -38,76 +39,79 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import arrow_map, stage
+from .buffers import shingle_hashes, slices
+from .common import arrow_map, stage, text_or_empty
 from .components import components
 
 BUCKETS = 1 << 20  # counters of the frequency sketch
 SEGMENTS = 64
 BLOCK = 256
 FILTER_BITS = 1 << 26  # of the filter for sets in candidate pairs
-CACHE = 1 << 18  # word hashes kept per worker
-_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    h = np.sort(hashes)
+    return h[np.concatenate(([True], h[1:] != h[:-1]))] if len(h) else h
 
 
-_words = _Words()
-
-
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct hashes of the text's word shingles; fewer words than ``size`` make one."""
-    # bytes.lower and bytes.split know A-Z and ASCII white space only.
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    length = min(size, len(w))
-    h = np.full(len(w) - length + 1, length, np.uint64)
-    for k in range(length):
-        h = h * _ODD + w[k:len(w) - length + 1 + k]
-    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    return np.unique(h ^ (h >> np.uint64(33)))
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate([p.view(np.int64) for p in parts] or [np.zeros(0, np.int64)])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(flat))
 
 
 def digest(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def _bit(key: bytes) -> int:
-    return int.from_bytes(key[:4], "big") % FILTER_BITS
+def parities(h: np.ndarray) -> np.ndarray:
+    """A bit per place, of about as many places as there are hashes: whether an odd number of hashes falls there.
+
+    Each hash that only one of two sets holds changes one bit, so the bits that differ are at most such hashes.
+    """
+    power = max(6, len(h).bit_length() - 1)
+    odd = np.bincount((h >> np.uint64(64 - power)).astype(np.int64), minlength=1 << power) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _name(text: str) -> int:
+    """Place of a text in the filter of wanted texts."""
+    return xxhash.xxh3_64_intdigest(text.encode()) % FILTER_BITS
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.tobytes(), 1)
+
+
+def _unpacked(counts: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(counts), np.int64)
 
 
 def frequencies(docs: DataFrame, size: int) -> np.ndarray:
-    """Documents per bucket of shingle hashes; ``BUCKETS`` numbers reach the driver."""
+    """Shingles of all texts per bucket of their hashes; ``BUCKETS`` numbers reach the driver."""
     kinds = "segment int, slice int, counts binary"
 
     def apply(batches):
         counts = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            of = [shingles(t, size) >> np.uint64(44) for t in b.column("t").to_pylist()]
-            counts += np.bincount(np.concatenate([*of, np.zeros(0, np.uint64)]).astype(np.int64), minlength=BUCKETS)
+            for part in slices(b, "t"):
+                of = np.concatenate(shingle_hashes(part.column("t"), size))
+                counts += np.bincount((of >> np.uint64(44)).astype(np.int64), minlength=BUCKETS)
         if counts.any():
             at = int(counts[::997].sum()) % 64
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(SEGMENTS), pa.int32()), pa.array([at] * SEGMENTS, pa.int32()),
-                 pa.array([c.tobytes() for c in np.split(counts, SEGMENTS)])], names=["segment", "slice", "counts"])
+                 pa.array([_packed(c) for c in np.split(counts, SEGMENTS)])], names=["segment", "slice", "counts"])
 
     def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c, np.int64) for c in t["counts"].to_pylist())
-        return pa.table({"segment": t["segment"].slice(0, 1), "slice": pa.array([0], pa.int32()), "counts": [total.tobytes()]})
+        total = sum(_unpacked(c.as_py()) for c in t["counts"])
+        return pa.table({"segment": t["segment"].slice(0, 1), "slice": pa.array([0], pa.int32()), "counts": [_packed(total)]})
     part = arrow_map(docs.select("t"), apply, kinds)
     for keys in (("segment", "slice"), ("segment",)):
         part = part.groupBy(*keys).applyInArrow(add, kinds)
     out = np.zeros((SEGMENTS, BUCKETS // SEGMENTS), np.int64)
     for r in part.collect():
-        out[r.segment] = np.frombuffer(r.counts, np.int64)
+        out[r.segment] = _unpacked(r.counts)
     return out.ravel()
 
 
@@ -122,29 +126,32 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _sets(docs: DataFrame, size: int, percent: int, height: np.ndarray) -> DataFrame:
-    """(i, n, key, prefix in order) of every row."""
+    """(i, n, key, name, prefix in order, bits) of every row."""
     def apply(batches):
-        for b in batches:
-            n, keys, first = [], [], []
-            for t in b.column("t").to_pylist():
-                h = shingles(t, size)
-                n.append(len(h))
-                keys.append(digest(h))
+        for b in (part for batch in batches for part in slices(batch, "t")):
+            sets = [distinct(h) for h in shingle_hashes(b.column("t"), size)]
+            first = []
+            for h in sets:
                 most = height[(h >> np.uint64(44)).astype(np.int64)]
                 h = h[np.argsort(most, kind="stable")] if most.any() else h
                 first.append(h[:prefix_length(len(h), percent)] if len(h) else h)
-            flat = np.concatenate(first).view(np.int64) if first else np.zeros(0, np.int64)
-            at = np.concatenate(([0], np.cumsum([len(p) for p in first]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()),
-                                              pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["i", "n", "key", "prefix"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("i"), pa.array([len(h) for h in sets], pa.int64()), pa.array([digest(h) for h in sets], pa.binary()),
+                 pa.array([_name(t) for t in b.column("t").to_pylist()], pa.int64()), _lists(first),
+                 _lists([parities(h) for h in sets])], names=["i", "n", "key", "name", "prefix", "bits"])
     return arrow_map(docs, apply, StructType([docs.schema["i"], StructField("n", LongType()), StructField("key", BinaryType()),
-                                              StructField("prefix", ArrayType(LongType()))]))
+                                              StructField("name", LongType()), StructField("prefix", ArrayType(LongType())),
+                                              StructField("bits", ArrayType(LongType()))]))
+
 
+def _with_sets(pairs: DataFrame, named: DataFrame, docs: DataFrame, size: int, a: str, b: str) -> DataFrame:
+    """Pairs of sets (columns ``a``, ``b``) with their sizes n and m and whole sets x and y, formed from their texts again.
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(s, n, set) of the sets named in ``wanted`` (s, key), formed from the texts again."""
-    place = F.pmod(F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long"), F.lit(FILTER_BITS))
-    segments = (wanted.select(place.alias("b")).select((F.col("b") / 32768).cast("int").alias("segment"), (F.col("b") % 32768).alias("b"))
+    The sets are dealt by key once; both joins read that one shuffle.
+    """
+    pairs = stage(pairs.join(named.toDF(a, "key_a", "name_a"), a).join(named.toDF(b, "key_b", "name_b"), b), "named_pairs")
+    wanted = pairs.select(F.explode(F.array("name_a", "name_b")).alias("name"))
+    segments = (wanted.select((F.col("name") / 32768).cast("int").alias("segment"), (F.col("name") % 32768).alias("b"))
                 .groupBy("segment").agg(F.bitmap_construct_agg("b").alias("bits")).collect())  # FILTER_BITS in all
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in segments:
@@ -152,20 +159,20 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def apply(batches):
         for b in batches:
-            found = {}
-            for t in b.column("t").to_pylist():
-                h = shingles(t, size)
-                key = digest(h)
-                at = _bit(key)
-                if bits[at >> 3] >> (at & 7) & 1:
-                    found[key] = h  # a copy in the same batch is not sent again
-            flat = np.concatenate([*found.values(), np.zeros(0, np.uint64)]).view(np.int64)
-            at = np.concatenate(([0], np.cumsum([len(h) for h in found.values()]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([*found], pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))],
-                                             names=["key", "set"])
+            at = np.array([_name(t) for t in b.column("t").to_pylist()], np.int64)
+            b = b.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 > 0))
+            for part in slices(b, "t"):
+                found = {}  # a copy in the same slice is not sent again
+                for h in shingle_hashes(part.column("t"), size):
+                    h = distinct(h)
+                    found[digest(h)] = h
+                yield pa.RecordBatch.from_arrays([pa.array([*found], pa.binary()), _lists([*found.values()])], names=["key", "set"])
     made = arrow_map(docs.select("t"), apply, StructType([StructField("key", BinaryType()), StructField("set", ArrayType(LongType()))]))
-    named = made.join(wanted, "key").select("s", "set").dropDuplicates(["s"])
-    return stage(named.withColumn("n", F.size("set").cast("long")), "whole_sets")
+    made = made.dropDuplicates(["key"])
+    return (pairs.join(made.select(F.col("key").alias("key_a"), F.col("set").alias("x")), "key_a")
+            .join(made.select(F.col("key").alias("key_b"), F.col("set").alias("y")), "key_b")
+            .drop("key_a", "key_b", "name_a", "name_b")
+            .withColumns({"n": F.size("x").cast("long"), "m": F.size("y").cast("long")}))
 
 
 def _linked(inter: str, n: str, m: str, percent: int):
@@ -179,32 +186,53 @@ def _room(a: str, b: str, percent: int, first: str = "at"):
 
 
 def _index(rows: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """(s, n, pos, token, df, band) of prefix shingles that stand in more than one set's prefix."""
+    """(s, n, pos, token, df, head) of prefix shingles that stand in more than one set's prefix; ``head`` is the list's smallest set."""
     sets = rows.filter("n > 0").join(heads.select(F.col("s").alias("r")), "r", "left_semi")
     entries = sets.select(F.col("r").alias("s"), "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = entries.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    band = F.floor(F.log("n") / F.lit(-math.log(percent / 100)))
-    return stage(entries.join(shared, "token").withColumn("band", band), "index")
-
-
-def _picks(index: DataFrame, percent: int) -> DataFrame:
-    """(s, h): the list head, of its size band, that a set shares most with, if the prefixes leave room for a link."""
-    lists = index.groupBy("token", "band").agg(F.min("s").alias("s"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    heads = index.join(lists, ["token", "band", "s"]).select("token", "band", F.col("s").alias("h"), F.col("n").alias("m"), F.col("pos").alias("q"))
-    met = (index.join(heads, ["token", "band"]).filter("s > h")
-           .filter(f"100 * n >= {percent} * m AND 100 * m >= {percent} * n "
-                   f"AND {100 + percent} * (pos + q) <= {100 - percent} * (n + m)")
-           .groupBy("s", "n", "h", "m").agg(F.count("*").alias("c"), F.max("pos").alias("pos"), F.max("q").alias("q"))
-           .filter(f"{100 + percent} * (c + least(n - pos, m - q) - 1) >= {percent} * (n + m)"))
+    lists = entries.groupBy("token").agg(F.count("*").alias("df"), F.min("s").alias("head")).filter("df > 1")
+    return stage(entries.join(lists, "token"), "index")
+
+
+def _prefixes(index: DataFrame, rows: DataFrame) -> DataFrame:
+    """(s, n, prefix, bits), the prefix with only those shingles that other prefixes have too: a part of one set in a row."""
+    shared = index.groupBy("s", "n").agg(F.collect_list("token").alias("prefix"))
+    return stage(shared.join(rows.select(F.col("r").alias("s"), "bits"), "s"), "prefixes")
+
+
+def _with_near_prefixes(pairs: DataFrame, prefixes: DataFrame, percent: int, a: str, b: str, spread: DataFrame | None = None) -> DataFrame:
+    """Pairs (columns ``a``, ``b``) whose prefixes have enough in common.
+
+    Of the two prefixes one ends first in the order; what it does not share with the other stands nowhere
+    in the other set.  If that is more than a link allows (for heads of clusters: with the edits of their members,
+    ``spread``, on top), or if more of their parities differ, the pair goes.
+    """
+    one = prefixes.select(F.col("s").alias(a), F.col("n").alias("n1"), F.col("prefix").alias("p1"), F.col("bits").alias("b1"))
+    two = prefixes.select(F.col("s").alias(b), F.col("n").alias("n2"), F.col("prefix").alias("p2"), F.col("bits").alias("b2"))
+    odd = F.aggregate(F.zip_with("b1", "b2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    met = (pairs.join(one, a).join(two, b).withColumn("c", F.size(F.array_intersect("p1", "p2")))
+           .withColumn("odd", F.when(F.size("b1") == F.size("b2"), odd).otherwise(0)).drop("p1", "p2", "b1", "b2"))
+    if spread is None:
+        met = met.withColumns({"d1": F.lit(0), "d2": F.lit(0)})
+    else:
+        met = (met.join(spread.toDF(a, "d1"), a, "left").join(spread.toDF(b, "d2"), b, "left").fillna(0, ["d1", "d2"]))
+    # Twice what either set may lack: |difference| is at most apart, of which one side has its share by size.
+    apart = f"(floor({100 - percent} * (n1 + d1 + n2 + d2) / {100 + percent}D) + d1 + d2)"
+    length = "({n} - ceil({p} * {n} / 100D) + 1)"
+    met = met.filter(f"100 * (n1 + d1) >= {percent} * (n2 - d2) AND 100 * (n2 + d2) >= {percent} * (n1 - d1)")
+    return met.filter(f"odd <= {apart}").filter(f"2 * ({length.format(n='n1', p=percent)} - c) <= {apart} + n1 - n2 OR "
+                      f"2 * ({length.format(n='n2', p=percent)} - c) <= {apart} + n2 - n1").select(*pairs.columns)
+
+
+def _picks(index: DataFrame) -> DataFrame:
+    """(s, h): the list head that a set shares most prefix shingles with."""
+    met = index.filter("s > head").groupBy("s", F.col("head").alias("h")).agg(F.count("*").alias("c"))
     return met.groupBy("s").agg(F.max(F.struct("c", (-F.col("h")).alias("h"))).alias("x")).select("s", (-F.col("x.h")).alias("h"))
 
 
-def _clusters(picks: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(s, h, n, gone, more), and the links (s, h) that were checked: sets that link with their pick, then re-based on the head of that, by composing differences."""
-    a = sets.select("s", "n", F.col("set").alias("x"))
-    b = sets.select(F.col("s").alias("h"), F.col("n").alias("m"), F.col("set").alias("y"))
-    now = (picks.join(a, "s").join(b, "h")
-           .select("s", "h", "n", "m", F.array_except("y", "x").alias("gone"), F.array_except("x", "y").alias("more"))
+def _clusters(picks: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(s, h, n, gone, more), and the links (s, h) that were checked: sets that link with their pick, given with whole sets,
+    then re-based on the head of that, by composing differences."""
+    now = (picks.select("s", "h", "n", "m", F.array_except("y", "x").alias("gone"), F.array_except("x", "y").alias("more"))
            .withColumn("inter", F.col("n") - F.size("more")).filter(_linked("inter", "n", "m", percent)))
     now = stage(now.select("s", "h", "n", "gone", "more"), "clusters")
     links = now.select("s", "h")
@@ -223,9 +251,13 @@ def _clusters(picks: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFram
 def _cluster_pairs(index: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """(h, k, alone) with h < k: clusters whose blocks leave room for a link; ``alone``: both are single sets."""
     marks = members.select("s", "h").unionByName(members.select(F.col("h").alias("s"), "h").distinct())
-    entries = (index.join(marks, "s", "left").withColumn("alone", F.col("h").isNull()).withColumn("h", F.coalesce("h", "s"))
-               .groupBy("token", "h").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("at"),
-                                          F.max("df").alias("df"), F.min("alone").alias("alone")))
+    entries = index.join(marks, "s", "left")
+    alone = entries.filter("h IS NULL").select("token", F.col("s").alias("h"), F.col("n").alias("lo"), F.col("n").alias("hi"),
+                                               F.col("pos").alias("at"), "df", F.lit(True).alias("alone"))
+    entries = alone.unionByName(
+        entries.filter("h IS NOT NULL").groupBy("token", "h").agg(
+            F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("pos").alias("at"), F.max("df").alias("df"))
+        .withColumn("alone", F.lit(False)))
     band = F.floor(F.log("hi") / F.lit(-math.log(percent / 100)))
     late = F.expr(f"{100 + percent} * at > {100 - percent} * hi").cast("long")
     chunk = F.pmod(F.xxhash64("h"), F.ceil(F.col("df") / BLOCK))
@@ -253,20 +285,17 @@ def _overlap(a: str, b: str):
     return F.size(F.array_intersect(a, b))
 
 
-def _answers(pairs: DataFrame, sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """(h, k) of clusters with a link between them."""
+def _answers(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(h, k) of clusters, given with whole sets, with a link between them."""
     t = percent / 100 - 1e-9
-    a = sets.select(F.col("s").alias("h"), F.col("n").alias("nh"), F.col("set").alias("x"))
-    b = sets.select(F.col("s").alias("k"), F.col("n").alias("nk"), F.col("set").alias("y"))
     apart = members.groupBy("h").agg(F.max(F.expr("1 - (n - size(more)) / double(n + size(gone))")).alias("r"))
-    near = (pairs.join(a, "h").join(b, "k").withColumn("o", F.col("nh") - F.size(F.array_except("x", "y")))
+    near = (pairs.withColumnsRenamed({"n": "nh", "m": "nk"}).withColumn("o", F.col("nh") - F.size(F.array_except("x", "y")))
             .join(apart.withColumnRenamed("r", "rh"), "h", "left")
             .join(apart.select(F.col("h").alias("k"), F.col("r").alias("rk")), "k", "left").fillna(0.0, ["rh", "rk"]))
     # Far heads have no linked members: distance is at least that of the heads less both radii.
-    near = near.filter(F.when(F.col("alone"), _linked("o", "nh", "nk", percent))
-                       .otherwise(F.expr(f"1 - o / double(nh + nk - o) <= 1 - {t} + rh + rk")))
-    near = stage(near, "near_heads")
     linked = _linked("o", "nh", "nk", percent)
+    near = near.filter(linked | (~F.col("alone") & F.expr(f"1 - o / double(nh + nk - o) <= 1 - {t} + rh + rk")))
+    near = stage(near.withColumns({c: F.when(~linked, F.col(c)) for c in "xy"}), "near_heads")
     done = near.filter(linked).select("h", "k")
     near = near.filter(~linked & ~F.col("alone"))
     none = F.array().cast("array<long>")
@@ -296,20 +325,22 @@ def classes_of(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size
     """One row per document: id_col, ``n_shingles``, ``component_id`` (smallest id reachable by links of ``percent`` or more)."""
     if not 1 <= percent <= 100:
         raise ValueError("percent must be 1 to 100")
-    docs = docs.select(F.col(id_col).alias("i"), F.col(text).alias("t"))
+    docs = docs.select(F.col(id_col).alias("i"), text_or_empty(text).alias("t"))
     height = classes(frequencies(docs, size))
     rows = stage(_sets(docs, size, percent, height).withColumn("r", F.monotonically_increasing_id()), "sets")
-    heads = stage(rows.filter("n > 0").groupBy("key").agg(F.min("r").alias("s"), F.min("i").alias("low")), "heads")
-    named = heads.select("s", "key")
+    heads = stage(rows.filter("n > 0").groupBy("key").agg(
+        F.min("r").alias("s"), F.min_by("name", "r").alias("name"), F.min("i").alias("low")), "heads")
+    named = heads.select("s", "key", "name")
     links = None
     if percent < 100:  # else equal sets alone link
         index = _index(rows, heads, percent)
-        picks = stage(_picks(index, percent), "picks")
-        wanted = picks.select("s").unionByName(picks.select(F.col("h").alias("s"))).distinct()
-        members, links = _clusters(picks, _whole_sets(docs, named.join(wanted, "s"), size), percent)
+        prefixes = _prefixes(index, rows)
+        picks = stage(_with_near_prefixes(_picks(index), prefixes, percent, "s", "h"), "picks")
+        members, links = _clusters(_with_sets(picks, named, docs, size, "s", "h"), percent)
         pairs = stage(_cluster_pairs(index, members, percent), "cluster_pairs")
-        wanted = pairs.select(F.col("h").alias("s")).unionByName(pairs.select(F.col("k").alias("s"))).distinct()
-        found = _answers(pairs, _whole_sets(docs, named.join(wanted, "s"), size), members, percent)
+        spread = members.groupBy("h").agg(F.max(F.size("gone") + F.size("more")).alias("d"))
+        pairs = stage(_with_near_prefixes(pairs, prefixes, percent, "h", "k", spread), "pairs")
+        found = _answers(_with_sets(pairs, named, docs, size, "h", "k"), members, percent)
         links = links.toDF("u", "v").unionByName(found.toDF("u", "v"))
     if links is None:
         labels = heads.select("key", F.col("low").alias("component_id"))

@@ -21,37 +21,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from .buffers import LOWER, SLICE, runs, slices, text_buffer
 from .common import arrow_map, ship, stage, text_or_empty
 
-SLICE = 1 << 22  # bytes of text sorted at once, if no document is longer
 CELLS = 1 << 21  # numbers in a block's table of sources and terms
 UNIT = 1_000_000_000
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: Bytes of terms: ASCII letters and all that encode other characters.
 _IN_TERM = np.zeros(256, bool)
 _IN_TERM[65:91] = _IN_TERM[97:123] = _IN_TERM[128:] = True
 
 
-def term_pointers(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, document) of every term; ``offsets`` has each document's first byte and, last, the end."""
-    inside = np.zeros(len(buf) + 1, bool)
-    inside[:-1] = _IN_TERM[buf]
-    edge = np.zeros(len(buf) + 1, bool)
-    edge[offsets] = True
-    goes_on = inside & ~edge
-    goes_on[1:] &= inside[:-1]
-    goes_on[0] = False
-    starts = np.flatnonzero(inside & ~goes_on)
-    ends = np.flatnonzero(inside[:-1] & ~goes_on[1:]) + 1
-    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
-
-
 def _wide(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: int) -> np.ndarray:
     """The eight bytes of each term from its byte ``at`` on as one number; zeros follow a term's end (no term holds a zero)."""
     left = np.clip(ends - starts - at, 0, 8)
@@ -95,16 +79,13 @@ def sort_pointers(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
 
 def slice_counts(texts: pa.Array, group: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """(term, group, occurrences, documents) of one slice of documents, whose groups are numbers."""
-    texts = texts.cast(pa.large_string())
-    _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    buf = (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[offsets[0]:offsets[-1]]
-    starts, ends, doc = term_pointers(buf, offsets - offsets[0])
+    buf, offsets = text_buffer(texts)
+    starts, ends, doc = runs(buf, offsets, _IN_TERM)
     if not len(starts):
         return [], *(np.zeros(0, np.int64) for _ in range(3))
     by_group = np.argsort(group[doc], kind="stable")  # inside a run: by group, then by document
     starts, ends, doc = starts[by_group], ends[by_group], doc[by_group]
-    low = np.concatenate((_LOWER[buf], np.zeros(8, np.uint8)))
+    low = np.concatenate((LOWER[buf], np.zeros(8, np.uint8)))
     order, first = sort_pointers(low, starts, ends)
     g, d = group[doc[order]], doc[order]
     new = first.copy()
@@ -122,21 +103,11 @@ COUNTS = StructType([StructField("lang", StringType()), StructField("source", St
                      StructField("n", LongType()), StructField("docs", LongType())])
 
 
-def _slices(b: pa.RecordBatch):
-    """Runs of rows that hold about ``SLICE`` bytes of text."""
-    size = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(size):
-        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, "right")))
-        yield b.slice(at, end - at)
-        at = end
-
-
-def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", size: int = SLICE) -> DataFrame:
     """(lang, source, term, n, docs), added up; a row of the empty term tells that the group occurs."""
     def apply(batches):
         for batch in batches:
-            for b in _slices(batch):
+            for b in slices(batch, "text", size):
                 names = pa.StructArray.from_arrays([b.column(c).cast(pa.string()) for c in ("lang", "source")], ["l", "s"])
                 code, groups = {}, []
                 for g in names.to_pylist():

@@ -2,8 +2,11 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from delayrisk.llm import buffers as B
 from delayrisk.llm import set_join as J
 
 from .conftest import sentence
@@ -102,10 +105,10 @@ def test_a_large_group_of_near_copies_makes_no_pairs(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("*").repartition(4)
     plain = docs.selectExpr("doc_id AS i", "text AS t")
     rows = J.stage(J._sets(plain, 3, 90, np.zeros(J.BUCKETS, np.uint8)).selectExpr("*", "monotonically_increasing_id() AS r"), "sets")
-    heads = J.stage(rows.filter("n > 0").groupBy("key").agg({"r": "min"}).withColumnRenamed("min(r)", "s"), "heads")
+    heads = J.stage(rows.filter("n > 0").groupBy("key").agg(F.min("r").alias("s"), F.min_by("name", "r").alias("name")), "heads")
     index = J._index(rows, heads, 90)
-    picks = J.stage(J._picks(index, 90), "picks")
-    members, _ = J._clusters(picks, J._whole_sets(plain, heads, 3), 90)
+    picks = J.stage(J._with_near_prefixes(J._picks(index), J._prefixes(index, rows), 90, "s", "h"), "picks")
+    members, _ = J._clusters(J._with_sets(picks, heads.select("s", "key", "name"), plain, 3, "s", "h"), 90)
     assert members.count() > 500
     assert J._cluster_pairs(index, members, 90).count() < 400
     check(docs.filter("doc_id < 120 OR doc_id > 880"))
@@ -118,12 +121,27 @@ def test_prefix_lengths_are_exact():
             assert J.prefix_length(n, percent) == n - least + 1
 
 
-def test_set_hashes_are_the_sets():
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 64, 100, 1000):
+        a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for _ in "ab")
+        b[:n // 2] = a[:n // 2]
+        x, y = J.parities(J.distinct(a)), J.parities(J.distinct(b))
+        if len(x) == len(y):
+            assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(np.setxor1d(a, b))
+
+
+def test_set_hashes_are_the_sets(monkeypatch):
     rng = random.Random(8)
-    for _ in range(100):
-        text = sentence(rng, rng.randrange(0, 40), 5)
-        for size in (1, 3, 5):
-            h = J.shingles(text, size)
-            assert len(h) == len(brute_set(text, size)) and (np.sort(h) == h).all()
-    assert set(J.shingles("A b\tC\vd", 3)) == set(J.shingles("a B c\nD", 3))
-    assert not set(J.shingles("a b", 3)) & set(J.shingles("a b a b a", 3))
+    texts = [sentence(rng, rng.randrange(0, 40), 5) for _ in range(100)] + ["A b\tC\vd", "a B c\nD", "a b", "a b a b a", "", " \f", "É é", "é É",
+                                                                         "x" * 5000 + " y", "X" * 5000 + " Y"]
+    for size in (1, 3, 5):
+        got = [J.distinct(h) for h in B.shingle_hashes(pa.array(["skipped", *texts])[1:], size)]
+        assert [len(h) for h in got] == [len(brute_set(t, size)) for t in texts]
+        monkeypatch.setattr(B, "PIECE", 3)
+        assert all((h == B.shingle_hashes(pa.array([t]), size)[0]).all() for h, t in zip(B.shingle_hashes(pa.array(texts), size), texts))
+        same = {}
+        for t, h in zip(texts, got):
+            assert same.setdefault(brute_set(t, size), h.tobytes()) == h.tobytes()
+        assert len(set(same.values())) == len(same)
+    assert not set(B.shingle_hashes(pa.array(["a b"]), 3)[0]) & set(B.shingle_hashes(pa.array(["a b a b a"]), 3)[0])

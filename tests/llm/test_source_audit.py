@@ -67,9 +67,8 @@ def test_small_slices_and_blocks_give_the_same(spark, monkeypatch):
     rows = [(" ".join(rng.choice(words, 30)) + "-" + "Z" * 5, "en", "hot" if k % 3 == 0 else f"s{k % 7}") for k in range(200)]
     docs = spark.createDataFrame(rows, "text string, lang string, source string").repartition(4)
     want = brute(rows, least=3)
-    counts = A.term_counts(docs)
+    counts = A.term_counts(docs, size=1)
     monkeypatch.setattr(A, "CELLS", 24)
-    monkeypatch.setattr(A, "SLICE", 1)
     kept, groups = A.kept_counts(counts, 3)
     got = A.ranked(A.pairs(kept, groups), "pair").unionByName(A.ranked(A.tops(kept), "term", 10))
     assert {tuple(r) for r in got.collect()} == want
