@@ -28,7 +28,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from .buffers import LOWER, SLICE, runs, slices, text_buffer
 from .common import arrow_map, ship, stage, text_or_empty
 
-CELLS = 1 << 21  # numbers in a block's table of sources and terms
+CELLS = 1 << 16  # numbers in a block's table of sources and terms, more where there are so many sources that sums would outnumber them
 UNIT = 1_000_000_000
 
 #: Bytes of terms: ASCII letters and all that encode other characters.
@@ -176,7 +176,7 @@ def _block_pairs(held: pa.Table, groups: pa.Table) -> pa.Table:
 
 def pairs(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, source, item, value) for each two sources of a language."""
-    blocks = F.expr(f"greatest(1, ceil(v / greatest(1, {CELLS} div sources)))").cast("int")
+    blocks = F.expr(f"greatest(1, ceil(v / greatest(1, least(greatest({CELLS}, sources * sources), {CELLS * 256}) div sources)))").cast("int")
     sized = groups.withColumn("blocks", blocks)
     per_lang = sized.groupBy("lang").agg(F.max("blocks").alias("blocks"))
     left = rows.join(per_lang, "lang").select(
