@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import ID
 from ..functions.draws import draw
-from ..operators import enrich
+from ..operators import enrich, forest
 from ..operators import features as feat
 from ..operators import model as mdl
 from ..operators.labels import DELAYED, ON_TIME
@@ -29,6 +29,11 @@ def model_scorer(model: PipelineModel) -> Scorer:
     return lambda df: mdl.score(df, model)
 
 
+def forest_scorer(nodes: list[forest.Node]) -> Scorer:
+    """Score by a forest's node table: one Column expression."""
+    return lambda df: forest.score(df, nodes)
+
+
 def drawn_scorer(salt: str = "risk") -> Scorer:
     """A model stand-in for checks: risk factor from a per-id draw in [0, 100].
 

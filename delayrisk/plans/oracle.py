@@ -81,3 +81,72 @@ def with_ctes(ctes: list[tuple[str, str]], body: str) -> str:
 
 def adapter(*names: str) -> list[tuple[str, str]]:
     return [(n, ADAPTER[n]) for n in names]
+
+
+def forest_fit(source: str, features: tuple[str, ...], trees: int, depth: int, seed: int, bins: int,
+               bounds: tuple[int, ...], per_hash: int, tried: int) -> list[tuple[str, str]]:
+    """CTEs that fit ``operators.forest`` on ``source`` (id, features, delivery_delay); the last, ``nodes``, is the node table."""
+    num = [f"coalesce(cast({f} as double), 0.0)" for f in features]
+    weight = " + ".join(f"cast(b >= {x} as int)" for x in bounds)
+    ctes = [
+        ("fr", "select *, row_number() over (order by id, " + ", ".join(f"f{k}" for k in range(len(num))) + ", y) as rid from ("
+         "select masterbill_internal_id as id, " + ", ".join(f"{x} as f{k}" for k, x in enumerate(num))
+         + f", cast(delivery_delay <> 'Delayed' as int) as y from {source} where delivery_delay is not null)"),
+        ("xl", " union all ".join(f"select rid, {k} as k, f{k} as v from fr" for k in range(len(num)))),
+        ("rk", "select k, v, row_number() over (partition by k order by v) - 1 as r, count(*) over (partition by k) as n from xl"
+         " where not isnan(v)"),
+        ("cuts", "select k, v as cut, row_number() over (partition by k order by v) - 1 as b from (select distinct k, v"
+         f" from rk join range(1, {bins}) q(q) on r = ((n - 1) * q) // {bins})"),
+        ("vb", "select x.k, x.v, count(c.cut) as bin from (select distinct k, v from xl) x left join cuts c"
+         " on c.k = x.k and c.cut < x.v group by 1, 2"),
+        ("xb", "select rid, k, v, bin from xl join vb using (k, v)"),
+        ("boot", "select rid, y, t, " + weight + " as w from (select rid, y, t, cast('0x' || substr(md5("
+         f"'{seed}:' || (t // {per_hash}) || ':' || coalesce(cast(id as varchar), '')), 2 * (t % {per_hash}) + 1, 2) as int) as b"
+         f" from fr, range({trees}) t(t))"),
+        ("at0", "select rid, y, t, w, 1 as node from boot where w > 0"),
+    ]
+    for n in range(depth + 1):
+        ctes.append((f"tot{n}", f"select t, node, sum(case when y = 0 then w else 0 end)::bigint as late,"
+                                f" sum(case when y = 1 then w else 0 end)::bigint as timely from at{n} group by t, node"))
+        if n == depth:
+            break
+        ctes += [
+            (f"h{n}", f"select t, node, k, bin, sum(case when y = 0 then w else 0 end)::bigint as a,"
+                      f" sum(case when y = 1 then w else 0 end)::bigint as c from at{n} join xb using (rid) group by all"),
+            (f"cum{n}", "select t, node, k, bin, (sum(a) over s)::bigint as a, (sum(c) over s)::bigint as c"
+                        f" from h{n} window s as (partition by t, node, k order by bin)"),
+            (f"try{n}", f"select t, node, k from (select t, node, k, row_number() over (partition by t, node order by"
+                        f" md5('{seed}:' || t || ':' || node || ':' || k)) as place from tot{n}, range({len(num)}) k(k)) where place <= {tried}"),
+            (f"gain{n}", "select t, node, k, b, cut, (a * a + c * c)::double / (a + c) + ((late - a) * (late - a)"
+                         " + (timely - c) * (timely - c))::double / (late - a + timely - c) as gain,"
+                         " (late * late + timely * timely)::double / (late + timely) as plain"
+                         f" from cum{n} join try{n} using (t, node, k) join cuts on cuts.k = cum{n}.k and cuts.b = cum{n}.bin"
+                         f" join tot{n} using (t, node) where a + c > 0 and a + c < late + timely"),
+            (f"split{n}", f"select t, node, k, cut from (select *, row_number() over (partition by t, node order by gain desc, k, b)"
+                          f" as place from gain{n} where gain > plain) where place = 1"),
+            (f"at{n + 1}", f"select a.rid, a.y, a.t, a.w, 2 * a.node + cast(x.v > s.cut as int) as node from at{n} a"
+                           f" join split{n} s using (t, node) join xl x on x.rid = a.rid and x.k = s.k"),
+        ]
+    every = " union all ".join(
+        f"select tot{n}.*, " + ("k, cut" if n < depth else "null as k, null as cut") + f" from tot{n}"
+        + (f" left join split{n} using (t, node)" if n < depth else "") for n in range(depth + 1))
+    names = "[" + ", ".join(f"'{f}'" for f in features) + "]"
+    ctes.append(("nodes", f"select t::int as tree, node::int as node, {names}[k + 1] as feature, k, cut, late, timely from ({every})"))
+    return ctes
+
+
+def forest_walk(source: str, features: tuple[str, ...], trees: int, depth: int) -> list[tuple[str, str]]:
+    """CTEs that score ``source`` by ``nodes``; the last, ``sc``, has its columns, the class and the risk."""
+    num = [f"coalesce(cast({f} as double), 0.0)" for f in features]
+    ctes = [("sr", f"select *, row_number() over (order by masterbill_internal_id, {', '.join(features)}) as rid, [{', '.join(num)}] as x from {source}"),
+            ("go0", f"select rid, x, t as tree, 1 as node from sr, range({trees}) t(t)")]
+    for n in range(depth):
+        ctes.append((f"go{n + 1}", f"select rid, x, tree, case when cut is null then node else 2 * node + cast(x[k + 1] > cut as int) end"
+                                   f" as node from go{n} join nodes using (tree, node)"))
+    ctes += [
+        ("rs", "select rid, list_reduce(list(case when late + timely > 0 then late::double / (late + timely) else 0.5 end order by tree),"
+         f" lambda a, b: a + b) / {float(trees)}::double * 100.0::double as risk_factor from go{depth} join nodes using (tree, node) group by rid"),
+        ("sc", "select sr.* exclude (rid, x), case when risk_factor >= 50 then 'Delayed' else 'Not Delayed' end as delivery_delay,"
+         " risk_factor from sr join rs using (rid)"),
+    ]
+    return ctes

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ID
+from ..operators import forest
 from ..operators import labels as lab
 from ..operators import model as mdl
 from ..session import ensure_checkpoint_dir
@@ -44,6 +45,12 @@ def fit_and_test(data: DataFrame, **kw) -> tuple[PipelineModel, DataFrame]:
     return model, pred
 
 
+def fit_forest(tables, **kw) -> list[forest.Node]:
+    """E3 by ``operators.forest``: the node table of a forest fitted on the train side's staged rows."""
+    side, _ = mdl.split_by_id(stage(labelled_features(tables), "training"))
+    return forest.fit(side, **kw)
+
+
 def train(spark: SparkSession, tables, name: str = MODEL_NAME, root: str | None = None,
           save: bool = True, **kw) -> tuple[PipelineModel, dict, int | None]:
     """Fit, evaluate on the held-out ids, save as the next version."""

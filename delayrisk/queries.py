@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import ID
 from .functions import risk as R
-from .operators import enrich, impute, mart, profile
+from .operators import enrich, forest, impute, mart, profile
 from .operators import features as feat
 from .operators import labels as lab
 from .operators import model as mdl
@@ -470,6 +470,37 @@ def q_delay_predictions(spark, sf_dir):
     return _stump_predictions(spark, sf_dir)
 
 
+# The fitted forest itself: SQL fits the same 20 trees of depth 3, row by row, and walks them.
+_FOREST = [("tside", f"select * from ts where {O.draw('split')} % 100 < 80"),
+           *O.forest_fit("tside", feat.FEATURES, mdl.TREES, mdl.DEPTH, mdl.SEED, forest.BINS, forest.BOUNDS, forest.PER_HASH,
+                         forest.CANDIDATES)]
+
+
+def _forest_sql(body: str, upto: str = "pred") -> str:
+    """The scoring CTEs with the fitted forest in place of the drawn risk."""
+    ctes = []
+    for n, q in _E4_SQL:
+        if n == "sc":
+            ctes += _FOREST + O.forest_walk("si", feat.FEATURES, mdl.TREES, mdl.DEPTH)
+        else:
+            ctes.append((n, "select *, " + _LEVEL_SQL + " as risk_level from sc" if n == "sc2" else q))
+    names = [n for n, _ in ctes]
+    return O.with_ctes(O.adapter(*_E4_INPUTS) + _PARTS_SQL + ctes[: names.index(upto) + 1], body)
+
+
+@register("forest_nodes", _forest_sql("select tree, node, feature, cut, late, timely from nodes", "nodes"))
+def q_forest_nodes(spark, sf_dir):
+    """M3: the fitted forest as a table, equal on any partitioning."""
+    return forest.node_table(spark, tr.fit_forest(fx(spark, sf_dir)))
+
+
+@register("forest_predictions", _forest_sql("select * from pred"))
+def q_forest_predictions(spark, sf_dir):
+    """E3 + E4: fit on the labelled train side, then score, band and enrich every shipment."""
+    t = fx(spark, sf_dir)
+    return inf.predictions(t, inf.forest_scorer(tr.fit_forest(t)))
+
+
 # ------------------------------------------------------ E5: dashboard mart
 _MART_COLS = ", ".join(mart.MART_COLS)
 _ORDER_SQL = ", ".join(f"{c} asc nulls first" for c in mart.ORDER)

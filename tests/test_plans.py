@@ -138,11 +138,13 @@ def test_stale_rows_are_never_returned(spark, tmp_path):
     import shutil
     folder = tmp_path / "sf"
     shutil.copytree(SF_SMALL, folder)
+    folder.chmod(0o755)
     q = entry.queries()["dashboard_mart"]
     before = q(spark, str(folder)).count()
     orders = spark.read.parquet(f"{folder}/orders.parquet").limit(100).toPandas()
     spark.createDataFrame(orders).coalesce(1).write.parquet(str(tmp_path / "few"))
     (part,) = (tmp_path / "few").glob("*.parquet")
+    (folder / "orders.parquet").chmod(0o644)  # the test data are read-only
     shutil.copyfile(part, folder / "orders.parquet")
     spark.catalog.refreshByPath(str(folder))
     assert q(spark, str(folder)).count() < before
