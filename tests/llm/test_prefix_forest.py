@@ -55,9 +55,9 @@ def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rng = random.Random(2)
     rows = [(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(60)]
-    rows += [(100, [1.0, 0, 0, 0]), (120, [1.0, 0, 0, 0]), (140, [1.0, 0, 0, 0]), (140, [1.0, 0, 0, 0]), (160, [2.0, 0, 0, 0])]
-    rows += [(200, None), (220, []), (240, [0.0, 0, 0, 0]), (260, [nan, 1, 1, 1]), (280, [inf, 1, 1, 1]), (300, [None, 1.0, 1.0, 1.0]),
-             (None, [1.0, 1, 1, 1]), (320, [1.0, 2.0]), (340, [3.0, -0.0]), (341, [5.0, 0.0])]
+    rows += [(100, [1.0, 0.0, 0.0, 0.0]), (120, [1.0, 0.0, 0.0, 0.0]), (140, [1.0, 0.0, 0.0, 0.0]), (140, [1.0, 0.0, 0.0, 0.0]), (160, [2.0, 0.0, 0.0, 0.0])]
+    rows += [(200, None), (220, []), (240, [0.0, 0.0, 0.0, 0.0]), (260, [nan, 1.0, 1.0, 1.0]), (280, [inf, 1.0, 1.0, 1.0]), (300, [None, 1.0, 1.0, 1.0]),
+             (None, [1.0, 1.0, 1.0, 1.0]), (320, [1.0, 2.0]), (340, [3.0, -0.0]), (341, [5.0, 0.0])]
     docs = spark.createDataFrame([r + ("x", "y", "z") for r in rows],
                                  "vec_id long, embedding array<double>, cls string, code string, depth string")
     got, want = collect(P.nearest(docs, F.col("vec_id") % 20 == 0, want=10**9)), brute(rows)
