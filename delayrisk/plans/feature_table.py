@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import features as feat
-from ..operators import impute
+from ..operators import bag, impute
 
 
-def fill_features(bag: DataFrame) -> DataFrame:
+def fill_features(rows: DataFrame) -> DataFrame:
     """The reference's fills, in its order, then the description is dropped.
 
     The reference fills the description and drops it right after, so that
@@ -21,8 +20,8 @@ def fill_features(bag: DataFrame) -> DataFrame:
              "volume_cm3": impute.constant_fill("volume_cm3", 0.0),
              # Null margins have their default already; a NaN would stop the model.
              "margin_value": impute.constant_fill("margin_value", 0.0)}
-    return bag.select(*[fills[c].alias(c) if c in fills else F.col(c)
-                        for c in bag.columns if c != "item_description"])
+    return rows.select(*[fills[c].alias(c) if c in fills else F.col(c)
+                        for c in rows.columns if c != "item_description"])
 
 
 def feature_table(tables, dedupe: bool = False) -> DataFrame:
@@ -35,6 +34,5 @@ def feature_table(tables, dedupe: bool = False) -> DataFrame:
     training and scoring want; those rows do not depend on the description
     (every fill is per id), so that part is not built at all.
     """
-    if dedupe:
-        return fill_features(feat.feature_join(tables, with_description=False)).distinct()
-    return fill_features(feat.feature_join(tables))
+    rows = fill_features(bag.expand(bag.factorised(tables, described=not dedupe)))
+    return rows.distinct() if dedupe else rows

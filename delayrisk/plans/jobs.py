@@ -55,8 +55,8 @@ def training_job(spark: SparkSession, tables, db: str = "", name: str = tr.MODEL
                  root: str | None = None) -> tuple[int, dict]:
     """Fit on the written feature and label tables; save as the next version."""
     tune_for_skew(spark)
-    feats = spark.table(_name(db, FEATURES_TABLE)).distinct()  # also right over the bag
-    labels = spark.table(_name(db, LABELS_TABLE))
+    feats = sinks.read(spark, _name(db, FEATURES_TABLE)).distinct()  # also right over the bag
+    labels = sinks.read(spark, _name(db, LABELS_TABLE))
     model, pred = tr.fit_and_test(tr.labelled_features(tables, feats, labels))
     metrics = mdl.evaluate(pred).first().asDict()
     version = mdl.save_model(spark, model, name, metrics, root)
@@ -68,7 +68,7 @@ def scoring_job(spark: SparkSession, tables, db: str = "", name: str = tr.MODEL_
     """Score every shipment with a saved model (latest unless pinned)."""
     tune_for_skew(spark)
     model = mdl.load_model(spark, name, version, root)
-    feats = spark.table(_name(db, FEATURES_TABLE)).distinct()
+    feats = sinks.read(spark, _name(db, FEATURES_TABLE)).distinct()
     out = inf.predictions(tables, inf.model_scorer(model), features=feats)
     target = _name(db, PREDICTIONS_TABLE)
     sinks.overwrite_growing(out, target)

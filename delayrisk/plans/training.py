@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ID
-from ..operators import forest
+from ..operators import forest, impute
 from ..operators import labels as lab
 from ..operators import model as mdl
+from ..operators.bag import descriptions, factorised, repeated
 from ..session import ensure_checkpoint_dir
 from ..staging import global_rank, stage
 from .feature_table import feature_table
@@ -97,19 +98,17 @@ def encode_description(tables) -> DataFrame:
     Descriptions are indexed by frequency, ties by text, as an indexer does;
     the one-hot vector is the pair (size, hot): ``size`` one less than the
     number of descriptions, ``hot`` the index, null for the last (all zeros).
-    Counts are ranked by range and joined back; nothing but their number
+    Descriptions are counted and indexed in the factorised bag, by the rows that hold them,
+    and repeated last.  Counts are ranked by range and joined back; nothing but their number
     reaches the driver, and AQE can split a frequent description's rows.
     """
-    from ..operators import features as feat
-    from ..operators import impute
-
-    bag = stage(impute.fill_category(feat.feature_join(tables), "item_description")
-                .select(ID, "item_description"), "descriptions")
-    counts = bag.groupBy("item_description").agg(F.count(F.lit(1)).alias("n"))
+    found = descriptions(factorised(tables))
+    found = stage(impute.fill_category(found, "item_description"), "descriptions")
+    counts = found.groupBy("item_description").agg(F.sum("rows").alias("n"))
     ranked = global_rank(counts, [F.col("n").desc(), F.col("item_description")], "place")
     size = ranked.count() - 1
     at = F.col("place")
     index = ranked.select("item_description", at.cast("double").alias("item_description_index"),
                           F.lit(size).cast("long").alias("item_description_size"),
                           F.when(at < size, at).alias("item_description_hot"))
-    return bag.join(index, "item_description").select(ID, *index.columns)
+    return repeated(found.join(index, "item_description").select(ID, *index.columns, "rows"), "rows")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import ID
 from .functions import risk as R
-from .operators import enrich, forest, impute, mart, profile
+from .operators import bag, enrich, forest, impute, mart, profile
 from .operators import features as feat
 from .operators import labels as lab
 from .operators import model as mdl
@@ -217,7 +217,7 @@ def q_fill_constants(spark, sf_dir):
     "select * exclude (distance_km), coalesce(distance_km, (select quantile_disc(distance_km, 0.5)"
     " from bag where distance_km is not null and not isnan(distance_km))) as distance_km from bag"))
 def q_median_fill(spark, sf_dir):
-    return impute.fill_median(feat.feature_join(fx(spark, sf_dir)), "distance_km", error=0.0)
+    return bag.fill_median(bag.factorised(fx(spark, sf_dir)))
 
 
 @register("null_profile", _fsql(
@@ -226,7 +226,7 @@ def q_median_fill(spark, sf_dir):
                                     "total_weight", "hazardous_material_flag", "margin_value",
                                     "item_description")) + " from bag"))
 def q_null_profile(spark, sf_dir):
-    return profile.null_profile(feat.feature_join(fx(spark, sf_dir)))
+    return bag.null_profile(bag.factorised(fx(spark, sf_dir)))
 
 
 @register("unique_masterbills", _fsql(

@@ -1,14 +1,17 @@
 """Table writes.
 
 Plain Spark tables have no MERGE and ignore ``mergeSchema`` on overwrite
-(ledger L14), so every write is "build the new contents, write them to a
-staging table, swap names", with recovery of a swap that stopped half-way.
-Spark cannot overwrite a table while the same job reads it; the staging table
-avoids that and leaves the old table intact until the new one is complete.
+(ledger L14), so every write is "build the new contents whole, then show them".
+A written name is a view, the pointer, over a version table of its own.  New rows go to a new version;
+one catalog statement moves the pointer.  Readers therefore find the old or the new
+rows at any time, and a job that resolved the name before the move reads on from the
+version it found, which is dropped only by the write after next.
 """
 
 from __future__ import annotations
 
+import re
+import time
 import uuid
 from collections.abc import Sequence
 
@@ -16,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..staging import stage
+
 
 def _exists(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name)
@@ -31,47 +36,70 @@ def _write_new(df: DataFrame, name: str, bucket_by: Sequence[str] | None = None,
     w.saveAsTable(name)
 
 
+def _versions(spark: SparkSession, name: str) -> list[str]:
+    """The version tables of ``name``, oldest first; a version is listed only once its rows are complete."""
+    *db, table = name.split(".")
+    place = f" IN {'.'.join(db)}" if db else ""
+    shown = [r["tableName"] for r in spark.sql(f"SHOW TABLES{place} LIKE '{table}_v_*'").collect()]
+    mine = sorted(t for t in shown if re.fullmatch(rf"{re.escape(table.lower())}_v_\d{{20}}_[0-9a-f]{{8}}", t))
+    return [".".join([*db, t]) for t in mine]
+
+
+def _new_version(name: str, at: int | None = None) -> str:
+    return f"{name}_v_{time.time_ns() if at is None else at:020d}_{uuid.uuid4().hex[:8]}"
+
+
+def _pointer(spark: SparkSession, name: str) -> str | None:
+    """What the view ``name`` selects from; None if it is a plain table."""
+    for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect():
+        if r["col_name"] == "View Text":
+            return r["data_type"].rpartition(" ")[2]
+    return None
+
+
+def _point(spark: SparkSession, name: str, version: str) -> None:
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {version}")
+
+
 def recover(spark: SparkSession, name: str) -> None:
-    """Finish or undo a swap that stopped half-way; call before reading or replacing ``name``.
+    """Bring back a name that a stopped write left without rows to show.
 
-    The table is missing only between the two renames, when both the old and
-    the new rows are complete: the new ones take its place.  Without them the
-    old ones come back.  The old rows are dropped only once the table is there.
+    That can be only where a plain table, not yet behind a pointer, was being replaced: its rows are a version then, and so are the new ones.
     """
-    ready, old = f"{name}__ready", f"{name}__old"
     if not _exists(spark, name):
-        for kept in (ready, old):
-            if _exists(spark, kept):
-                spark.sql(f"ALTER TABLE {kept} RENAME TO {name}")
-                break
-    if _exists(spark, name):
-        for left in (ready, old):
-            spark.sql(f"DROP TABLE IF EXISTS {left}")
+        found = _versions(spark, name)
+        if found:
+            _point(spark, name, found[-1])
+
+
+def read(spark: SparkSession, name: str) -> DataFrame:
+    """The rows of ``name``, also after a write that stopped."""
+    recover(spark, name)
+    return spark.table(name)
 
 
 def replace(df: DataFrame, name: str, **layout) -> None:
-    """Replace the table by ``df``, which may read it, in one staged swap.
+    """Show ``df``, which may read ``name``, as the rows of ``name``.
 
-    The rows are written whole under a name of their own and renamed to
-    ``__ready`` when complete; then the old table is renamed aside, the new
-    one into place, and the old one dropped.  Whatever step fails, the old or
-    the new rows are whole, and ``recover`` puts them in place.
+    Whatever step fails, ``name`` shows the old or the new rows whole.  The version shown before stays for those who read it.
     """
     spark = df.sparkSession
-    staging, ready, old = f"{name}__{uuid.uuid4().hex[:12]}", f"{name}__ready", f"{name}__old"
     recover(spark, name)
+    version = _new_version(name)
     try:
-        _write_new(df, staging, **layout)
+        _write_new(df, version, **layout)
     except Exception:
-        spark.sql(f"DROP TABLE IF EXISTS {staging}")
+        spark.sql(f"DROP TABLE IF EXISTS {version}")
         raise
-    if not _exists(spark, name):
-        spark.sql(f"ALTER TABLE {staging} RENAME TO {name}")
-        return
-    spark.sql(f"ALTER TABLE {staging} RENAME TO {ready}")
-    spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
-    spark.sql(f"ALTER TABLE {ready} RENAME TO {name}")
-    spark.sql(f"DROP TABLE IF EXISTS {old}")
+    before = _pointer(spark, name) if _exists(spark, name) else None
+    if before is None and _exists(spark, name):
+        # A plain table, written by others: from now on it is the oldest version.
+        before = _new_version(name, 0)
+        spark.sql(f"ALTER TABLE {name} RENAME TO {before}")
+    _point(spark, name, version)
+    for v in _versions(spark, name):
+        if v not in (version.lower(), str(before).lower()):
+            spark.sql(f"DROP TABLE IF EXISTS {v}")
 
 
 def overwrite(df: DataFrame, name: str, bucket_by: Sequence[str] | None = None,
@@ -148,6 +176,7 @@ def merge_into(new: DataFrame, name: str, keys: Sequence[str], bucketed: bool =
     """
     spark = new.sparkSession
     recover(spark, name)
+    new = stage(new, "merge")  # the rows that are checked are the rows that are written
     assert_unique(new, keys)
     rows = upsert(spark.table(name), new, keys) if _exists(spark, name) else new
     overwrite(rows, name, bucket_by=list(keys) if bucketed else None)

@@ -24,7 +24,7 @@ def no_broadcast_no_aqe(spark):
 
 
 def test_dead_drop_event_join_removed(spark, no_broadcast_no_aqe):
-    plan = _plan(spark, "feature_table")
+    plan = _plan(spark, "feature_join")
     # the never-read drop-event part is pruned with its join and its scan
     assert "events.parquet" not in plan
     # left joins: the three one-row parts in the chain, and the flags inside
@@ -64,9 +64,13 @@ def catalog_tables(spark):
     return Tables.from_catalog(spark, schema="silver")
 
 
-def test_filters_and_columns_reach_the_scan(spark, catalog_tables):
+def test_filters_and_columns_reach_the_scan(spark, catalog_tables, monkeypatch):
+    from delayrisk.operators import bag
     from delayrisk.plans.feature_table import feature_table
-    plan = feature_table(catalog_tables)._jdf.queryExecution().executedPlan().toString()
+    staged, real = [], bag.stage
+    monkeypatch.setattr(bag, "stage", lambda df, label: staged.append(df) or real(df, label))
+    last = feature_table(catalog_tables)  # what it stages has the scans
+    plan = "\n".join(df._jdf.queryExecution().executedPlan().toString() for df in (*staged, last))
     assert "EqualTo(weight_type,actual)" in plan
     assert "EqualTo(margin_type,CurrentMargin)" in plan
     scans = [ln for ln in plan.split("\n") if "FileScan" in ln]
