@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -117,11 +117,11 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size:
     heads = (rows.join(named.select("f", "root"), "f")
              .groupBy("root").agg(F.min(F.struct(none.alias("n"), some.alias("i"), F.col("h"))).alias("s"))
              .select("s.*"))
-    keys = [fresh(docs, k) for k in ("none", "some", "hash", "copy")]
+    keys = [fresh(docs, k) for k in ("none", "some", "hash")]
+    row = fresh(docs, "row")
     c = F.col(id_col)
-    marked = (docs.withColumn(keys[0], c.isNull()).withColumn(keys[2], F.xxhash64(text))
-              .withColumn(keys[1], F.coalesce(c, F.lit(0).cast(docs.schema[id_col].dataType))))
-    heads = heads.toDF(keys[0], keys[1], keys[2])
-    at = Window.partitionBy(*keys[:3]).orderBy(keys[2])
-    return (marked.join(heads, keys[:3], "left_semi").withColumn(keys[3], F.row_number().over(at))
-            .filter(F.col(keys[3]) == 1).select(*docs.columns))
+    marked = docs.select(c.isNull().alias(keys[0]), F.coalesce(c, F.lit(0).cast(docs.schema[id_col].dataType)).alias(keys[1]),
+                         F.xxhash64(text).alias(keys[2]), F.struct(*docs.columns).alias(row))
+    # Rows alike fold to one before texts are dealt, once; what they meet is as dealt and sorted already.
+    folded = marked.groupBy(*keys).agg(F.first(row).alias(row))
+    return folded.join(stage(heads.toDF(*keys), "heads"), keys, "left_semi").select(f"{row}.*")

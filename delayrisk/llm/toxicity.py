@@ -16,7 +16,8 @@ counted in Spark on 64-bit hashes of the words; a fixed bitmap of the labelled
 ids keeps other texts out of the shuffle.  To the driver come only words and
 pairs above the discount in a class: all others have the same probability in
 both classes.  Every text of the input is scored whole, in one map over the
-documents, without any shuffle.
+documents, without any shuffle.  The model knows words by 64-bit hashes in
+sorted arrays, so a worker holds no dictionary of it.
 
 Defined cases: a null or empty text, or one without any word, has ratio zero
 and gets the curve's value there; a curve without slope gives every text the share of toxic labels; a null id is scored like any other; labels
@@ -27,14 +28,12 @@ scored each.  An id labelled twice counts under its largest label.
 
 from __future__ import annotations
 
-import hashlib
-import math
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -42,7 +41,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import arrow_map, fresh
 
 WORDS = re.compile(r"[^\W_]+")
-BLOCK = 1 << 16  # words of a text that are scored at once
+BLOCK = 1 << 17  # words that are scored at once
+PART = 1 << 20   # words whose repeated n-grams are dropped before the shuffle
 BITS = 1 << 26   # of the bitmap of labelled ids; more ids only let more texts through to the join
 
 
@@ -50,11 +50,16 @@ def words(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
+def hashes(ws) -> np.ndarray:
+    """Signed 64-bit hashes of words."""
+    return np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in ws], np.uint64).view(np.int64)
+
+
 @dataclass
 class Counts:
     """Per-class n-gram counts of the labelled texts."""
 
-    vocab: list[str]                 # words above the discount in a class, or in a pair that is
+    vocab: np.ndarray                # sorted hashes of words above the discount in a class, or in a pair that is
     uni: np.ndarray                  # (2, V) distinct left neighbours, per class
     rest: np.ndarray                 # (2,) the same of all other words together
     hist: np.ndarray                 # (2, V) sum of the counts of pairs that begin with the word
@@ -66,53 +71,79 @@ class Counts:
 class Model:
     """Log-ratio tables of words and pairs above the discounts, small enough to broadcast."""
 
-    vocab: list[str]
+    vocab: np.ndarray                # sorted hashes
     p: np.ndarray                    # (2, V + 1) unigram level, last: any other word
     back: np.ndarray                 # (2, V + 1) weight of the unigram level after a word
     pair: np.ndarray
     pair_p: np.ndarray               # (2, P) discounted pair probability
     curve: tuple[float, ...] = (0.0, 0.0, 0.0)
     constant: float | None = None
-    index: dict = field(default_factory=dict, repr=False)
 
-    def __getstate__(self):
-        return {**self.__dict__, "index": {}}
+    def _evidence(self, ws: list[str]) -> np.ndarray:
+        """log P(word | toxic) - log P(word | ordinary) of each word but the first, after the one before it."""
+        index: dict = {}
+        at = np.array([index.setdefault(w, len(index)) for w in ws], np.int64)
+        h, none = hashes(index), len(self.vocab)
+        place = np.searchsorted(self.vocab, h)
+        known = place < none
+        known[known] = self.vocab[place[known]] == h[known]
+        w = np.where(known, place, none)[at]
+        left, right = w[:-1], w[1:]
+        q = self.back[:, left] * self.p[:, right]
+        if len(self.pair):
+            key = left * (none + 1) + right
+            pos = np.searchsorted(self.pair, key)
+            pos[pos == len(self.pair)] = 0
+            hit = self.pair[pos] == key
+            q[:, hit] += self.pair_p[:, pos[hit]]
+        return np.log(q[0] / q[1])
+
+    def ratios(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Per text: the sum of its words' evidence, and the number of words."""
+        total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        block, owner = [], []
+
+        def flush():
+            # Every stretch begins with the word before it, which is evidence for no text (the last owner).
+            got = np.bincount(np.repeat(*np.array(owner).T)[1:], self._evidence(block), len(texts) + 1)
+            total[:] += got[:-1]
+            block.clear(), owner.clear()
+        for k, t in enumerate(texts):
+            ws = words(t)
+            n[k] = len(ws)
+            for at in range(0, len(ws), BLOCK):
+                part = ws[at:at + BLOCK]
+                block.append(ws[at - 1] if at else "")
+                block.extend(part)
+                owner.extend(((len(texts), 1), (k, len(part))))
+                if len(block) >= BLOCK:
+                    flush()
+        if block:
+            flush()
+        return total, n
 
     def ratio(self, text: str | None) -> tuple[float, int]:
-        """Sum of log P(word | toxic) - log P(word | ordinary), and the number of words."""
-        if not self.index and self.vocab:
-            self.index = {w: i for i, w in enumerate(self.vocab)}
-        ws, none = words(text), len(self.vocab)
-        total, prev = 0.0, none
-        for at in range(0, len(ws), BLOCK):
-            w = np.array([self.index.get(x, none) for x in ws[at:at + BLOCK]], np.int64)
-            v = np.concatenate(([prev], w[:-1]))
-            prev = int(w[-1])
-            q = self.back[:, v] * self.p[:, w]
-            if len(self.pair):
-                key = v * (none + 1) + w
-                pos = np.searchsorted(self.pair, key)
-                pos[pos == len(self.pair)] = 0
-                hit = self.pair[pos] == key
-                q[:, hit] += self.pair_p[:, pos[hit]]
-            total += float(np.log(q[0] / q[1]).sum())
-        return total, len(ws)
+        total, n = self.ratios([text])
+        return float(total[0]), int(n[0])
 
-    def score(self, text: str | None) -> float:
+    def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.constant is not None:
-            return self.constant
+            return np.full(len(texts), self.constant)
         a, b, c = self.curve
-        x, y = features(*self.ratio(text))
-        return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, a + b * x + c * y))))
+        x, y = features(*self.ratios(texts))
+        return 1 / (1 + np.exp(-np.clip(a + b * x + c * y, -30, 30)))
+
+    def score(self, text: str | None) -> float:
+        return float(self.scores([text])[0])
 
 
 #: Neutral words added to every text's length, so that one word does not decide about a short text.
 NEUTRAL = 20
 
 
-def features(total: float, n: int) -> tuple[float, float]:
+def features(total, n):
     """The ratio per word, and per square root of words, both within [-1, 1] after scaling."""
-    return math.tanh(4 * total / (n + NEUTRAL)), math.tanh(total / math.sqrt(n + NEUTRAL) / 4)
+    return np.tanh(4 * total / (n + NEUTRAL)), np.tanh(total / np.sqrt(n + NEUTRAL) / 4)
 
 
 def kneser_ney(c: Counts, discount: float, pair_discount: float, toxic_share: float) -> Model:
@@ -175,58 +206,41 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
     return tuple(float(t) for t in out)
 
 
-def _hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
 def _triples(batches):
-    """Per part of a batch: the distinct (left, word, word before and class); '' stands before a text's first word."""
+    """Per ``PART`` words: the distinct (left, word, word before and class); '' stands before a text's first word."""
+    index, rows, size = {"": 0}, [], 0
+
+    def flush():
+        n, h = len(index), hashes(index)
+        u, a, b = (np.concatenate(x).astype(np.int64) for x in zip(*rows))
+        # Three places below 2^20 + 3 and the class fit in 63 bits; rows with one left word come together.
+        key, before = np.divmod(np.unique((a * n + b) * (2 * n) + u), 2 * n)
+        index.clear(), rows.clear()
+        index[""] = 0
+        # 47 bits tell the words before one pair apart.
+        return pa.RecordBatch.from_arrays(
+            [pa.array(h[key // n]), pa.array(h[key % n]),
+             pa.array(((h[before >> 1] & ((1 << 47) - 1)) << 1) | (before & 1))], names=["a", "b", "u"])
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            index: dict = {"": 0}
-            u, a, b, y = [], [], [], []
-            for label, t in zip(part.column("y").to_pylist(), part.column("t").to_pylist()):
-                ws = [index.setdefault(w, len(index)) for w in words(t)]
-                u += ([0, 0] + ws)[:len(ws)]
-                a += ([0] + ws)[:len(ws)]
-                b += ws
-                y += [label] * len(ws)
-            if not b:
-                continue
-            got = pd.DataFrame({"a": a, "b": b, "u": np.array(u, np.int64) * 2 + np.array(y, np.int64)}).drop_duplicates()
-            h = np.array([_hash(w) for w in index], np.int64)
-            before = got["u"].to_numpy()
-            # 47 bits tell the words before one pair apart.
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[got["a"].to_numpy()]), pa.array(h[got["b"].to_numpy()]),
-                 pa.array(((h[before >> 1] & ((1 << 47) - 1)) << 1) | (before & 1))], names=["a", "b", "u"])
-
-
-def _spelled(texts: DataFrame, hashes: np.ndarray) -> dict[int, str]:
-    """The words of ``texts`` (column t) whose hash is in ``hashes``, by hash."""
-    wanted = texts.sparkSession.sparkContext.broadcast(set(hashes.tolist()))
-
-    def apply(batches):
-        seen: set = set()
-        for batch in batches:
-            for t in batch.column("t").to_pylist():
-                seen.update(words(t))
-            if len(seen) > 1 << 17:
-                yield spell(seen)
-                seen = set()
-        yield spell(seen)
-
-    def spell(seen):
-        found = [(h, w) for w in seen if (h := _hash(w)) in wanted.value]
-        return pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([w for _, w in found], pa.string())],
-                                          names=["h", "w"])
-    return dict(arrow_map(texts, apply, "h long, w string").distinct().toPandas().itertuples(index=False, name=None))
-
-
-def count(sample: DataFrame, discount: float, pair_discount: float, texts: DataFrame | None = None) -> Counts:
+        for label, t in zip(batch.column("y").to_pylist(), batch.column("t")):
+            ws, at = ["", "", *words(t.as_py())], 0
+            while at < len(ws) - 2:
+                ids = np.array([index.setdefault(w, len(index)) for w in ws[at:at + 2 + PART - size]], np.int32)
+                rows.append((ids[:-2] * 2 + label, ids[1:-1], ids[2:]))
+                at += len(ids) - 2
+                size += len(ids) - 2
+                if size == PART:
+                    yield flush()
+                    size = 0
+    if rows:
+        yield flush()
+
+
+def count(sample: DataFrame, discount: float, pair_discount: float) -> Counts:
     """Count n-grams of the whole ``sample`` (columns y, t) in Spark; what comes back are counts of words
-    and pairs above the discounts.  ``texts`` (column t) holds the sample's texts, maybe among others."""
+    and pairs above the discounts."""
+    import pandas as pd
+
     has = lambda c: F.sum(c.cast("long"))
     toxic = F.col("u").bitwiseAND(F.lit(1).cast("long")) == 1
     # One exchange: what is dealt by pair needs no other to drop repeats and to count by pair.
@@ -238,23 +252,21 @@ def count(sample: DataFrame, discount: float, pair_discount: float, texts: DataF
         pd.DataFrame({"k": np.unique(h)}).astype("int64"), "k long"))
     uni = (pairs.groupBy("b").agg(has(F.col("t") > 0).alias("t"), has(F.col("o") > 0).alias("o"))
            .join(listed(kept[["a", "b"]].to_numpy(np.int64)).withColumn("paired", F.lit(True)), F.col("b") == F.col("k"), "left")
-           .filter((F.col("t") > discount) | (F.col("o") > discount) | F.col("paired")).select("b", "t", "o").toPandas())
+           .filter((F.col("t") > discount) | (F.col("o") > discount) | F.col("paired")).select("b", "t", "o")
+           .toPandas().sort_values("b"))
     sums = (pairs.join(listed(kept["a"].to_numpy(np.int64)), F.col("a") == F.col("k"), "left_semi")
             .groupBy("a").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).toPandas())
     pairs.unpersist()
-    spelled = _spelled(sample.select("t") if texts is None else texts, uni["b"].to_numpy(np.int64))
-    uni["w"] = uni["b"].map(spelled)
-    uni = uni.sort_values("w", ignore_index=True)
-    index = dict(zip(uni["b"].tolist(), range(len(uni))))
-    v = len(uni)
+    vocab = uni["b"].to_numpy(np.int64)
+    v = len(vocab)
     hist = np.zeros((2, v), np.int64)
-    kept = kept[kept["a"].isin(index) & kept["b"].isin(index)]       # '' is no word
-    sums = sums[sums["a"].isin(index)]
-    hist[:, sums["a"].map(index).to_numpy(np.int64)] = sums[["t", "o"]].to_numpy(np.int64).T
-    key = kept["a"].map(index).to_numpy(np.int64) * (v + 1) + kept["b"].map(index).to_numpy(np.int64)
+    kept, sums = kept[kept["a"].isin(vocab)], sums[sums["a"].isin(vocab)]       # '' is no word
+    at = lambda h: np.searchsorted(vocab, h.to_numpy(np.int64))
+    hist[:, at(sums["a"])] = sums[["t", "o"]].to_numpy(np.int64).T
+    key = at(kept["a"]) * (v + 1) + at(kept["b"])
     order = np.argsort(key)
     own = uni[["t", "o"]].to_numpy(np.float64).T.reshape(2, v)
-    return Counts(uni["w"].tolist(), own, np.maximum(total - own.sum(1), 1.0), hist,
+    return Counts(vocab, own, np.maximum(total - own.sum(1), 1.0), hist,
                   key[order], kept[["t", "o"]].to_numpy(np.int64)[order].T.reshape(2, len(key)))
 
 
@@ -290,14 +302,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
             .withColumn("h", F.xxhash64("i", F.lit(seed))))
     shares = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     if len(shares) < 2:
-        return Model([], np.ones((2, 1)), np.ones((2, 1)), np.zeros(0, np.int64), np.zeros((2, 0)),
+        return Model(np.zeros(0, np.int64), np.ones((2, 1)), np.ones((2, 1)), np.zeros(0, np.int64), np.zeros((2, 0)),
                      constant=float(next(iter(shares), 0)))
     # A quarter of the ids, by hash, is for the curve and gives no counts.
     curve = F.pmod("h", F.lit(4)) == 0
     texts = docs.select(F.col(id_col).cast(rows.schema["i"].dataType).alias("i"), F.col(text).alias("t"))
     counted = rows.filter(~curve).select("i", "y")
     labelled = _labelled(texts, counted)
-    model = kneser_ney(count(labelled.join(counted, "i").select("y", "t"), discount, pair_discount, labelled.select("t")),
+    model = kneser_ney(count(labelled.join(counted, "i").select("y", "t"), discount, pair_discount),
                        discount, pair_discount, toxic_share)
     # At most max_rows ids: bounded, so every executor can hold them.
     picked = F.broadcast(rows.filter(curve).orderBy("h", "i").limit(max_rows).select("i", "y"))
@@ -305,9 +317,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
 
     def ratios(batches):
         for b in batches:
-            xs = [features(*weights.value.ratio(t)) for t in b.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([x[0] for x in xs], pa.float64()),
-                                              pa.array([x[1] for x in xs], pa.float64())], names=["y", "a", "b"])
+            x = features(*weights.value.ratios(b.column("t").to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column("y"), *map(pa.array, x)], names=["y", "a", "b"])
     seen = arrow_map(texts.join(picked, "i").select("y", "t"), ratios, "y int, a double, b double").toPandas()
     seen = seen.sort_values(["y", "a", "b"])
     if seen["y"].nunique() < 2:
@@ -327,6 +338,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     def apply(batches):
         m = weights.value
         for b in batches:
-            s = pa.array([m.score(t) for t in b.column(text).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, s], names=[*b.schema.names, name])
+            # 256 texts at a time, so that few are held as Python's.
+            s = [m.scores(b.column(text).slice(at, 256).to_pylist()) for at in range(0, b.num_rows, 256)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([np.zeros(0), *s]))], names=[*b.schema.names, name])
     return arrow_map(docs, apply, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
