@@ -8,7 +8,8 @@ readers split files by stripe and skip stripes and row groups by that metadata.
 
 The vocabulary's library encodes.  Its splitter starts a new word at a blank that has
 other characters than white space on both sides, and its merges never cross words, so each
-piece between such blanks is encoded once per worker and kept in a cache of fixed size.  A
+piece between such blanks is encoded once per worker and kept in a cache of fixed size;
+Arrow splits texts and tells their pieces apart, and ids are gathered by place.  A
 run of white space is never cut; texts with an added token go through the library whole.
 
 Defined cases: a null or empty text has the end id alone; null ids come first;
@@ -25,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
@@ -33,6 +35,8 @@ from .common import arrow_map, scratch, stage, width
 
 PIECES = 1_200_000       # pieces a worker keeps
 LONG = 256             # characters beyond which a piece is not kept
+IDS = 1 << 24          # ids a worker keeps
+SLICE = 2 << 20        # bytes of text whose pieces are told apart at once
 ROWS_PER_INDEX = 1000
 STRIPE_BYTES = 16 << 20
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -40,12 +44,14 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def cut(text: str) -> list[str]:
-    """The pieces of a text between blanks without white space beside them."""
-    if text[:1] != " " and text[-1:] != " " and not any(
-            s in text and (" " + s in text or s + " " in text) for s in SPACES):
-        return text.split(" ")
-    return CUT.split(text)
+#: Texts with a blank at an end or beside other white space are cut by CUT, all others at every blank.
+MIXED = f"^ | $| [{SPACES}]|[{SPACES}] "
+
+
+def gather(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` that begin at ``first`` and are ``size`` long, put together."""
+    before = np.cumsum(size) - size
+    return values[np.repeat(first - before, size) + np.arange(size.sum())]
 
 
 class PieceEncoder:
@@ -63,7 +69,43 @@ class PieceEncoder:
         self.size = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, i in vocabulary.items():
             self.size[i] = len(token)         # byte-level vocabularies write a byte as one letter
-        self.kept: dict[str, bytes] = {}
+        self.special = "|".join([MIXED, *(re.escape(a) for a in self.added)])
+        self._clear()
+
+    def _clear(self) -> None:
+        self.first: dict[str, int] = {}       # places of pieces that begin a text
+        self.rest: dict[str, int] = {}        # places of pieces after a blank
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.at = np.zeros(1 << 14, np.int64)   # where the ids of a place begin, and behind the last one where they end
+        self.places = 0
+
+    def _store(self, new: list[bytes]) -> int:
+        """Keep the ids of new pieces; the first one's place."""
+        ids, size = np.frombuffer(b"".join(new), "<u4"), np.array([len(x) // 4 for x in new], np.int64)
+        used, first = int(self.at[self.places]), self.places
+        if used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(max(len(ids), used), np.uint32)))
+        if first + len(new) >= len(self.at):
+            self.at = np.concatenate((self.at, np.zeros(max(len(new) + 1, first), np.int64)))
+        self.ids[used:used + len(ids)] = ids
+        self.at[first + 1:first + 1 + len(new)] = used + np.cumsum(size)
+        self.places += len(new)
+        return first
+
+    def _placed(self, kept: dict[str, int], pieces: pa.Array, encode) -> np.ndarray:
+        """The place of every piece; those not kept yet are encoded together."""
+        told = pieces.dictionary_encode()
+        told = told.combine_chunks() if isinstance(told, pa.ChunkedArray) else told
+        distinct = told.dictionary.to_pylist()
+        places = list(map(kept.get, distinct))
+        missing = [k for k, x in enumerate(places) if x is None]
+        if missing:
+            first = self._store(encode([distinct[k] for k in missing]))
+            for place, k in enumerate(missing, first):
+                places[k] = place
+                if len(distinct[k]) <= LONG:
+                    kept[distinct[k]] = place
+        return np.array(places, np.int64)[told.indices.to_numpy(zero_copy_only=False)]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -83,27 +125,45 @@ class PieceEncoder:
             out += [data[4 * a:4 * z] for a, z in zip([0, *ends.tolist()], ends.tolist())]
         return out
 
+    def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray | None]:
+        """All pieces, their number per text, and the order of the texts (None: as given)."""
+        special = pc.match_substring_regex(texts, self.special)
+        plain = pc.split_pattern(texts.filter(pc.invert(special)), " ")
+        pieces, size = plain.flatten(), pc.list_value_length(plain).to_numpy(zero_copy_only=False)
+        apart = np.flatnonzero(special.to_numpy(zero_copy_only=False))
+        if not len(apart):
+            return pieces, size, None
+        more = [[t] if any(a in t for a in self.added) else CUT.split(t) for t in texts.take(pa.array(apart)).to_pylist()]
+        pieces = pa.concat_arrays([pieces, pa.array([p for ps in more for p in ps], pieces.type)])
+        order = np.concatenate((np.setdiff1d(np.arange(len(texts)), apart), apart))
+        return pieces, np.concatenate((size, [len(ps) for ps in more])), order
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (none of them null), and their number per text."""
+        if len(self.first) + len(self.rest) > PIECES or self.at[self.places] > IDS:
+            self._clear()
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        pieces, size, order = self._cut(texts)
+        ends = np.cumsum(size)
+        begins = np.zeros(len(pieces), bool)
+        begins[ends - size] = True
+        place = np.empty(len(pieces), np.int64)
+        # First pieces have no blank before them, and some texts can't be cut.
+        place[begins] = self._placed(self.first, pieces.filter(pa.array(begins)), self._library)
+        place[~begins] = self._placed(self.rest, pieces.filter(pa.array(~begins)), self._spaced)
+        first, n = self.at[place], self.at[place + 1] - self.at[place]
+        ids, n = gather(self.ids, first, n), np.add.reduceat(n, ends - size)
+        if order is None:
+            return ids, n
+        back = np.argsort(order)
+        return gather(ids, (np.cumsum(n) - n)[back], n[back]), n[back]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.kept) > PIECES:
-            self.kept.clear()
-        firsts, rests, gaps, new = [], [], [], {}
-        for t in texts:
-            pieces = [t] if any(a in t for a in self.added) else cut(t)
-            firsts.append(pieces[0])
-            ids = list(map(self.kept.get, pieces[1:]))
-            if None in ids:
-                missing = [(k, p) for k, (p, x) in enumerate(zip(pieces[1:], ids)) if x is None]
-                new.update((p, None) for _, p in missing)
-                gaps.append((ids, missing))
-            rests.append(ids)
-        found = dict(zip(new, self._spaced(list(new))))
-        for ids, missing in gaps:
-            for k, p in missing:
-                ids[k] = found[p]
-        self.kept.update((p, x) for p, x in found.items() if len(p) <= LONG)
-        # First pieces have no blank before them, and some texts can't be cut.
-        return [first + b"".join(ids) for first, ids in zip(self._library(firsts), rests)]
+        ids, n = self.encode_array(pa.array(texts, pa.string()))
+        ends, data = np.cumsum(n), ids.astype("<u4").tobytes()
+        return [data[4 * a:4 * z] for a, z in zip((ends - n).tolist(), ends.tolist())]
 
 
 @lru_cache(maxsize=2)
@@ -122,19 +182,21 @@ def write(docs: DataFrame, folder: str, vocabulary: str, text: str = "text", id_
     order = [F.col(id_col).asc_nulls_first(), F.xxhash64("t")]
     rows = (rows.repartitionByRange(width(docs), *order).sortWithinPartitions(*order)
             .withColumn("place", F.monotonically_increasing_id()))
-    end = np.array([end_id], "<u4").tobytes()
 
     def apply(batches):
         e = encoder(vocabulary)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                got = [x + end for x in e.encode([t or "" for t in part.column("t").to_pylist()])]
-                ends = np.cumsum([0] + [len(x) // 4 for x in got]).astype(np.int32)
-                flat = np.frombuffer(b"".join(got), "<u4").astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(id_col), part.column("place"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    names=[id_col, "place", "ids"])
+            t = pc.fill_null(b.column("t"), "")
+            # A slice ends where the texts pass the next multiple of its size.
+            passed = np.cumsum(pc.binary_length(t).to_numpy(zero_copy_only=False), dtype=np.int64) // SLICE
+            cuts = [0, *(np.flatnonzero(np.diff(passed)) + 1).tolist(), b.num_rows]
+            for at, to in zip(cuts, cuts[1:]):
+                part = b.slice(at, to - at)
+                ids, n = e.encode_array(t.slice(at, to - at))
+                ends = np.cumsum(n)
+                ids = np.insert(ids.view(np.int32), ends, end_id)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends + np.arange(1, len(n) + 1)).astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([part.column(id_col), part.column("place"), lists], names=[id_col, "place", "ids"])
     schema = StructType([docs.schema[id_col], StructField("place", LongType()), StructField("ids", ArrayType(IntegerType()))])
     (arrow_map(rows, apply, schema).write
      .option("orc.bloom.filter.columns", id_col).option("orc.bloom.filter.fpp", "0.01")
