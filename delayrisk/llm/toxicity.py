@@ -42,7 +42,7 @@ from .common import arrow_map, fresh
 
 WORDS = re.compile(r"[^\W_]+")
 BLOCK = 1 << 17  # words that are scored at once
-PART = 1 << 20   # words whose repeated n-grams are dropped before the shuffle
+PART = 1 << 18   # words whose repeated n-grams are dropped before the shuffle
 BITS = 1 << 26   # of the bitmap of labelled ids; more ids only let more texts through to the join
 
 
@@ -213,7 +213,7 @@ def _triples(batches):
     def flush():
         n, h = len(index), hashes(index)
         u, a, b = (np.concatenate(x).astype(np.int64) for x in zip(*rows))
-        # Three places below 2^20 + 3 and the class fit in 63 bits; rows with one left word come together.
+        # Three places below 2^18 + 3 and the class fit in 63 bits; rows with one left word come together.
         key, before = np.divmod(np.unique((a * n + b) * (2 * n) + u), 2 * n)
         index.clear(), rows.clear()
         index[""] = 0
