@@ -24,7 +24,7 @@ from .plans import feature_table as ft
 from .plans import inference as inf
 from .plans import oracle as O
 from .plans import training as tr
-from .session import tune_for_skew
+from .session import tune_for_size, tune_for_skew
 from .sources import sinks
 from .sources.catalog import INPUT_TABLES, Tables, use_namespace
 from .staging import scratch, stage
@@ -45,6 +45,7 @@ def register(name: str, sql: str | None = None):
 
 def fx(spark: SparkSession, sf_dir: str) -> Tables:
     tune_for_skew(spark)
+    tune_for_size(spark, sf_dir)
     return Tables.from_fixture(spark, sf_dir)
 
 

@@ -11,6 +11,7 @@ import os
 import tempfile
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -79,7 +80,8 @@ def session_key(spark: SparkSession) -> tuple:
 # measured sizes: the planner's estimate (compressed file bytes) is not a
 # bound on a side's in-memory size, so it is switched off, and AQE turns a
 # sort-merge join into a broadcast join when a side's shuffle output,
-# measured at run time, is under 32 MB.
+# measured at run time, is under 32 MB.  Files and shuffled parts are read 16 MB
+# at a time: a hash aggregate takes about ten times that in memory.
 SKEW_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -87,8 +89,14 @@ SKEW_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16MB",
+    "spark.sql.files.maxPartitionBytes": "16MB",
 }
 
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+#: Bytes of input files for each part that a shuffle starts with.
+PART_BYTES = 4 << 20
+
 
 def tune_for_skew(spark: SparkSession) -> None:
     """Apply ``SKEW_SETTINGS`` except where the launcher set a value."""
@@ -96,3 +104,22 @@ def tune_for_skew(spark: SparkSession) -> None:
     for key, value in SKEW_SETTINGS.items():
         if not launched.contains(key):
             spark.conf.set(key, value)
+
+
+def shuffle_width(spark: SparkSession) -> int:
+    """The number of parts that a shuffle starts with."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get(INITIAL_PARTITIONS, None) or 0))
+
+
+def tune_for_size(spark: SparkSession, path: str) -> None:
+    """Let shuffles start with parts in proportion to the Parquet files under ``path``, except where the launcher set a number.
+
+    AQE joins small parts but splits none below an aggregate, so with a fixed number of parts a task's memory
+    would grow with the input.  Only file lengths are read.
+    """
+    if spark.sparkContext.getConf().contains(INITIAL_PARTITIONS):
+        return
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .option("pathGlobFilter", "*.parquet").load(path))
+    size = files.agg(F.sum("length")).first()[0] or 0
+    spark.conf.set(INITIAL_PARTITIONS, str(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))))

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import ensure_checkpoint_dir
+from .session import ensure_checkpoint_dir, shuffle_width
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -41,7 +41,7 @@ def fresh(df: DataFrame, base: str) -> str:
 
 
 def width(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shuffle_width(df.sparkSession)
 
 
 def global_rank(df: DataFrame, order: list[Column], rank: str = "rank") -> DataFrame:
@@ -67,6 +67,6 @@ def global_rank(df: DataFrame, order: list[Column], rank: str = "rank") -> DataF
         return rows.withColumn(rank, F.col(at)).drop(part, at)
     first = fresh(df, "offset")
     starts = df.sparkSession.createDataFrame(list(offset.items()), f"{part} int, {first} long")
-    # One row per shuffle partition, so the broadcast side is bounded by that setting.
+    # One row per part, so the broadcast side is bounded by their number.
     return (rows.join(F.broadcast(starts), part)
             .withColumn(rank, F.col(at) + F.col(first)).drop(part, at, first))
