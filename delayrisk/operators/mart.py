@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from .. import ID
 from ..functions import risk as R
-from ..staging import global_rank
+from ..staging import fresh, global_rank
 
 # Fixed values of the reference: the mart's columns in display order and the page size.
 MART_SCHEMA = T.StructType([
@@ -166,12 +166,38 @@ def page_after(df: DataFrame, last=None, seen: int = 1, size: int = PAGE_SIZE, o
     ``last`` are not skipped; ``seen`` is how many rows alike ``last`` in
     the whole order have been shown (``cursor`` counts them).  The
     comparison of the leading column reaches the scan, and each task keeps
-    its first ``seen + size`` rows, so every page costs the same.
+    its first ``seen + size`` rows, so every page costs the same.  A page that
+    ends beyond ``TOP_ROWS`` rows would pass whole through one task, so it is
+    cut by position: rows that can be on it are dealt by range.
     """
     order = [c for c in order if c in df.columns]
-    if last is None:
-        return df.orderBy(*order).limit(size)
-    return df.filter(at_or_after(df, last, order)).orderBy(*order).offset(seen).limit(size)
+    rest, skip = (df, 0) if last is None else (df.filter(at_or_after(df, last, order)), seen)
+    if skip + size <= TOP_ROWS:
+        return rest.orderBy(*order).offset(skip).limit(size)
+    rank = fresh(df, "rank")
+    ranked = global_rank(_first(rest, order[0], skip + size), [F.col(c) for c in order], rank)
+    return ranked.filter((F.col(rank) >= skip) & (F.col(rank) < skip + size)).orderBy(rank).drop(rank)
+
+
+def _first(df: DataFrame, lead: str, n: int) -> DataFrame:
+    """At least the first ``n`` rows in an order led by column ``lead``, nulls first, and few more.
+
+    A quantile sketch proposes the largest value needed; it is used only if the rows up to it, counted, are enough.
+    """
+    if not isinstance(df.schema[lead].dataType, T.NumericType):
+        return df
+    v, grid = F.col(lead), 1000
+    head = df.agg(F.count(F.lit(1)).alias("n"), F.count(v).alias("known"),
+                  F.percentile_approx(v, F.array(*[F.lit(k / grid) for k in range(grid + 1)]), F.lit(10 * grid)).alias("p")).first()
+    missing = head["n"] - head["known"]
+    if n <= missing:
+        return df.filter(v.isNull())
+    if n >= head["n"]:
+        return df
+    # Two steps of the grid above the wanted rank: the sketch is off by a tenth of one.
+    high = head["p"][min(grid, (n - missing) * grid // head["known"] + 2)]
+    some = df.filter(v.isNull() | (v <= F.lit(high)))
+    return some if some.count() >= n else df
 
 
 def cursor(rows: list, last=None, seen: int = 0, order=ORDER) -> tuple:
