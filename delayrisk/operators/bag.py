@@ -13,6 +13,7 @@ All are partial aggregates, so a hot id costs a row per task and value.  ``expan
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -36,8 +37,11 @@ class Bag:
     described: bool
 
 
-def _values(t, described: bool) -> DataFrame:
+def _values(t, described: bool, fills: Mapping[str, float]) -> DataFrame:
     """(id, kind, num, text, grp, line, flag): every value of each set once; line items bring the hazard flag along."""
+    def filled(c: str) -> Column:
+        v = F.col(c).cast("double")
+        return F.when(v.isNull() | F.isnan(v), F.lit(fills[c])).otherwise(v) if c in fills else v
     num, text, no = F.lit(None).cast("double"), F.lit(None).cast("string"), F.lit(False)
     off = F.lit(None).cast("boolean")
 
@@ -45,9 +49,9 @@ def _values(t, described: bool) -> DataFrame:
         return df.select(ID, F.lit(kind).alias("kind"), n.alias("num"), s.alias("text"), grp.alias("grp"), line.alias("line"), flag.alias("flag"))
     lines = t["itemgroup_line_item"]
     margins = t["masterbill_margins"].filter(F.col("margin_type") == "CurrentMargin")
-    every = (rows(t["carrier"], DISTANCE, F.col("distance_km").cast("double"))
+    every = (rows(t["carrier"], DISTANCE, filled("distance_km"))
              # A missing margin counts as 0, also beside a margin of 0.
-             .unionByName(rows(margins, MARGIN, F.coalesce(F.col("margin_value").cast("double"), F.lit(0.0))))
+             .unionByName(rows(margins, MARGIN, F.coalesce(filled("margin_value"), F.lit(0.0))))
              .unionByName(rows(lines, TEXT, s=F.col("description") if described else text, line=F.lit(True),
                                flag=feat.hazard_text(F.col("hazardous_material_flag")))))
     if described:
@@ -96,9 +100,13 @@ def _sizes(values: DataFrame) -> DataFrame:
                       texts.alias("texts"), null_text.alias("text_null"))
 
 
-def factorised(t, described: bool = True) -> Bag:
-    """The bag of a ``Tables`` resolver; each input is scanned once."""
-    values = stage(_values(t, described), "values")
+def factorised(t, described: bool = True, fills: Mapping[str, float] | None = None) -> Bag:
+    """The bag of a ``Tables`` resolver; each input is scanned once.
+
+    ``fills`` names values for the missing distances and margins (null or NaN) that the inputs hold; a set
+    folds them with its own such value, so ids' combinations stay distinct after that fill.
+    """
+    values = stage(_values(t, described, fills or {}), "values")
     sizes = _sizes(values)
     rows = _single(t).join(sizes, ID, "left")
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
@@ -183,7 +191,8 @@ def _columns(bag: Bag, distance: Column, margin: Column, text: Column) -> list[C
 
 def _narrow(bag: Bag, ids: DataFrame, values: DataFrame) -> DataFrame:
     kind = F.col("kind")
-    sets = values.groupBy(ID).agg(
+    # Dealt by id first: the arrays are built where they are used, and values travel once, not as arrays of a few.
+    sets = values.repartition(ID).groupBy(ID).agg(
         F.collect_list(F.when(kind == DISTANCE, F.struct("num"))).alias("d"), F.collect_list(F.when(kind == MARGIN, F.struct("num"))).alias("m"),
         F.collect_list(F.when(kind == TEXT, F.struct("text", "grp", "line"))).alias("t"))
     flags = [F.col(c) for c in ("has_grp", "has_line", "grp_null")]

@@ -14,6 +14,7 @@ from ..operators import enrich, forest
 from ..operators import features as feat
 from ..operators import model as mdl
 from ..operators.labels import DELAYED, ON_TIME
+from ..staging import stage
 from .feature_table import feature_table
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -63,5 +64,6 @@ def predictions(tables, scorer: Scorer, features: DataFrame | None = None,
     out = enrich.enrich_locations(scored, enrich.locations(tables["event"]))
     # The scoring input is an inner join with the spine: no id is null.
     spine = feat.masterbill_ids(tables["masterbill"])
-    loads = tables["fact_load"].select(ID, "load_id", "carrier_name", "mode").distinct()
+    # Staged: the join reads their rows and their ids.
+    loads = stage(tables["fact_load"].select(ID, "load_id", "carrier_name", "mode").distinct(), "loads")
     return enrich.enrich_loads(out, loads, keys=spine, null_keys=False).select(*cols)

@@ -46,9 +46,9 @@ def fit_and_test(data: DataFrame, **kw) -> tuple[PipelineModel, DataFrame]:
     return model, pred
 
 
-def fit_forest(tables, **kw) -> list[forest.Node]:
+def fit_forest(tables, features: DataFrame | None = None, **kw) -> list[forest.Node]:
     """E3 by ``operators.forest``: the node table of a forest fitted on the train side's staged rows."""
-    side, _ = mdl.split_by_id(stage(labelled_features(tables), "training"))
+    side, _ = mdl.split_by_id(stage(labelled_features(tables, features), "training"))
     return forest.fit(side, **kw)
 
 

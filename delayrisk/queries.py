@@ -315,6 +315,11 @@ def q_eval_metrics(spark, sf_dir):
     return mdl.evaluate(tr.rule_predictions(test))
 
 
+def _features(t: Tables) -> DataFrame:
+    """The distinct feature rows, written once for all that read them."""
+    return stage(ft.feature_table(t, dedupe=True), "features")
+
+
 _RISK_OK = "True as risk_in_range, True as class_agrees"
 
 
@@ -337,8 +342,9 @@ def q_train_forest(spark, sf_dir):
 @register("forest_scores", _esql(f"select masterbill_internal_id, {_RISK_OK} from si", "si"))
 def q_forest_scores(spark, sf_dir):
     t = fx(spark, sf_dir)
-    model, _ = tr.fit_and_test(tr.labelled_features(t))
-    return _facts(inf.model_scorer(model)(inf.scoring_input(t)))
+    features = _features(t)
+    model, _ = tr.fit_and_test(tr.labelled_features(t, features))
+    return _facts(inf.model_scorer(model)(inf.scoring_input(t, features)))
 
 
 @register("class_list", _esql(
@@ -349,10 +355,10 @@ def q_class_list(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(mdl.class_labels(model))), "place int, class string")
 
 
-def _two_versions(spark, sf_dir) -> str:
+def _two_versions(spark, t: Tables, features: DataFrame | None = None) -> str:
     """A new model folder with two saved versions, fitted on the table's rows."""
     root = scratch(spark, "models")
-    data = stage(tr.labelled_features(fx(spark, sf_dir)), "labelled")
+    data = stage(tr.labelled_features(t, features), "labelled")
     for trees in (2, 3):
         model, pred = tr.fit_and_test(data, trees=trees, depth=2)
         mdl.save_model(spark, model, tr.MODEL_NAME, mdl.evaluate(pred).first().asDict(), root)
@@ -365,7 +371,7 @@ def _two_versions(spark, sf_dir) -> str:
     " (select string_agg(distinct delivery_delay, ',' order by delivery_delay) from ts) as classes,"
     " True as metrics_in_range from range(1, 3) t(v)", "ts"))
 def q_model_runs(spark, sf_dir):
-    runs = spark.read.schema(mdl.RUNS_SCHEMA).parquet(_two_versions(spark, sf_dir) + "/model_runs")
+    runs = spark.read.schema(mdl.RUNS_SCHEMA).parquet(_two_versions(spark, fx(spark, sf_dir)) + "/model_runs")
     return runs.select("name", "version", "trees", "depth", "seed", F.array_join("features", ",").alias("features"),
                        F.array_join("classes", ",").alias("classes"),
                        (F.col("accuracy").between(0, 1) & F.col("f1").between(0, 1)).alias("metrics_in_range"))
@@ -375,10 +381,12 @@ def q_model_runs(spark, sf_dir):
     f"select masterbill_internal_id, cast(2 as int) as version, {_RISK_OK} from si", "si"))
 def q_latest_version(spark, sf_dir):
     """The latest saved version, loaded again, scores every shipment."""
-    root = _two_versions(spark, sf_dir)
+    t = fx(spark, sf_dir)
+    features = _features(t)
+    root = _two_versions(spark, t, features)
     model = mdl.load_model(spark, tr.MODEL_NAME, root=root)
     version = F.lit(mdl.latest_version(spark, tr.MODEL_NAME, root)).cast("int")
-    scored = inf.model_scorer(model)(inf.scoring_input(fx(spark, sf_dir))).withColumn("version", version)
+    scored = inf.model_scorer(model)(inf.scoring_input(t, features)).withColumn("version", version)
     return _facts(scored, "version")
 
 
@@ -499,7 +507,8 @@ def q_forest_nodes(spark, sf_dir):
 def q_forest_predictions(spark, sf_dir):
     """E3 + E4: fit on the labelled train side, then score, band and enrich every shipment."""
     t = fx(spark, sf_dir)
-    return inf.predictions(t, inf.forest_scorer(tr.fit_forest(t)))
+    features = _features(t)
+    return inf.predictions(t, inf.forest_scorer(tr.fit_forest(t, features)), features)
 
 
 # ------------------------------------------------------ E5: dashboard mart
@@ -779,7 +788,7 @@ def q_kpis(spark, sf_dir):
       and w.masterbill_internal_id = fd.masterbill_internal_id))""", "fd"))
 def q_upsert_by_key(spark, sf_dir):
     t = fx(spark, sf_dir)
-    old = stage(ft.feature_table(t, dedupe=True), "features")
+    old = _features(t)
     billed = feat.total_weight(t["item_weight"], "billed")
     new = old.drop("total_weight").join(billed, ID, "inner").select(*old.columns)
     return sinks.upsert(old, new, [ID])
