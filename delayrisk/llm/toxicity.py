@@ -12,8 +12,10 @@ curve fitted on labelled rows that gave no counts turns it into a score.
 What is bounded and what is not: every labelled row gives counts, except a
 quarter of the ids that is kept for the curve, which is fitted on at most
 ``max_rows`` of those (smallest seeded hash of the id first).  N-grams are
-counted in Spark on 64-bit hashes of the words; a fixed bitmap of the labelled
-ids keeps other texts out of the shuffle.  To the driver come only words and
+counted in Spark on 64-bit hashes of the words, dealt by pair; words frequent in
+the curve's texts are two bytes there (they decide size, never results).  Texts find their labels
+by bitmaps of the labelled ids, of fixed size, and only those whose place
+says nothing for sure are shuffled.  To the driver come only bitmaps, words and
 pairs above the discount in a class: all others have the same probability in
 both classes.  Every text of the input is scored whole, in one map over the
 documents, without any shuffle.  The model knows words by 64-bit hashes in
@@ -29,6 +31,7 @@ scored each.  An id labelled twice counts under its largest label.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,14 +39,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import arrow_map, fresh
+from .common import arrow_map, fresh, stage, width
 
 WORDS = re.compile(r"[^\W_]+")
 BLOCK = 1 << 17  # words that are scored at once
 PART = 1 << 18   # words whose repeated n-grams are dropped before the shuffle
-BITS = 1 << 26   # of the bitmap of labelled ids; more ids only let more texts through to the join
+BITS = 1 << 26   # of the bitmaps of labelled ids; more ids only send more texts through the join
+FREQUENT = (1 << 15) - 1  # words that are shuffled as two bytes; this number stands for any other
+PARTS = 2048     # runs of pairs that are counted at once, at least
 
 
 def words(text: str | None) -> list[str]:
@@ -236,16 +241,104 @@ def _triples(batches):
         yield flush()
 
 
-def count(sample: DataFrame, discount: float, pair_discount: float) -> Counts:
+def _bytes(column: pa.Array, at: int, to: int) -> np.ndarray:
+    """The bytes of rows ``at`` to ``to`` of a binary column."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32, len(column) + 1, 4 * column.offset)
+    return np.frombuffer(data, np.uint8)[ends[at]:ends[to]] if data is not None else np.zeros(0, np.uint8)
+
+
+def _coded(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Places in the sorted ``table``; ``FREQUENT`` for values that are not there."""
+    at = np.searchsorted(table, values)
+    found = np.append(table, 0)[at] == values
+    return np.where(found & (at < len(table)), at, FREQUENT).astype(np.uint16)
+
+
+class Packing:
+    """Triples of a part as runs of bytes, one per range of a hash of the pair: three codes of two bytes each,
+    the class in the first one's high bit, and 64-bit hashes of words without a code."""
+
+    def __init__(self, frequent: np.ndarray, parts: int):
+        self.words, self.parts = np.unique(frequent)[:FREQUENT], parts
+        self.lefts = np.unique(self.words & ((1 << 47) - 1))
+
+    def pack(self, batches):
+        for batch in _triples(batches):
+            a, b, u = (batch.column(c).to_numpy() for c in ("a", "b", "u"))
+            mixed = (a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ b.view(np.uint64)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            part = ((mixed >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            values = np.column_stack((a, b, u >> 1))[order]
+            codes = np.column_stack((_coded(self.words, a), _coded(self.words, b), _coded(self.lefts, u >> 1)))[order]
+            other = codes == FREQUENT
+            codes[:, 0] |= (u[order] & 1).astype(np.uint16) << 15
+            parts, first = np.unique(part[order], return_index=True)
+            ends = np.append(first, len(order))
+            hashed = np.append(0, np.cumsum(other.sum(1)))[ends]
+            blobs = [pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+                     for to, x in ((6 * ends, codes), (8 * hashed, values[other]))]
+            yield pa.RecordBatch.from_arrays([pa.array(parts), *blobs], names=["part", "codes", "hashes"])
+
+    def tally(self, batches):
+        """(a, b, t, o) of sorted runs: per pair the distinct words before it, in each class."""
+        words, lefts = (np.append(x, np.zeros(FREQUENT + 1 - len(x), np.int64)) for x in (self.words, self.lefts))
+        codes, hashed, size, now = [], [], 0, None
+
+        def flush():
+            c = np.concatenate(codes).view(np.uint16).reshape(-1, 3)
+            y = (c[:, 0] >> 15).astype(np.int64)
+            c[:, 0] &= FREQUENT
+            v = np.column_stack((words[c[:, 0]], words[c[:, 1]], lefts[c[:, 2]]))
+            v[c == FREQUENT] = np.concatenate(hashed).view(np.int64)
+            a, b, u = v[:, 0], v[:, 1], (v[:, 2] << 1) | y
+            order = np.lexsort((u, b, a))
+            a, b, u = a[order], b[order], u[order]
+            pair = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+            once = pair | np.append(True, u[1:] != u[:-1])
+            at = np.flatnonzero(pair)
+            t, n = (np.add.reduceat(x.astype(np.int64), at) for x in (once & (u & 1 == 1), once))
+            codes.clear(), hashed.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[at], b[at], t, n - t)], names=["a", "b", "t", "o"])
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            first = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist()] if len(part) else []
+            for at, to in zip(first, [*first[1:], len(part)]):
+                # A pair's triples are all of one part.
+                if part[at] != now and size >= PART:
+                    yield flush()
+                    size = 0
+                now = part[at]
+                codes.append(_bytes(batch.column("codes"), at, to))
+                hashed.append(_bytes(batch.column("hashes"), at, to))
+                size += len(codes[-1]) // 6
+        if codes:
+            yield flush()
+
+
+def frequent_words(texts: DataFrame) -> np.ndarray:
+    """Hashes of at most ``FREQUENT`` words that the texts (column t) have most often, and more than once."""
+    def apply(batches):
+        for b in batches:
+            found = Counter(w for t in b.column("t") for w in words(t.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes(found)), pa.array(list(found.values()), pa.int64())], names=["w", "n"])
+    most = arrow_map(texts.select("t"), apply, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1")
+    return most.orderBy(F.desc("n"), "w").limit(FREQUENT).toPandas()["w"].to_numpy(np.int64)
+
+
+def count(sample: DataFrame, discount: float, pair_discount: float, frequent: np.ndarray | None = None) -> Counts:
     """Count n-grams of the whole ``sample`` (columns y, t) in Spark; what comes back are counts of words
-    and pairs above the discounts."""
+    and pairs above the discounts.  ``frequent``: hashes of words to be shuffled as two bytes."""
     import pandas as pd
 
     has = lambda c: F.sum(c.cast("long"))
-    toxic = F.col("u").bitwiseAND(F.lit(1).cast("long")) == 1
-    # One exchange: what is dealt by pair needs no other to drop repeats and to count by pair.
-    pairs = (arrow_map(sample, _triples, "a long, b long, u long").repartition("a", "b").distinct()
-             .groupBy("a", "b").agg(has(toxic).alias("t"), has(~toxic).alias("o")).cache())
+    # One exchange: what is dealt by a hash of the pair needs no other to drop repeats and to count by pair.
+    packing = sample.sparkSession.sparkContext.broadcast(
+        Packing(np.zeros(0, np.int64) if frequent is None else frequent, max(PARTS, width(sample))))
+    packed = arrow_map(sample.select("y", "t"), lambda batches: packing.value.pack(batches), "part int, codes binary, hashes binary")
+    pairs = arrow_map(packed.repartition("part").sortWithinPartitions("part"), lambda batches: packing.value.tally(batches),
+                      "a long, b long, t long, o long").cache()
     total = np.array(pairs.agg(*[F.coalesce(has(F.col(c) > 0), F.lit(0)) for c in ("t", "o")]).first(), np.float64)
     kept = pairs.filter((F.col("t") > pair_discount) | (F.col("o") > pair_discount)).toPandas()
     listed = lambda h: F.broadcast(pairs.sparkSession.createDataFrame(
@@ -270,22 +363,57 @@ def count(sample: DataFrame, discount: float, pair_discount: float) -> Counts:
                   key[order], kept[["t", "o"]].to_numpy(np.int64)[order].T.reshape(2, len(key)))
 
 
-def _labelled(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows (i, t) of ``docs`` whose id may be in ``rows`` (i), by a bitmap of hashed ids."""
-    place = F.pmod(F.xxhash64("i"), F.lit(BITS))
-    found = (rows.select(F.shiftright(place, 6).alias("at"), F.expr("shiftleft(1L, cast(pmod(xxhash64(i), 64) as int))").alias("bit"))
-             .groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas())
+def _bitmap(found) -> np.ndarray:
+    """A bitmap of ``BITS`` from its occurring words (at, bits)."""
     table = np.zeros(BITS // 64, np.int64)
     table[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    bits = docs.sparkSession.sparkContext.broadcast(table)
+    return table
 
-    def apply(batches):
+
+def _labelled(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows (y, t) of ``docs`` (i, t) joined with ``rows`` (i, y; y is 0 or 1, no id twice).
+
+    Bitmaps tell the labels: a place of hashed ids is sure if no other label and no other id of ``docs`` falls there.
+    Texts at sure places have their label without a shuffle, only those at doubtful ones are joined.
+    """
+    spark = docs.sparkSession
+    docs = docs.filter(F.col("i").isNotNull())
+    place = F.pmod(F.xxhash64("i"), F.lit(BITS)).alias("place")
+    at, bit = F.shiftright("place", 6).alias("at"), F.expr("shiftleft(1L, cast(place % 64 as int))")
+    placed = rows.select("i", "y", place)
+    found = placed.groupBy(at).agg(F.bit_or(F.when(F.col("y") == 1, bit).otherwise(F.lit(0).cast("long"))).alias("t"),
+                                   F.bit_or(F.when(F.col("y") == 0, bit).otherwise(F.lit(0).cast("long"))).alias("o")).toPandas()
+    ones, zeros = (_bitmap(found[["at", k]].rename(columns={k: "bits"})) for k in "to")
+    seen = spark.sparkContext.broadcast(ones | zeros)
+
+    def hits(table: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
+        p = b.column("place").to_numpy()
+        return (table[p >> 6] >> (p & 63)) & 1 == 1
+
+    def known(batches):
         for b in batches:
-            at = b.column("at").to_numpy()
-            hit = (bits.value[at >> 6] >> (at & 63)) & 1 == 1
-            yield b.filter(pa.array(hit)).select(["i", "t"])
-    asked = docs.select("i", "t", place.alias("at")).filter(F.col("i").isNotNull())
-    return arrow_map(asked, apply, StructType([docs.schema["i"], docs.schema["t"]]))
+            yield b.filter(pa.array(hits(seen.value, b)))
+    ids = docs.select("i", place)
+    strange = arrow_map(ids, known, ids.schema).join(rows.select("i"), "i", "left_anti")
+    doubt = (ones & zeros) | _bitmap(strange.groupBy(at).agg(F.bit_or(bit).alias("bits")).toPandas())
+    tables = spark.sparkContext.broadcast((ones & ~doubt, zeros & ~doubt, doubt))
+
+    def sure(batches):
+        for b in batches:
+            one, zero, _ = tables.value
+            y = hits(one, b)
+            kept = pa.array(y | hits(zero, b))
+            yield pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)).filter(kept), b.column("t").filter(kept)], names=["y", "t"])
+
+    def doubtful(batches):
+        for b in batches:
+            yield b.filter(pa.array(hits(tables.value[2], b))).select(["i", "t"])
+    asked = docs.select("i", "t", place)
+    out = arrow_map(asked, sure, StructType([StructField("y", IntegerType()), docs.schema["t"]]))
+    if doubt.any():
+        out = out.unionByName(arrow_map(asked, doubtful, StructType([docs.schema["i"], docs.schema["t"]]))
+                              .join(rows, "i").select("y", "t"))
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic",
@@ -307,19 +435,18 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     # A quarter of the ids, by hash, is for the curve and gives no counts.
     curve = F.pmod("h", F.lit(4)) == 0
     texts = docs.select(F.col(id_col).cast(rows.schema["i"].dataType).alias("i"), F.col(text).alias("t"))
-    counted = rows.filter(~curve).select("i", "y")
-    labelled = _labelled(texts, counted)
-    model = kneser_ney(count(labelled.join(counted, "i").select("y", "t"), discount, pair_discount),
-                       discount, pair_discount, toxic_share)
     # At most max_rows ids: bounded, so every executor can hold them.
     picked = F.broadcast(rows.filter(curve).orderBy("h", "i").limit(max_rows).select("i", "y"))
+    held = stage(texts.join(picked, "i").select("y", "t"), "curve")
+    model = kneser_ney(count(_labelled(texts, rows.filter(~curve).select("i", "y")), discount, pair_discount, frequent_words(held)),
+                       discount, pair_discount, toxic_share)
     weights = docs.sparkSession.sparkContext.broadcast(model)
 
     def ratios(batches):
         for b in batches:
             x = features(*weights.value.ratios(b.column("t").to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column("y"), *map(pa.array, x)], names=["y", "a", "b"])
-    seen = arrow_map(texts.join(picked, "i").select("y", "t"), ratios, "y int, a double, b double").toPandas()
+    seen = arrow_map(held, ratios, "y int, a double, b double").toPandas()
     seen = seen.sort_values(["y", "a", "b"])
     if seen["y"].nunique() < 2:
         model.constant = shares[1] / (shares[0] + shares[1])

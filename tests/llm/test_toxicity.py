@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from delayrisk.llm import toxicity as T
@@ -125,3 +126,30 @@ def test_labels_missing(spark, empty):
     assert T.score(empty, none).count() == 0
     odd_labels = spark.createDataFrame([(None, 1), (1, None), (2, 7)], "doc_id long, toxic int")
     assert T.fit(docs, odd_labels).score("x") == 0.0
+
+
+def test_labels_by_bitmap_are_those_of_a_join(spark, monkeypatch):
+    """Ids that share a place with other labels or unlabelled ids get their own label; only they are joined."""
+    docs, labels = corpus(spark, 300)
+    texts = docs.union(docs.limit(20)).union(spark.createDataFrame([(None, "no id")], docs.schema)).toDF("i", "t")
+    rows = labels.filter("doc_id % 3 <> 0").toDF("i", "y")
+    want = Counter(map(tuple, texts.join(rows, "i").select("y", "t").collect()))
+    for bits in (64, 1 << 10, 1 << 20):
+        monkeypatch.setattr(T, "BITS", bits)
+        assert Counter(map(tuple, T._labelled(texts, rows).collect())) == want
+
+
+def test_packed_counts_do_not_depend_on_frequent_words(spark, monkeypatch):
+    """Words of two bytes, hashed words and both mixed give the same counts, in parts of any size."""
+    docs, labels = corpus(spark, 120)
+    sample = docs.join(labels, "doc_id").select(F.col("toxic").alias("y"), F.col("text").alias("t"))
+    frequent = T.frequent_words(sample)
+    assert len(frequent) > 100
+    whole = T.count(sample, 4.0, 2.0)
+    for part, known in ((7, frequent[::3]), (1 << 18, frequent)):
+        monkeypatch.setattr(T, "PART", part)
+        got = T.count(sample, 4.0, 2.0, known)
+        assert all(np.array_equal(getattr(got, f), getattr(whole, f)) for f in ("vocab", "uni", "rest", "hist", "pair", "pair_n"))
+    batch = pa.RecordBatch.from_pydict({"y": [r.y for r in sample.collect()], "t": [r.t for r in sample.collect()]})
+    size = lambda words: sum(b.nbytes for b in T.Packing(words, 64).pack([batch]))
+    assert 2 * size(frequent) < size(frequent[:0])
