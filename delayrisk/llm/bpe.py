@@ -37,6 +37,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from .buffers import slices
 from .common import arrow_map, fresh
 
 # Fixed value: the pattern that splits text before the merges.
@@ -49,6 +50,7 @@ FULL = regex.compile(PATTERN)
 BLOCK = 1 << 16    # characters read at a time
 EDGE = 3           # characters at a block's end that matches may still depend on
 WORDS = 400_000    # words kept in the cache
+SLICE = 1 << 20    # bytes of texts that are held as Python's at once, if no text is longer
 LONG = 256         # bytes of a word beyond which it is neither cached nor read at once
 
 
@@ -221,7 +223,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
 
     def apply(batches):
         v = load(path)
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, text, SLICE)):
             parts = [b"".join(v.encode(t)) for t in b.column(text).to_pylist()]
             ends = np.cumsum([0] + [len(p) // 4 for p in parts]).astype(np.int32)
             flat = np.frombuffer(b"".join(parts), "<u4").astype(np.int32)
@@ -265,7 +267,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def apply(batches):
         v = load(path)
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, text, SLICE)):
             got = [digests(v, t) for t in b.column(text).to_pylist()]
             n, i, d = zip(*got) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(i, pa.string()),

@@ -97,3 +97,19 @@ def test_query_against_the_library(spark, library):
         want = library.encode(texts[r.doc_id], add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(want), hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_a_batch_is_worked_on_in_slices(spark, monkeypatch):
+    """Only a slice's texts are held as Python's; null texts and texts beyond a slice come out as before."""
+    import pyarrow as pa
+    from delayrisk.llm import bpe
+    made = {}
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(bpe, "arrow_map", lambda df, fn, schema: made.setdefault("run", fn))
+    bpe.encode(docs, PATH)
+    texts = [None, "", "word " * 300, None, *["a few words"] * 40]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+    whole = [r for b in made["run"]([batch]) for r in b.to_pylist()]
+    monkeypatch.setattr(bpe, "SLICE", 64)
+    parts = list(made["run"]([batch]))
+    assert len(parts) > 5 and [r for b in parts for r in b.to_pylist()] == whole
