@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,7 +128,10 @@ def _compare(batches):
         if last:
             edge[-1] += 2
         keep = same_a | (edge > 0)
-        cols = [*batch.columns, pa.array(same_a), pa.array(same_b), pa.array(edge)]
+        # Hashes are asked for again only where parts meet.
+        inside = pa.array(edge == 0)
+        cols = [pc.if_else(inside, None, c) if name in "ab" else c for name, c in zip(batch.schema.names, batch.columns)]
+        cols += [pa.array(same_a), pa.array(same_b), pa.array(edge)]
         return pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "candidate", "alike", "edge"]).filter(pa.array(keep))
 
     def flags(batch, before, after):
@@ -154,7 +158,7 @@ def _compare(batches):
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """Sort ``rows`` by (a, b, d) and keep those whose neighbour shares ``a``; ``alike``: and ``b``.
+    """Sort ``rows`` by (a, b, d) and give (d, at) of those whose neighbour shares ``a``; ``alike``: and ``b``.
 
     ``rows`` should be a stored table: dealing by range samples it first.
     """
@@ -179,7 +183,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
         kept = kept.withColumn("candidate", F.col("candidate") | at_end(met))
     if same:
         kept = kept.withColumn("alike", F.col("alike") | at_end(same))
-    return kept.filter("candidate").drop("candidate", "edge", "part")
+    return kept.filter("candidate").select("d", "at", "alike")
 
 
 def _around(text: str, at: list[int], proved: list[bool]):
@@ -239,8 +243,7 @@ def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Data
     texts = base.select("d", "t").join(near, "d").select("d", "t", F.col("c.at").alias("at"), F.col("c.alike").alias("proved"))
     around = stage(arrow_map(texts, _extend, StructType(
         [long("a"), ints("b"), long("d"), ints("at"), ints("end"), ints("origin")])), "passages")
-    found = neighbours(around.filter("b <> 0 AND origin = at").select("a", "b", "d", "at")).filter("alike")
-    found = stage(found.select("d", "at"), "repeated")
+    found = neighbours(around.filter("b <> 0 AND origin = at").select("a", "b", "d", "at")).filter("alike").select("d", "at")
     # A passage that comes again inside its document is repeated where its first one is.
     more = (around.filter("b <> 0 AND origin <> at").select("d", F.col("at").alias("later"), F.col("origin").alias("at"))
             .join(found, ["d", "at"], "left_semi").select("d", F.col("later").alias("at")))

@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 import numpy as np
 
 from delayrisk.llm import suffix_dedup as S
@@ -88,3 +90,17 @@ def test_selection_is_by_content():
     more = S.selected(S.Hashes([b"x"] * 37 + core))
     assert np.array_equal(at + 37, more[37:])
     assert np.all(at - np.arange(len(at)) < S.SPREAD)
+
+
+def test_hashes_are_kept_where_parts_meet_alone():
+    """Rows inside a part are stored without their hashes; its first and last row have them."""
+    batch = pa.RecordBatch.from_pydict({"a": [1, 1, 2, 2, 2, 3], "b": [5, 5, 6, 6, 7, 8], "d": [1, 2, 3, 4, 5, 6], "at": [0] * 6})
+    rows = [r for b in S._compare([batch.slice(0, 2), batch.slice(2)]) for r in b.to_pylist()]
+    assert [(r["a"], r["b"], r["d"], r["alike"], r["edge"]) for r in rows] == [
+        (1, 5, 1, True, 1), (None, None, 2, True, 0), (None, None, 3, True, 0), (None, None, 4, True, 0), (None, None, 5, False, 0), (3, 8, 6, False, 2)]
+
+
+def test_neighbours_give_places_alone(spark):
+    rows = spark.createDataFrame([(1, 5, k, 0) for k in range(40)], "a long, b long, d long, at int").repartition(3)
+    got = S.neighbours(rows)
+    assert got.columns == ["d", "at", "alike"] and got.filter("alike").count() == 40
