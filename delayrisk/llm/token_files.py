@@ -96,7 +96,8 @@ class PieceEncoder:
         """The place of every piece; those not kept yet are encoded together."""
         told = pieces.dictionary_encode()
         told = told.combine_chunks() if isinstance(told, pa.ChunkedArray) else told
-        distinct = told.dictionary.to_pylist()
+        # By numpy's objects, several times faster than one Arrow scalar after the other.
+        distinct = told.dictionary.to_numpy(zero_copy_only=False).tolist()
         places = list(map(kept.get, distinct))
         missing = [k for k, x in enumerate(places) if x is None]
         if missing:
@@ -113,8 +114,8 @@ class PieceEncoder:
     def _spaced(self, pieces: list[str]) -> list[bytes]:
         """Ids of " " + piece for each, from one text: where a piece ends is told by its bytes."""
         out: list[bytes] = []
-        for k in range(0, len(pieces), 4096):
-            part = pieces[k:k + 4096]
+        for k in range(0, len(pieces), 1024):
+            part = pieces[k:k + 1024]
             text = " " + " ".join(part)
             if any(a in text for a in self.added):     # only pieces put together make one
                 out += self._library([" " + p for p in part])

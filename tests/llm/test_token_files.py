@@ -95,3 +95,11 @@ def test_white_space_is_what_the_splitter_calls_so():
 
 def test_empty(spark, empty):
     assert T.written(empty, PATH).count() == 0
+
+
+def test_pieces_are_told_apart_whatever_they_hold():
+    """Ids of texts whose pieces repeat, are empty or lie outside ASCII, in a new cache and in a filled one."""
+    library, e = Tokenizer.from_file(PATH), T.PieceEncoder(PATH)
+    texts = ["", " ", "é é \U0001f600 é", "a\x00b a\x00b", "a  b", "漢字 漢字 x", "x" * 300 + " y " + "x" * 300] * 3
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert e.encode(texts) == want and e.encode(texts) == want
