@@ -27,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .buffers import slices
 from .common import arrow_map, fresh, stage
 from .components import components
 
 BLOCK = 1 << 15  # shingles whose bits are counted at once
+SLICE = 1 << 20  # bytes of texts that are held as Python's at once, if no text is longer
 
 
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
@@ -57,7 +59,7 @@ def fingerprints(docs: DataFrame, text: str = "text", size: int = 3, seed: int =
     name = fresh(docs, out)
 
     def apply(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, text, SLICE)):
             f = np.array([fingerprint(t, size, seed) for t in b.column(text).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(f.view(np.int64))],
                                              names=[*kept, name])

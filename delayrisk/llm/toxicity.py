@@ -32,7 +32,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -327,16 +329,20 @@ def frequent_words(texts: DataFrame) -> np.ndarray:
     return most.orderBy(F.desc("n"), "w").limit(FREQUENT).toPandas()["w"].to_numpy(np.int64)
 
 
-def count(sample: DataFrame, discount: float, pair_discount: float, frequent: np.ndarray | None = None) -> Counts:
-    """Count n-grams of the whole ``sample`` (columns y, t) in Spark; what comes back are counts of words
-    and pairs above the discounts.  ``frequent``: hashes of words to be shuffled as two bytes."""
+def count(sample: DataFrame, discount: float, pair_discount: float, frequent: np.ndarray | None = None,
+          labels: DataFrame | None = None) -> Counts:
+    """Count n-grams of the whole ``sample`` (columns y, t; with ``labels``, i and y, those of its rows i, t that have
+    one) in Spark; what comes back are counts of words and pairs above the discounts.  ``frequent``: hashes of words to be
+    shuffled as two bytes."""
     import pandas as pd
 
+    mapped = partial(arrow_map, sample.select("y", "t")) if labels is None else partial(_labelled, sample, labels)
+
     has = lambda c: F.sum(c.cast("long"))
     # One exchange: what is dealt by a hash of the pair needs no other to drop repeats and to count by pair.
     packing = sample.sparkSession.sparkContext.broadcast(
         Packing(np.zeros(0, np.int64) if frequent is None else frequent, max(PARTS, width(sample))))
-    packed = arrow_map(sample.select("y", "t"), lambda batches: packing.value.pack(batches), "part int, codes binary, hashes binary")
+    packed = mapped(lambda batches: packing.value.pack(batches), "part int, codes binary, hashes binary")
     pairs = arrow_map(packed.repartition("part").sortWithinPartitions("part"), lambda batches: packing.value.tally(batches),
                       "a long, b long, t long, o long").cache()
     total = np.array(pairs.agg(*[F.coalesce(has(F.col(c) > 0), F.lit(0)) for c in ("t", "o")]).first(), np.float64)
@@ -370,8 +376,10 @@ def _bitmap(found) -> np.ndarray:
     return table
 
 
-def _labelled(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows (y, t) of ``docs`` (i, t) joined with ``rows`` (i, y; y is 0 or 1, no id twice).
+def _labelled(docs: DataFrame, rows: DataFrame, then: Callable | None = None, schema: str | None = None) -> DataFrame:
+    """Rows (y, t) of ``docs`` (i, t) joined with ``rows`` (i, y; y is 0 or 1, no id twice), or what ``then`` makes of
+    their batches, by ``schema``, in the worker that found them: two maps in a row would hold two workers a task, and
+    executors keep them for later stages.
 
     Bitmaps tell the labels: a place of hashed ids is sure if no other label and no other id of ``docs`` falls there.
     Texts at sure places have their label without a shuffle, only those at doubtful ones are joined.
@@ -409,10 +417,12 @@ def _labelled(docs: DataFrame, rows: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(hits(tables.value[2], b))).select(["i", "t"])
     asked = docs.select("i", "t", place)
-    out = arrow_map(asked, sure, StructType([StructField("y", IntegerType()), docs.schema["t"]]))
+    plain = StructType([StructField("y", IntegerType()), docs.schema["t"]])
+    out = arrow_map(asked, sure, plain) if then is None else arrow_map(asked, lambda batches: then(sure(batches)), schema)
     if doubt.any():
-        out = out.unionByName(arrow_map(asked, doubtful, StructType([docs.schema["i"], docs.schema["t"]]))
-                              .join(rows, "i").select("y", "t"))
+        joined = (arrow_map(asked, doubtful, StructType([docs.schema["i"], docs.schema["t"]]))
+                  .join(rows, "i").select("y", "t"))
+        out = out.unionByName(joined if then is None else arrow_map(joined, then, schema))
     return out
 
 
@@ -438,7 +448,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     # At most max_rows ids: bounded, so every executor can hold them.
     picked = F.broadcast(rows.filter(curve).orderBy("h", "i").limit(max_rows).select("i", "y"))
     held = stage(texts.join(picked, "i").select("y", "t"), "curve")
-    model = kneser_ney(count(_labelled(texts, rows.filter(~curve).select("i", "y")), discount, pair_discount, frequent_words(held)),
+    model = kneser_ney(count(texts, discount, pair_discount, frequent_words(held), rows.filter(~curve).select("i", "y")),
                        discount, pair_discount, toxic_share)
     weights = docs.sparkSession.sparkContext.broadcast(model)
 

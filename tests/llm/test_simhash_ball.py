@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import xxhash
 
 from delayrisk.llm import simhash_ball as S
@@ -92,3 +93,15 @@ def test_keep_one(odd, odd_rows):
 def test_empty(empty):
     assert S.near_duplicates(empty).count() == 0
     assert S.keep_one(empty).count() == 0
+
+
+def test_few_texts_are_held_at_once(spark, monkeypatch):
+    """A batch of many texts is worked on a slice at a time."""
+    texts = [None, "", *[f"word{k} " * 40_000 for k in range(12)], "end"]
+    monkeypatch.setattr(S, "arrow_map", lambda df, fn, schema: fn)
+    apply = S.fingerprints(spark.createDataFrame([(1, "a")], "i long, text string"))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["i", "text"])
+    parts = list(apply([batch]))
+    assert len(parts) > 2 and [i for p in parts for i in p.column("i").to_pylist()] == [*range(len(texts))]
+    got = [f % (1 << 64) for p in parts for f in p.column("fingerprint").to_pylist()]
+    assert got == [S.fingerprint(t) for t in texts]

@@ -153,3 +153,17 @@ def test_packed_counts_do_not_depend_on_frequent_words(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"y": [r.y for r in sample.collect()], "t": [r.t for r in sample.collect()]})
     size = lambda words: sum(b.nbytes for b in T.Packing(words, 64).pack([batch]))
     assert 2 * size(frequent) < size(frequent[:0])
+
+
+def test_labels_and_packing_share_a_worker(spark, monkeypatch):
+    """No map follows another in a stage: every one would hold a Python worker of its own."""
+    docs, labels = corpus(spark)
+    before, plain = [], T.arrow_map
+
+    def noted(df, fn, schema):
+        before.append((str(schema), df._jdf.queryExecution().optimizedPlan().toString()))
+        return plain(df, fn, schema)
+    monkeypatch.setattr(T, "arrow_map", noted)
+    T.fit(docs, labels)
+    packed = [plan for schema, plan in before if schema.startswith("part int")]
+    assert packed and "MapInArrow" not in packed[0]
