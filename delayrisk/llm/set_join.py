@@ -188,29 +188,42 @@ def _room(a: str, b: str, percent: int, first: str = "at"):
 def _index(rows: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """(s, n, pos, token, df, head) of prefix shingles that stand in more than one set's prefix; ``head`` is the list's smallest set."""
     sets = rows.filter("n > 0").join(heads.select(F.col("s").alias("r")), "r", "left_semi")
-    entries = sets.select(F.col("r").alias("s"), "n", F.posexplode("prefix").alias("pos", "token"))
-    lists = entries.groupBy("token").agg(F.count("*").alias("df"), F.min("s").alias("head")).filter("df > 1")
-    return stage(entries.join(lists, "token"), "index")
+    entries = sets.select(F.col("r").alias("s"), "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
+    # Lists are counted from the entries as dealt: both read one shuffle, as both ask for every column of it.
+    lists = entries.groupBy("token").agg(F.count("*").alias("df"), F.min("s").alias("head"), F.min("n").alias("least"),
+                                         F.min("pos").alias("first")).filter("df > 1 AND least > 0 AND first >= 0")
+    return stage(entries.join(lists.drop("least", "first"), "token"), "index")
 
 
 def _prefixes(index: DataFrame, rows: DataFrame) -> DataFrame:
-    """(s, n, prefix, bits), the prefix with only those shingles that other prefixes have too: a part of one set in a row."""
-    shared = index.groupBy("s", "n").agg(F.collect_list("token").alias("prefix"))
+    """(s, n, prefix, bits), the prefix with only those shingles that other prefixes have too, as 32 bits of each: a part
+    of one set in a row."""
+    short = F.shiftright(F.shiftleft("token", 32), 32).cast("int")
+    shared = index.groupBy("s", "n").agg(F.collect_list(short).alias("prefix"))
     return stage(shared.join(rows.select(F.col("r").alias("s"), "bits"), "s"), "prefixes")
 
 
+def common_at_most(a: str, b: str):
+    """At least the number of shingles that two lists have in common, given with 32 bits of each."""
+    alike = F.size(a) - F.size(F.array_distinct(a))  # different shingles of one list whose 32 bits are the same
+    return F.size(F.array_intersect(a, b)) + alike
+
+
 def _with_near_prefixes(pairs: DataFrame, prefixes: DataFrame, percent: int, a: str, b: str, spread: DataFrame | None = None) -> DataFrame:
     """Pairs (columns ``a``, ``b``) whose prefixes have enough in common.
 
     Of the two prefixes one ends first in the order; what it does not share with the other stands nowhere
     in the other set.  If that is more than a link allows (for heads of clusters: with the edits of their members,
-    ``spread``, on top), or if more of their parities differ, the pair goes.
+    ``spread``, on top), or if more of their parities differ, the pair goes.  Prefixes hold 32 bits of a shingle: what
+    falls together only makes the count of common ones larger, so no link is lost.
     """
-    one = prefixes.select(F.col("s").alias(a), F.col("n").alias("n1"), F.col("prefix").alias("p1"), F.col("bits").alias("b1"))
-    two = prefixes.select(F.col("s").alias(b), F.col("n").alias("n2"), F.col("prefix").alias("p2"), F.col("bits").alias("b2"))
+    def beside(columns: dict) -> DataFrame:
+        sides = [prefixes.select(F.col("s").alias(at), *[F.col(c).alias(f"{name}{k}") for c, name in columns.items()])
+                 for k, at in ((1, a), (2, b))]
+        return met.join(sides[0], a).join(sides[1], b)
+    met = pairs
     odd = F.aggregate(F.zip_with("b1", "b2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    met = (pairs.join(one, a).join(two, b).withColumn("c", F.size(F.array_intersect("p1", "p2")))
-           .withColumn("odd", F.when(F.size("b1") == F.size("b2"), odd).otherwise(0)).drop("p1", "p2", "b1", "b2"))
+    met = beside({"n": "n", "bits": "b"}).withColumn("odd", F.when(F.size("b1") == F.size("b2"), odd).otherwise(0)).drop("b1", "b2")
     if spread is None:
         met = met.withColumns({"d1": F.lit(0), "d2": F.lit(0)})
     else:
@@ -218,8 +231,10 @@ def _with_near_prefixes(pairs: DataFrame, prefixes: DataFrame, percent: int, a:
     # Twice what either set may lack: |difference| is at most apart, of which one side has its share by size.
     apart = f"(floor({100 - percent} * (n1 + d1 + n2 + d2) / {100 + percent}D) + d1 + d2)"
     length = "({n} - ceil({p} * {n} / 100D) + 1)"
-    met = met.filter(f"100 * (n1 + d1) >= {percent} * (n2 - d2) AND 100 * (n2 + d2) >= {percent} * (n1 - d1)")
-    return met.filter(f"odd <= {apart}").filter(f"2 * ({length.format(n='n1', p=percent)} - c) <= {apart} + n1 - n2 OR "
+    # Most pairs end here, by sizes and parities, before the longer prefixes are dealt.
+    met = met.filter(f"100 * (n1 + d1) >= {percent} * (n2 - d2) AND 100 * (n2 + d2) >= {percent} * (n1 - d1)").filter(f"odd <= {apart}")
+    met = beside({"prefix": "p"}).withColumn("c", common_at_most("p1", "p2")).drop("p1", "p2")
+    return met.filter(f"2 * ({length.format(n='n1', p=percent)} - c) <= {apart} + n1 - n2 OR "
                       f"2 * ({length.format(n='n2', p=percent)} - c) <= {apart} + n2 - n1").select(*pairs.columns)
 
 
@@ -251,7 +266,7 @@ def _clusters(picks: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 def _cluster_pairs(index: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """(h, k, alone) with h < k: clusters whose blocks leave room for a link; ``alone``: both are single sets."""
     marks = members.select("s", "h").unionByName(members.select(F.col("h").alias("s"), "h").distinct())
-    entries = index.join(marks, "s", "left")
+    entries = index.filter("s IS NOT NULL").join(marks, "s", "left")  # both uses below read one shuffle
     alone = entries.filter("h IS NULL").select("token", F.col("s").alias("h"), F.col("n").alias("lo"), F.col("n").alias("hi"),
                                                F.col("pos").alias("at"), "df", F.lit(True).alias("alone"))
     entries = alone.unionByName(

@@ -145,3 +145,32 @@ def test_set_hashes_are_the_sets(monkeypatch):
             assert same.setdefault(brute_set(t, size), h.tobytes()) == h.tobytes()
         assert len(set(same.values())) == len(same)
     assert not set(B.shingle_hashes(pa.array(["a b"]), 3)[0]) & set(B.shingle_hashes(pa.array(["a b a b a"]), 3)[0])
+
+
+def test_entries_are_dealt_once(spark, monkeypatch):
+    """The lists are counted from the shuffle that the entries are joined from; both uses of the index read one shuffle."""
+    monkeypatch.setattr(J, "stage", lambda df, label: df)
+    rows = spark.createDataFrame([(k, 3, [k, k + 1, k + 2]) for k in range(200)], "r long, n long, prefix array<long>")
+    index = J._index(rows, rows.select(F.col("r").alias("s")), 90)
+    assert {(r.df, r.head) for r in index.filter("token = 5").collect()} == {(3, 3)}
+
+    def dealt(df, by):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        return [x for x in plan.splitlines() if f"Exchange hashpartitioning({by}#" in x and "Reused" not in x]
+    assert len(dealt(index, "token")) == 1
+
+
+def test_short_shingles_never_lose_common_ones(spark):
+    """Prefixes hold 32 bits of a shingle; shingles that fall together still count."""
+    high = 1 << 32
+    rows = spark.createDataFrame([([1, 1 + high, 7, -5], [1, 1 + high, -5, 9]), ([1, 2], [1 + high, 3]), ([4, 5], [6, 7])],
+                                 "a array<long>, b array<long>")
+    low = lambda c: F.transform(c, lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int")).alias(c)
+    both = rows.select(F.size(F.array_intersect("a", "b")).alias("want"), low("a"), low("b"))
+    got = both.select("want", J.common_at_most("a", "b").alias("most")).collect()
+    assert [r.want for r in got] == [3, 0, 0] and [r.most for r in got] == [3, 1, 0]
+    index = spark.createDataFrame([(s, 2, t, 2) for s in (1, 2) for t in (3, high + 3)], "s long, n long, token long, df long")
+    found = J._prefixes(index, spark.createDataFrame([(1, [0]), (2, [0])], "r long, bits array<long>"))
+    assert found.schema["prefix"].dataType.elementType.typeName() == "integer"
+    assert all(r.prefix == [3, 3] for r in found.collect())
