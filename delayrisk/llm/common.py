@@ -6,9 +6,12 @@ import os
 import tempfile
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
+from ..session import bound_batches
 from ..staging import fresh, global_rank, scratch, stage, width
 
 __all__ = ["WORD", "arrow_map", "fresh", "global_rank", "plain_keys", "scratch", "ship", "stage", "table",
@@ -42,9 +45,19 @@ def ship(spark: SparkSession) -> None:
 
 
 def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
-    """``mapInArrow`` with this package's modules at hand on the executors."""
+    """``mapInArrow`` with this package's modules at hand on the executors.
+
+    Rows that carry texts come in batches bounded by bytes, and a worker gives what Arrow kept back at its task's end:
+    it lives on, idle or not, while later stages need the memory.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    if any(isinstance(f.dataType, (StringType, BinaryType)) for f in df.schema):
+        bound_batches(df.sparkSession)
+
+    def apply(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+    return df.mapInArrow(apply, schema)
 
 
 def plain_keys(df: DataFrame, cols: list[str], names: list[str]) -> DataFrame:

@@ -93,6 +93,19 @@ SKEW_SETTINGS = {
     "spark.sql.files.maxPartitionBytes": "16MB",
 }
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let rows reach Python in batches of about 4 MB, except where the launcher set a size.
+
+    Without it a batch holds 10,000 rows whatever their texts' length, and both the executor and its worker hold two or
+    more of them.
+    """
+    if not spark.sparkContext.getConf().contains(BATCH_BYTES):
+        spark.conf.set(BATCH_BYTES, "4MB")
+
+
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 #: Bytes of input files for each part that a shuffle starts with.
 PART_BYTES = 4 << 20

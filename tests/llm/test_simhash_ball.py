@@ -4,7 +4,9 @@ import pyarrow as pa
 import xxhash
 
 from delayrisk.llm import simhash_ball as S
+from delayrisk.llm.common import arrow_map
 from delayrisk.llm.components import components
+from delayrisk.session import BATCH_BYTES
 
 
 def brute_fingerprint(text):
@@ -105,3 +107,16 @@ def test_few_texts_are_held_at_once(spark, monkeypatch):
     assert len(parts) > 2 and [i for p in parts for i in p.column("i").to_pylist()] == [*range(len(texts))]
     got = [f % (1 << 64) for p in parts for f in p.column("fingerprint").to_pylist()]
     assert got == [S.fingerprint(t) for t in texts]
+
+
+def test_texts_reach_workers_by_bytes(spark):
+    """A batch's size follows the texts' bytes, not only their number."""
+    texts = spark.range(24, numPartitions=1).selectExpr("id", "repeat('words and ', 100000) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "bytes"])
+    spark.conf.unset(BATCH_BYTES)
+    found = arrow_map(texts, sizes, "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in found) == 24
+    assert max(r["bytes"] for r in found) < 6 << 20
