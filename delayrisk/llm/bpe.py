@@ -49,7 +49,7 @@ ODD = re.compile("[^\t-\r -^`-~¡-©«-±´¶-¸»¿-ɏ]")
 FULL = regex.compile(PATTERN)
 BLOCK = 1 << 16    # characters read at a time
 EDGE = 3           # characters at a block's end that matches may still depend on
-WORDS = 400_000    # words kept in the cache
+WORDS = 1 << 18    # words kept in the cache
 SLICE = 1 << 20    # bytes of texts that are held as Python's at once, if no text is longer
 LONG = 256         # bytes of a word beyond which it is neither cached nor read at once
 

@@ -334,8 +334,6 @@ def count(sample: DataFrame, discount: float, pair_discount: float, frequent: np
     """Count n-grams of the whole ``sample`` (columns y, t; with ``labels``, i and y, those of its rows i, t that have
     one) in Spark; what comes back are counts of words and pairs above the discounts.  ``frequent``: hashes of words to be
     shuffled as two bytes."""
-    import pandas as pd
-
     mapped = partial(arrow_map, sample.select("y", "t")) if labels is None else partial(_labelled, sample, labels)
 
     has = lambda c: F.sum(c.cast("long"))
@@ -347,8 +345,8 @@ def count(sample: DataFrame, discount: float, pair_discount: float, frequent: np
                       "a long, b long, t long, o long").cache()
     total = np.array(pairs.agg(*[F.coalesce(has(F.col(c) > 0), F.lit(0)) for c in ("t", "o")]).first(), np.float64)
     kept = pairs.filter((F.col("t") > pair_discount) | (F.col("o") > pair_discount)).toPandas()
-    listed = lambda h: F.broadcast(pairs.sparkSession.createDataFrame(
-        pd.DataFrame({"k": np.unique(h)}).astype("int64"), "k long"))
+    # From Arrow: other local rows would pass through Python workers of their own, which stay.
+    listed = lambda h: F.broadcast(pairs.sparkSession.createDataFrame(pa.table({"k": np.unique(h)})))
     uni = (pairs.groupBy("b").agg(has(F.col("t") > 0).alias("t"), has(F.col("o") > 0).alias("o"))
            .join(listed(kept[["a", "b"]].to_numpy(np.int64)).withColumn("paired", F.lit(True)), F.col("b") == F.col("k"), "left")
            .filter((F.col("t") > discount) | (F.col("o") > discount) | F.col("paired")).select("b", "t", "o")
@@ -420,7 +418,8 @@ def _labelled(docs: DataFrame, rows: DataFrame, then: Callable | None = None, sc
     plain = StructType([StructField("y", IntegerType()), docs.schema["t"]])
     out = arrow_map(asked, sure, plain) if then is None else arrow_map(asked, lambda batches: then(sure(batches)), schema)
     if doubt.any():
-        joined = (arrow_map(asked, doubtful, StructType([docs.schema["i"], docs.schema["t"]]))
+        # Staged, or a broadcast join would leave this map and the next in one stage.
+        joined = (stage(arrow_map(asked, doubtful, StructType([docs.schema["i"], docs.schema["t"]])), "doubtful")
                   .join(rows, "i").select("y", "t"))
         out = out.unionByName(joined if then is None else arrow_map(joined, then, schema))
     return out

@@ -139,6 +139,19 @@ def test_labels_by_bitmap_are_those_of_a_join(spark, monkeypatch):
         assert Counter(map(tuple, T._labelled(texts, rows).collect())) == want
 
 
+def test_no_stage_holds_two_python_workers_a_task(spark, monkeypatch):
+    """Texts at doubtful places are joined before they are counted; that map and the one that found them stay apart."""
+    docs, labels = corpus(spark, 300)
+    monkeypatch.setattr(T, "BITS", 1 << 10)
+    monkeypatch.setattr(T, "arrow_map", lambda df, fn, schema, own=T.arrow_map: (plans.append(
+        df._jdf.queryExecution().optimizedPlan().toString()), own(df, fn, schema))[1])
+    plans = []
+    then = lambda batches: (b.select(["y"]) for b in batches)
+    got = T._labelled(docs.toDF("i", "t"), labels.filter("doc_id % 3 <> 0").toDF("i", "y"), then, "y int")
+    assert got.count() == 200
+    assert len(plans) == 4 and not any("MapInArrow" in p for p in plans)
+
+
 def test_packed_counts_do_not_depend_on_frequent_words(spark, monkeypatch):
     """Words of two bytes, hashed words and both mixed give the same counts, in parts of any size."""
     docs, labels = corpus(spark, 120)
