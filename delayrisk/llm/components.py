@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
+PART = 1 << 17  # rows of a staged part, about
+
+
+def few_parts(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most ``rows`` short rows, in parts by their number: else a shuffle's every part would be a small file."""
+    return df.coalesce(max(1, -(-rows // PART)))
+
 
 def _heads(nb: DataFrame) -> DataFrame:
     """The smallest of each node and its neighbours, joined back to the node's links.
@@ -38,5 +45,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         small = _heads(large.filter("u <> v"))
         star = (small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                 .unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        now = stage(star, "links")
+        # A round at most doubles its links.
+        now = stage(few_parts(star, 2 * mark[0]), "links")
     raise RuntimeError(f"links still change after {rounds} rounds")

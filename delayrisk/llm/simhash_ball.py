@@ -29,7 +29,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .buffers import slices
 from .common import arrow_map, fresh, stage
-from .components import components
+from .components import components, few_parts
 
 BLOCK = 1 << 15  # shingles whose bits are counted at once
 SLICE = 1 << 20  # bytes of texts that are held as Python's at once, if no text is longer
@@ -98,12 +98,13 @@ def _groups(docs: DataFrame, text: str, id_col: str, size: int, seed: int, radiu
     t = F.col(text)
     rows = stage(fingerprints(docs.select(F.col(id_col).alias("i"), F.xxhash64(t).alias("h"), t.alias("t")),
                               "t", size, seed, "f"), "fingerprints")
-    groups = stage(rows.groupBy("f").agg(F.min("i").alias("low")), "distinct")
+    n = rows.count()
+    groups = stage(few_parts(rows.groupBy("f").agg(F.min("i").alias("low")), n), "distinct")
     roots = components(links(groups.select("f"), radius))
     rooted = groups.join(roots, groups["f"] == roots["node"], "left").select(
         "f", "low", F.coalesce("root", "f").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows, stage(rooted.join(lowest, "root"), "named")
+    return rows, stage(few_parts(rooted.join(lowest, "root"), n), "named")
 
 
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = 3,

@@ -3,6 +3,7 @@ import random
 import pyarrow as pa
 import xxhash
 
+from delayrisk.llm import components as C
 from delayrisk.llm import simhash_ball as S
 from delayrisk.llm.common import arrow_map
 from delayrisk.llm.components import components
@@ -120,3 +121,19 @@ def test_texts_reach_workers_by_bytes(spark):
     found = arrow_map(texts, sizes, "rows long, bytes long").collect()
     assert sum(r["rows"] for r in found) == 24
     assert max(r["bytes"] for r in found) < 6 << 20
+
+
+def test_few_links_are_staged_as_one_part(spark, monkeypatch):
+    """Each round's links are written in parts by their number, not one for each part of a shuffle."""
+    parts = []
+    monkeypatch.setattr(C, "stage", lambda df, label, own=C.stage: (parts.append(df.rdd.getNumPartitions()), own(df, label))[1])
+    links = spark.range(40).selectExpr("id AS u", "id + 1 AS v")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for part, most in ((C.PART, 1), (16, 8)):
+            parts.clear()
+            monkeypatch.setattr(C, "PART", part)
+            assert sorted(map(tuple, components(links).collect())) == [(k, 0) for k in range(1, 41)]
+            assert len(parts) > 2 and max(parts[1:]) <= most
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
